@@ -64,11 +64,12 @@ class WordTable(dict):
     """Numbers words as they are met; ``fill`` gives the new ones their values."""
 
     def __init__(self, solve):
-        self.solve, self.fresh, self.values = solve, [], []
+        self.solve, self.fresh, self.values, self.chars = solve, [], [], 0
 
     def __missing__(self, word):
         self[word] = n = len(self)
         self.fresh.append(word)
+        self.chars += len(word)
         return n
 
     def numbers(self, words: list) -> np.ndarray:
@@ -81,6 +82,6 @@ class WordTable(dict):
         return self.values
 
     def trim(self) -> None:
-        if len(self) > WORDS_KEPT:
+        if len(self) > WORDS_KEPT or self.chars > BLOCK_CHARS:
             self.clear()
-            self.fresh, self.values = [], []
+            self.fresh, self.values, self.chars = [], [], 0

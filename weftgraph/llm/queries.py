@@ -7,19 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import _common as C
-from weftgraph.llm import byte_bpe, token_counts
+from weftgraph.llm import byte_bpe, language_id, packing, pii, quality, token_counts
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(C.documents(spark, sf_dir))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(C.documents(spark, sf_dir))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(C.documents(spark, sf_dir))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(C.documents(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.grade_documents(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(C.documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op3_pii": op3_pii,
+    "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
