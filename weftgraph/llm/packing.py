@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
 import re
 import zlib
 
@@ -32,13 +33,20 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 def _library(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has a worker of its own
     return Tokenizer.from_file(path)
 
 
 def word_ids(path: str) -> C.WordTable:
     """A table from a word to its ids as bytes. The tokenizer drops white space and its patterns never cross it, so words are encoded one by one, each distinct one once."""
     library = _library(path)
-    return C.WordTable(lambda words: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)])
+
+    def solve(words: list[str]):
+        for at in range(0, len(words), 1000):  # what the library returns is far larger than the ids
+            for e in library.encode_batch_fast(words[at : at + 1000], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+
+    return C.WordTable(solve)
 
 
 def split_words(text: str, odd=re.compile("[\x1c-\x1f]").search, words=re.compile(f"[^{SPACE}]+").findall) -> list[str]:
