@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import _common as C
-from weftgraph.llm import byte_bpe, language_id, packing, pii, quality, token_counts
+from weftgraph.llm import byte_bpe, language_id, ngram_join, packing, pii, quality, token_counts
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(C.documents(spark, sf_dir))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(C.documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_documents(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
