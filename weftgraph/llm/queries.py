@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import _common as C
-from weftgraph.llm import byte_bpe, language_id, ngram_join, packing, pii, quality, token_counts
+from weftgraph.llm import byte_bpe, fingerprints, language_id, ngram_join, packing, pii, quality, token_counts
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.documents(spark, sf_dir))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(C.documents(spark, sf_dir))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(C.documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_fingerprints": op2_fingerprints,
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
