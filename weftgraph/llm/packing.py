@@ -12,6 +12,7 @@ import bisect
 import functools
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -37,34 +38,75 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-def word_ids(path: str) -> C.WordTable:
-    """A table from a word to its ids as bytes. The tokenizer drops white space and its patterns never cross it, so words are encoded one by one, each distinct one once."""
-    library = _library(path)
-
-    def solve(words: list[str]):
-        for at in range(0, len(words), 1000):  # what the library returns is far larger than the ids
-            for e in library.encode_batch_fast(words[at : at + 1000], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
-
-    return C.WordTable(solve)
+class TextIds:
+    """Encodes texts. The tokenizer drops white space and its patterns never cross it, so words are encoded one by one, each distinct one once while it is remembered.
 
+    The patterns cut a word into parts, each of which ends in a token that ends words. So the parts of many new words
+    go to the library as one text, and the ids are dealt back by those tokens.
+    """
 
-def split_words(text: str, odd=re.compile("[\x1c-\x1f]").search, words=re.compile(f"[^{SPACE}]+").findall) -> list[str]:
-    return words(text) if odd(text) else text.split()
+    def __init__(self, path: str):
+        self.library, self.known, self.parts, self.chars = _library(path), {}, {}, 0
+        self.ends = frozenset(i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>"))
+        self.words = re.compile(f"[^{SPACE}]+").findall
+        #: Letters whose case or class the library decides, odd separators, and special strings, which have one case.
+        self.wide = re.compile("[^\x00-\u012f]|[\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]|<\\|").search
+        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def solve(self, fresh: list[str]) -> None:
+        cut = [self.cut(w) for w in fresh]
+        wanted = list({p for parts in cut for p in parts if p not in self.parts})
+        for at in range(0, len(wanted), 1000):
+            lot, found, own = wanted[at : at + 1000], [], []
+            for i in self.encoded([" ".join(lot)])[0]:
+                own.append(i)
+                if i in self.ends:
+                    found.append(own)
+                    own = []
+            if own or len(found) != len(lot):
+                found = self.encoded(lot)
+            self.parts.update((p, struct.pack(f"<{len(ids)}I", *ids)) for p, ids in zip(lot, found))
+        part = self.parts.__getitem__
+        self.known.update((w, part(c[0]) if len(c) == 1 else b"".join(map(part, c))) for w, c in zip(fresh, cut))
+
+    def __call__(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if self.wide(text):
+            words = list(dict.fromkeys(spelled := self.words(text)))
+            ids = dict(zip(words, (struct.pack(f"<{len(x)}I", *x) for x in self.encoded(words))))
+            return b"".join(map(ids.__getitem__, spelled))
+        words = text.lower().split()
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            fresh = [w for w in set(words) if w not in self.known]
+        self.solve(fresh)
+        out = b"".join(map(self.known.__getitem__, words))
+        self.chars += sum(map(len, fresh))
+        if len(self.known) + len(self.parts) > 2 * C.WORDS_KEPT or self.chars > C.BLOCK_CHARS:
+            self.known, self.parts, self.chars = {}, {}, 0
+        return out
+
+
+@functools.lru_cache(1)
+def text_ids(path: str) -> TextIds:
+    """One for each worker, so that a task starts with the words that the one before it has met."""
+    return TextIds(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     """The pieces of each document, with the task that made them and their rank among its pieces of that length."""
 
     def run(batches):
-        table, seen, task = word_ids(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        ids_of, seen, task = text_ids(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
         for keys, texts in C.blocks(batches, "doc_id", "text"):
-            numbered = [table.numbers(split_words(t)) for t in texts]
-            ids_of = table.fill().__getitem__
             out: list[list] = [[] for _ in range(6)]
-            for key, words in zip(keys, numbered):
-                ids = b"".join(map(ids_of, words.tolist())) + end
+            for key, text in zip(keys, texts):
+                ids = ids_of(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     length = len(part) // 4
@@ -74,7 +116,6 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = [pa.array(x, k) for x, k in zip(out, kinds)] + [pa.array(np.full(len(out[0]), task, np.int32)), pa.array(out[5], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
-            table.trim()
 
     return C.pick(docs, "doc_id", "text").mapInArrow(run, T.StructType.fromDDL(PIECES))
 
