@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftgraph.llm import _common as C
-from weftgraph.llm import byte_bpe, fingerprints, language_id, ngram_join, packing, pii, quality, token_counts
+from weftgraph.llm import byte_bpe, fingerprints, language_id, ngram_join, packing, pii, quality, token_counts, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(C.documents(spark, sf_dir))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = warc.resolve_revisits(warc.records_of(pages))
+    return found.select(
+        "record_id", "url_key", "status", "response_id",
+        F.col("headers")["etag"].alias("etag"), F.col("headers")["date"].alias("date"), F.col("headers")["content-length"].alias("content_length"),
+    )
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(C.documents(spark, sf_dir))
 
@@ -48,9 +58,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op7_warc_revisits": op7_warc_revisits,
     "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Canonical URLs as in warc.canonical_url.
+_URL_KEY = r"""
+    regexp_replace(regexp_replace(lower(regexp_extract(place, '^[^/]*')), '^www\.', ''), ':(80|443)$', '')
+    || regexp_replace(regexp_extract(place, '/.*$'), '/+$', '')
+    || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc_revisits": rf"""
+WITH plain AS (
+    SELECT page_id, md5(html) AS tag, strlen(html) AS size,
+           regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS plain FROM pages
+), cut AS (
+    SELECT *, regexp_replace(plain, '\?.*$', '') AS place,
+           list_sort(list_filter(string_split(regexp_extract(plain, '\?(.*)$', 1), '&'),
+               lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|sessionid)(=|$)'))) AS kept FROM plain
+), p AS (
+    SELECT page_id, '"' || tag || '"' AS tag, size, {_URL_KEY} AS url_key FROM cut
+), found AS (
+    SELECT r.page_id, r.url_key, r.tag, max(s.page_id) AS response FROM p r LEFT JOIN p s ON r.url_key = s.url_key AND s.page_id < r.page_id + 1000
+    GROUP BY ALL
+)
+SELECT f.page_id * 2 + 1 AS record_id, f.url_key, CASE WHEN s.page_id IS NULL THEN 'missing' WHEN s.tag = f.tag THEN 'resolved' ELSE 'changed' END AS status,
+       s.page_id * 2 AS response_id, CASE WHEN s.tag = f.tag THEN s.tag END AS etag,
+       CASE WHEN s.tag = f.tag THEN CAST(f.page_id + 1000 AS VARCHAR) END AS date,
+       CASE WHEN s.tag = f.tag THEN CAST(s.size AS VARCHAR) END AS content_length
+FROM found f LEFT JOIN p s ON s.page_id = f.response
+""",
+}
