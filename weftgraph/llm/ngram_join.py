@@ -10,7 +10,8 @@
 4. A short list gives all such pairs. A long one gives chains in three orders; once their
    links are known, it gives only pairs of classes that are not yet connected. So
    thousands of near copies are not multiplied out and yet no connection is missed.
-5. Each pair is checked once on the whole sets, after a suffix filter on their parts by hash.
+5. What the counted common shingles and the suffixes can add up to is the suffix filter. Each
+   pair that is left is checked once on the whole sets.
 """
 
 from __future__ import annotations
@@ -34,8 +35,6 @@ COUNTERS, PARTS = 1 << 22, 64
 SHORT = 12
 #: Ids whose set is small enough to be sent to all executors.
 FEW = 1_000_000
-#: Parts of the suffix filter, by the leading bits of the hash.
-SUFFIX_BITS = 4
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -179,16 +178,32 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
-def _pairs(e: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
+PAIR = ["a", "b", "n_a", "n_b", "hits", "passes"]
+
+
+def _pairs(e: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int, hit: int) -> np.ndarray:
+    """Rows of PAIR, a < b, for entries of one list that pass the length filter; passes tells of the positional one."""
     n, place = e["n"].astype(np.int64), e["place"].astype(np.int64)
-    keep = _passes(n[first], n[second], place[first], place[second], percent)
+    keep = 100 * np.minimum(n[first], n[second]) >= percent * np.maximum(n[first], n[second])
     first, second = first[keep], second[keep]
-    a, b = e["node"][first], e["node"][second]
-    return np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+    swap = e["node"][first] > e["node"][second]
+    first, second = np.where(swap, second, first), np.where(swap, first, second)
+    passes = _passes(n[first], n[second], place[first], place[second], percent)
+    return np.stack((e["node"][first], e["node"][second], n[first], n[second], np.full(len(first), hit), passes.astype(np.int64)), 1)
+
+
+def _tallied(rows: list[np.ndarray]) -> np.ndarray:
+    """One row for each pair: hits added up, passes if any did."""
+    every = np.concatenate(rows)
+    every = every[np.lexsort((every[:, 1], every[:, 0]))]
+    begin = np.flatnonzero(np.concatenate(([True], (every[1:, 0] != every[:-1, 0]) | (every[1:, 1] != every[:-1, 1]))))
+    out = every[begin]
+    out[:, 4], out[:, 5] = np.add.reduceat(every[:, 4], begin), np.maximum.reduceat(every[:, 5], begin)
+    return out
 
 
 def lists(packed: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Rows of two kinds: pairs (a, b) that pass the filters, and members (list, a, n, place) of long lists."""
+    """Rows of two kinds: pairs (PAIR; hits counts common shingles in short lists) and, with a list, members (a, n_a, place) of long lists."""
 
     def run(batches):
         held: dict[int, list[np.ndarray]] = {}
@@ -197,7 +212,7 @@ def lists(packed: DataFrame, percent: int, partitions: int) -> DataFrame:
                 held.setdefault(bucket, []).append(_unpacked(blob))
         for bucket in sorted(held):
             e = np.concatenate(held.pop(bucket))
-            e = e[np.lexsort((e["node"], e["n"], e["key"]))]
+            e = e[np.lexsort((e["node"], e["key"]))]
             fresh = np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["node"][1:] != e["node"][:-1])))
             e = e[fresh]  # copies in other blocks
             begin = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
@@ -209,23 +224,44 @@ def lists(packed: DataFrame, percent: int, partitions: int) -> DataFrame:
                 at = np.flatnonzero((e["key"][step:] == e["key"][:-step]) & (many[step:] <= SHORT))
                 if not len(at):
                     break
-                found.append(_pairs(e, at, at + step, percent))
+                found.append(_pairs(e, at, at + step, percent, 1))
             e = e[many > SHORT]
             if len(e):
                 mixed = e["node"].view(np.uint64)
                 for lot in (e["n"], mixed * _MIX[0] >> np.uint64(20), mixed * _MIX[1] >> np.uint64(20)):
                     order = np.lexsort((lot, e["key"]))
                     at = np.flatnonzero(e["key"][order[1:]] == e["key"][order[:-1]])
-                    found.append(_pairs(e, order[at], order[at + 1], percent))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            none, m = pa.nulls, len(pairs)
-            if m:
-                yield pa.RecordBatch.from_arrays([none(m, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), none(m, pa.int64()), none(m, pa.int64())], ["list", "a", "b", "n", "place"])
+                    pairs = _pairs(e, order[at], order[at + 1], percent, 0)
+                    found.append(pairs[pairs[:, 5] > 0])
+            if found and sum(map(len, found)):
+                pairs = _tallied(found)
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, *[pa.array(np.ascontiguousarray(c)) for c in pairs.T], none], ["list", *PAIR, "place"])
             if m := len(e):
                 name = np.int64(bucket) << np.int64(32) | e["key"].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(e["node"].copy()), none(m, pa.int64()), pa.array(e["n"].astype(np.int64)), pa.array(e["place"].astype(np.int64))], ["list", "a", "b", "n", "place"])
+                none = pa.nulls(m, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(e["node"].copy()), none, pa.array(e["n"].astype(np.int64)), none, none, none, pa.array(e["place"].astype(np.int64))], ["list", *PAIR, "place"])
+
+    return packed.repartition(partitions, "bucket").mapInArrow(run, T.StructType.fromDDL("list long, a long, b long, n_a long, n_b long, hits long, passes long, place long"))
+
+
+def candidates(found: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b, n_a, n_b) that pass the positional and the suffix filter.
+
+    Common shingles are those of both prefixes, of which the hits and at most each document's entries in long lists tell,
+    and no more than what follows one of the prefixes.
+    """
+    pairs = found.filter("list is null").groupBy("a", "b", "n_a", "n_b").agg(F.sum("hits").alias("hits"), F.max("passes").alias("passes")).filter("passes > 0")
+    long = members.groupBy("node").agg(F.count("*").alias("long"))
+    for side in "ab":
+        pairs = pairs.join(long.select(F.col("node").alias(side), F.col("long").alias(f"long_{side}")), side, "left")
+    after = F.greatest(F.ceil(percent * F.col("n_a") / 100), F.ceil(percent * F.col("n_b") / 100)) - 1
+    most = F.col("hits") + F.coalesce(F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))), F.lit(0)) + after
+    return pairs.filter(most >= _need(F.col("n_a") + F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
 
-    return packed.repartition(partitions, "bucket").mapInArrow(run, T.StructType.fromDDL("list long, a long, b long, n long, place long"))
+
+def _need(both, percent: int):
+    return F.ceil(percent * both / (100 + percent))
 
 
 def sets_of(docs: DataFrame, of: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -238,40 +274,26 @@ def sets_of(docs: DataFrame, of: DataFrame, nodes: DataFrame, size: int) -> Data
     def run(batches):
         shingles = Shingler(size)
         for batch in batches:
-            found = [shingles(t) for t in C.rows_of(batch, "text")[0]]
-            found = [x for x in found if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([shingles.node(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "hashes"])
-
-    return chosen.select("text").mapInArrow(run, T.StructType.fromDDL("node long, hashes binary")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+            column = batch.column(0)
+            for at in range(0, len(column), 500):
+                found = [shingles(t) for t in column.slice(at, 500).to_pylist()]
+                found = [x for x in found if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([shingles.node(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "hashes"])
 
-
-def _enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    need = int(needed(len(x), len(y), percent))
-    edges = (np.arange(1 << SUFFIX_BITS, dtype=np.uint64)) << np.uint64(64 - SUFFIX_BITS)
-    in_parts = [np.diff(np.append(np.searchsorted(s, edges), len(s))) for s in (x, y)]
-    if int(np.minimum(*in_parts).sum()) < need:
-        return False
-    both = np.concatenate((x, y))
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum()) >= need
+    sets = chosen.select("text").mapInArrow(run, T.StructType.fromDDL("node long, hashes array<long>"))
+    return sets.dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the asked likeness."""
-
-    def run(batches):
-        for batch in batches:
-            columns = C.rows_of(batch, "a", "b", "x", "y")
-            kept = [(a, b) for a, b, x, y in zip(*columns) if _enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], ["a", "b"])
-
     left, right = (sets.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, T.StructType.fromDDL("a long, b long"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(F.size(F.array_intersect("x", "y")) >= _need(F.size("x") + F.size("y"), percent)).select("a", "b")
 
 
 def _checked(docs, of, pairs, size, percent) -> DataFrame:
     nodes = C.checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    return C.checkpointed(verified(pairs, C.checkpointed(sets_of(docs, of, nodes, size)), percent))
+    return C.checkpointed(verified(pairs.select("a", "b"), C.checkpointed(sets_of(docs, of, nodes, size)), percent))
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -291,10 +313,10 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     of = first.filter("part is null").select("doc_id", "n", "node")
     level = levels(first.filter("part is not null").select("part", "counts"))
     found = C.checkpointed(lists(prefixes(docs, level, size, percent, 4 * partitions), percent, partitions))
-    pairs = C.checkpointed(found.filter("list is null").select("a", "b").distinct())
+    members = found.filter("list is not null").select("list", F.col("a").alias("node"), F.col("n_a").alias("n"), "place")
+    pairs = C.checkpointed(candidates(found, members, percent))
     links = _checked(docs, of, pairs, size, percent)
     joined = C.checkpointed(connected(links))
-    members = found.filter("list is not null").select("list", F.col("a").alias("node"), "n", "place")
     if not members.isEmpty():
         more = C.checkpointed(open_pairs(members, joined, percent).join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
@@ -312,7 +334,7 @@ def open_pairs(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame
     left = C.checkpointed(placed.join(mixed, "list", "left_semi"))
     x, y = (left.select("list", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "component")]) for s in "xy")
     low, high, both = F.least("n_x", "n_y"), F.greatest("n_x", "n_y"), F.col("n_x") + F.col("n_y")
-    need = F.ceil(percent * both / (100 + percent))
+    need = _need(both, percent)
     rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     close = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (100 * low >= percent * high) & (rest >= need)
     return x.join(y, "list").filter(close).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
