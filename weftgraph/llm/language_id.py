@@ -102,6 +102,28 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return fit([(r["lang"], bytes(r["bits"])) for r in taken])
 
 
+class Identifier:
+    """(language, score) of texts by a trained model."""
+
+    def __init__(self, model: tuple[list[str], np.ndarray]):
+        self.languages, self.matrix = model
+        self.x = np.zeros((BATCH, BINS), np.float32)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        readable = [k for k, t in enumerate(texts) if has_letter(t)] if self.languages else []
+        for at in range(0, len(readable), BATCH):
+            part = readable[at : at + BATCH]
+            x = self.x[: len(part)]
+            x[:] = 0
+            for row, k in zip(x, part):
+                presences(texts[k], row)
+            values = x @ self.matrix / np.sqrt(x.sum(1, keepdims=True))
+            for k, best, v in zip(part, values.argmax(1).tolist(), values):
+                found[k], scores[k] = self.languages[best], min(1.0, max(0.0, (float(v[best]) + 1) / 2))
+        return found, scores
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score: a row for each row of docs.
 
@@ -111,23 +133,28 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
     (v + 1) / 2 within 0 and 1; the first by name among equals. held_out is false for a null doc_id.
     Repeated rows give repeated results; an empty table gives an empty one.
     """
-    languages, matrix = model or train(docs)
+    model = model or train(docs)
 
     def run(batches):
-        x = np.zeros((BATCH, BINS), np.float32)
+        of = Identifier(model)
         for batch in batches:
             ids, held, texts = C.rows_of(batch, "doc_id", "held_out", "text")
-            found, scores = [UNKNOWN] * len(ids), [0.0] * len(ids)
-            readable = [k for k, t in enumerate(texts) if has_letter(t)] if languages else []
-            for at in range(0, len(readable), BATCH):
-                part = readable[at : at + BATCH]
-                x[: len(part)] = 0
-                for row, k in zip(x, part):
-                    presences(texts[k], row)
-                values = x[: len(part)] @ matrix / np.sqrt(x[: len(part)].sum(1, keepdims=True))
-                for k, best, v in zip(part, values.argmax(1).tolist(), values):
-                    found[k], scores[k] = languages[best], min(1.0, max(0.0, (float(v[best]) + 1) / 2))
+            found, scores = of(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = C.pick(docs, "doc_id", "text").select("doc_id", F.coalesce(remainder() == 1, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, T.StructType.fromDDL(SCHEMA))
+
+
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, least: float = 0.25) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language with a score of ``least`` or more."""
+    model = model or train(docs)
+
+    def run(batches):
+        of = Identifier(model)
+        for batch in batches:
+            found, scores = of(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([f != UNKNOWN and s >= least for f, s in zip(found, scores)], pa.bool_()))
+
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)

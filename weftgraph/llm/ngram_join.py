@@ -338,3 +338,20 @@ def open_pairs(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame
     rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     close = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (100 * low >= percent * high) & (rest >= need)
     return x.join(y, "list").filter(close).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group: one of each group of near duplicates, the one of its smallest doc_id.
+
+    Of rows with equal doc_ids that stay, one stays; rows without doc_id all do.
+    """
+    found = C.checkpointed(jaccard_components(docs, size, percent))
+    gone = C.checkpointed(found.filter(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct())
+    twice = C.checkpointed(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice")))
+    few = {t: t.count() for t in (gone, twice)}
+    one_of = lambda t: F.broadcast(t) if few[t] <= FEW else t
+    kept = docs.join(one_of(gone), docs["doc_id"] == F.col("gone"), "left_anti")
+    if not few[twice]:
+        return kept
+    again = F.col("doc_id") == F.col("twice")
+    return kept.join(one_of(twice), again, "left_anti").unionByName(kept.join(one_of(twice), again, "left_semi").dropDuplicates(["doc_id"]))

@@ -142,28 +142,54 @@ class Weights(dict):
         return v
 
 
-def grade_documents(docs: DataFrame, labels: DataFrame | None = None, model: tuple[np.ndarray, np.ndarray] | None = None, least: float = 0.5) -> DataFrame:
+#: Least probability of the top grade for a document to be selected. As each grade weighs the same in learning, that is below a half.
+LEAST_GOOD = 0.35
+
+
+class Grader:
+    """(expected grade, probability of the top grade) of texts by a trained model."""
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray]):
+        self.known, self.cuts = Weights(model[0]), model[1]
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        f, blank = np.zeros(len(texts)), np.array([not t or t.isspace() for t in texts], bool)
+        for k, t in enumerate(texts):
+            if not blank[k]:
+                f[k] = sum(map(self.known.__getitem__, features(t)))
+                if len(self.known) > C.WORDS_KEPT:
+                    self.known.clear()
+        above = [np.where(blank, 0.0, 1 / (1 + np.exp(np.clip(c - f, -30, 30)))) for c in self.cuts]
+        return above[0] + above[1], above[1]
+
+
+def grade_documents(docs: DataFrame, labels: DataFrame | None = None, model: tuple[np.ndarray, np.ndarray] | None = None, least: float = LEAST_GOOD) -> DataFrame:
     """doc_id, expected_grade (0 to 2), p_good (probability of the top grade), selected (p_good >= least): a row for each row of docs.
 
     docs: doc_id, text; labels, to learn from where no model is given: doc_id, quality, toxic;
     other columns are ignored. A text that is null or white space has grade and p_good 0. A null
     doc_id stays null; repeated rows give repeated results; an empty table gives an empty one.
     """
-    weights, cuts = model or train(docs, labels)
+    model = model or train(docs, labels)
 
     def run(batches):
-        known = Weights(weights)
+        of = Grader(model)
         for batch in batches:
             ids, texts = C.rows_of(batch, "doc_id", "text")
-            f = np.zeros(len(ids))
-            blank = np.array([not t or t.isspace() for t in texts], bool)
-            for k, t in enumerate(texts):
-                if not blank[k]:
-                    f[k] = sum(map(known.__getitem__, features(t)))
-                    if len(known) > C.WORDS_KEPT:
-                        known.clear()
-            above = [np.where(blank, 0.0, 1 / (1 + np.exp(np.clip(c - f, -30, 30)))) for c in cuts]
-            columns = [pa.array(ids, pa.int64()), pa.array(above[0] + above[1]), pa.array(above[1]), pa.array(above[1] >= least)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "p_good", "selected"])
+            grade, good = of(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grade), pa.array(good), pa.array(good >= least)], ["doc_id", "expected_grade", "p_good", "selected"])
 
     return C.pick(docs, "doc_id", "text").mapInArrow(run, T.StructType.fromDDL(SCHEMA))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, model: tuple[np.ndarray, np.ndarray] | None = None, least: float = LEAST_GOOD) -> DataFrame:
+    """The selected rows of docs, with all their columns."""
+    model = model or train(docs, labels)
+
+    def run(batches):
+        of = Grader(model)
+        for batch in batches:
+            yield batch.filter(pa.array(of(batch.column(at).to_pylist())[1] >= least))
+
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _common as C
-from weftgraph.llm import byte_bpe, fingerprints, language_id, ngram_join, packing, pii, quality, token_counts, warc
+from weftgraph.llm import byte_bpe, embedding_join, fingerprints, language_id, ngram_join, packing, pii, quality, token_counts, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(C.documents(spark, sf_dir))
 
 
+def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = warc.resolve_revisits(warc.records_of(pages))
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op6_embedding_join": op6_embedding_join,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
