@@ -328,16 +328,22 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 
 
 def open_pairs(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of members of a list that pass the filters and are not connected yet."""
+    """Distinct pairs (a, b) of members of a list that pass the filters and are not connected yet, each from the first list that both are in.
+
+    Later lists cannot let a pair through that the first one stops, as places only grow.
+    """
     placed = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
     left = C.checkpointed(placed.join(mixed, "list", "left_semi"))
-    x, y = (left.select("list", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "component")]) for s in "xy")
+    lists_of = left.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("place", "list"))).alias("lists"))  # of one document's prefix
+    earlier = F.transform(F.filter("lists", lambda x: x["place"] < F.col("place")), lambda x: x["list"])
+    left = left.join(lists_of, "node").withColumn("earlier", earlier).drop("lists")
+    x, y = (left.select("list", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "component", "earlier")]) for s in "xy")
     low, high, both = F.least("n_x", "n_y"), F.greatest("n_x", "n_y"), F.col("n_x") + F.col("n_y")
-    need = _need(both, percent)
     rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    close = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (100 * low >= percent * high) & (rest >= need)
-    return x.join(y, "list").filter(close).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    close = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (100 * low >= percent * high) & (rest >= _need(both, percent))
+    first = F.size(F.array_intersect("earlier_x", "earlier_y")) == 0
+    return x.join(y, "list").filter(close & first).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
