@@ -3,8 +3,8 @@
 Unit vectors with cosine >= c are at a squared distance of 2 - 2c at most. After a
 rotation to principal axes, the axes are split into blocks, and each block gets a part of that
 distance in proportion to its share of the variance: a pair within the whole distance is
-within the part of at least one block. Each block is range-joined by itself on a grid of its
-first axes. The union of what the blocks find is checked exactly on the given vectors, a
+within the part of at least one block. Each block is range-joined by itself on cells along its
+first axis. The union of what the blocks find is checked exactly on the given vectors, a
 pair only in the first block that finds it.
 
 Vectors travel in pages of bounded size, and pages of neighbouring cells meet in tasks of two pages each, so
@@ -24,11 +24,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from weftgraph.llm import _common as C
 from weftgraph.llm.components import connected
 
-#: Axes of a block, axes of its grid, vectors of a page, and vectors that the rotation is learned from.
-BLOCK, GRID, PAGE, SAMPLE = 16, 2, 512, 4000
-#: Parts of a cell that are paged apart, so that no task sees all of a large one.
-SALTS = 8
-_SLACK = 1e-9
+#: Axes of a block, vectors of a page, and vectors that the rotation is learned from.
+BLOCK, PAGE, SAMPLE = 16, 1024, 4000
+#: A cell with more pages than this is paged in parts, so that no task sees all of it.
+PAGES_AT_ONCE = 8
+#: Rotated vectors travel in single precision; what that and rounding can take off a distance.
+_SLACK = 1e-5
 
 
 def rotation(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +58,7 @@ def _links(x, y, rx, ry, blocks, k: int, cosine: float, same: bool) -> tuple[np.
     a, b, budget = blocks[k]
     p, q = rx[:, a:b], ry[:, a:b]
     rough = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T
-    i, j = np.nonzero(rough <= budget + 1e-6)
+    i, j = np.nonzero(rough <= budget + 2 * _SLACK)
     if same:
         i, j = i[i < j], j[i < j]
     keep = _within(rx[i], ry[j], blocks[k])
@@ -111,63 +112,70 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         axes, variance = rotation(x / np.sqrt((x * x).sum(1, keepdims=True)))
         models[width] = (axes, plan_blocks(variance, radius2))
 
-    def page(batches):
-        """Pages of the vectors of a cell, each row's group numbered by ``width`` and ``block``."""
-        waiting: dict[tuple, list] = {}
-
-        def row(key, held):
-            ids, many = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-            x, r = np.array([h[2] for h in held]), np.array([h[3] for h in held])
-            return (*key[:5], int(ids[0]), len(held), ids.tobytes() + many.tobytes() + x.tobytes() + r.tobytes())
-
-        for batch in batches:
-            out = []
-            labels, widths, blocks, us, vs, salts, ids, many, xs, rs = C.rows_of(batch, "label", "width", "block", "u", "v", "salt", "rep", "many", "x", "r")
-            for *key, i, n, x, r in zip(labels, widths, blocks, us, vs, salts, ids, many, xs, rs):
-                held = waiting.setdefault(tuple(key), [])
-                held.append((i, n, np.frombuffer(x), np.frombuffer(r)))
-                if len(held) == PAGE:
-                    out.append(row(tuple(key), waiting.pop(tuple(key))))
-            yield pa.RecordBatch.from_pylist([dict(zip(pages_schema.names, o)) for o in out], pages_arrow)
-        for key, held in waiting.items():
-            yield pa.RecordBatch.from_pylist([dict(zip(pages_schema.names, row(key, held)))], pages_arrow)
+    label = f"label {rows.schema['label'].dataType.simpleString()}"
+    where = ["label", "width", "block", "cell"]
+    cells_schema = T.StructType.fromDDL(f"{label}, width int, block int, cell long, rep long, many long, x binary, r binary")
+    pages_schema = T.StructType.fromDDL(f"{label}, width int, block int, cell long, held binary")
+    cells_arrow, pages_arrow = to_arrow_schema(cells_schema), to_arrow_schema(pages_schema)
 
     def placed(batches):
-        """For each vector and block: its cell on the block's grid."""
+        """For each vector and block: its cell along the block's first axis."""
         for batch in batches:
             out = []
-            labels, ids, many, vectors = C.rows_of(batch, "label", "rep", "many", "vector")
-            for label, i, n, vector in zip(labels, ids, many, vectors):
+            for label, i, n, vector in zip(*C.rows_of(batch, "label", "rep", "many", "vector")):
                 x = np.array(vector, np.float64)
                 axes, blocks = models[len(x)]
                 scaled = x / np.abs(x).max()
-                r = (scaled / np.sqrt((scaled * scaled).sum())) @ axes
-                for k, (a, b, budget) in enumerate(blocks):
-                    side = (budget + _SLACK) ** 0.5 * (1 + 1e-6) + 1e-9
-                    cell = np.floor(r[a : min(a + GRID, b)] / side).astype(int).tolist() + [0] * GRID
-                    out.append({"label": label, "width": len(x), "block": k, "u": cell[0], "v": cell[1], "salt": i % SALTS, "rep": i, "many": n, "x": scaled.tobytes(), "r": r.tobytes()})
-            yield pa.RecordBatch.from_pylist(out, cells_arrow)
+                r = ((scaled / np.sqrt((scaled * scaled).sum())) @ axes).astype(np.float32)
+                for k, (a, _, budget) in enumerate(blocks):
+                    cell = int(np.floor(float(r[a]) / (budget + 4 * _SLACK) ** 0.5))
+                    out.append((label, len(x), k, cell, i, n, x.tobytes(), r.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], f.type) for c, f in enumerate(cells_arrow)], schema=cells_arrow)
+
+    def page(batches):
+        """Pages of the vectors of a cell; the rows come cell by cell."""
+        at, held = None, []
+
+        def pages_of(rest: bool):
+            nonlocal held
+            out = []
+            while len(held) >= PAGE or rest and held:
+                part, held = held[:PAGE], held[PAGE:]
+                blob = b"".join((np.array([h[0] for h in part], np.int64).tobytes(), np.array([h[1] for h in part], np.int64).tobytes(), *(h[2] for h in part), *(h[3] for h in part)))
+                out.append((*at[:4], blob))
+            return out
+
+        for batch in batches:
+            out = []
+            for *key, i, n, x, r in zip(*C.rows_of(batch, *where, "part", "rep", "many", "x", "r")):
+                if key != at:
+                    out += pages_of(True)
+                    at = key
+                held.append((i, n, x, r))
+                if len(held) == PAGE:
+                    out += pages_of(False)
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], f.type) for c, f in enumerate(pages_arrow)], schema=pages_arrow)
+        out = pages_of(True)
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], f.type) for c, f in enumerate(pages_arrow)], schema=pages_arrow)
 
-    label = f"label {rows.schema['label'].dataType.simpleString()}"
-    cells_schema = T.StructType.fromDDL(f"{label}, width int, block int, u int, v int, salt int, rep long, many long, x binary, r binary")
-    pages_schema = T.StructType.fromDDL(f"{label}, width int, block int, u int, v int, first long, size int, held binary")
-    cells_arrow, pages_arrow = to_arrow_schema(cells_schema), to_arrow_schema(pages_schema)
-    where = ["label", "width", "block", "u", "v"]
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = reps.mapInArrow(placed, cells_schema).repartition(partitions, *where, "salt").sortWithinPartitions(*where, "salt")
+    cells = C.checkpointed(reps.mapInArrow(placed, cells_schema))
+    parts = cells.groupBy(*where).agg(F.count("*").alias("n")).filter(F.col("n") > PAGE * PAGES_AT_ONCE).withColumn("parts", F.ceil(F.col("n") / (PAGE * PAGES_AT_ONCE)))
+    cells = cells.join(parts, where, "left").withColumn("part", F.pmod("rep", F.coalesce("parts", F.lit(1))))
+    cells = cells.repartition(partitions, *where, "part").sortWithinPartitions(*where, "part", "rep").select(*where, "part", "rep", "many", "x", "r")
     pages = C.checkpointed(cells.mapInArrow(page, pages_schema).withColumn("page", F.monotonically_increasing_id()))
-    ahead = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))  # half of the cells around
-    left = pages.select(*where, F.col("page").alias("one"), ahead.alias("step")).select("label", "width", "block", (F.col("u") + F.col("step.p")).alias("u"), (F.col("v") + F.col("step.q")).alias("v"), "one", ((F.col("step.p") == 0) & (F.col("step.q") == 0)).alias("own"))
+    ahead = F.explode(F.array(F.lit(0), F.lit(1)))  # its own cell and the next one
+    left = pages.select(*where, F.col("page").alias("one"), ahead.alias("step")).select("label", "width", "block", (F.col("cell") + F.col("step")).alias("cell"), "one", "step")
     right = pages.select(*where, F.col("page").alias("two"))
-    meets = left.join(right, where).filter("not own or one <= two").select("width", "block", "one", "two")
+    meets = left.join(right, where).filter("step = 1 or one <= two").select("width", "block", "one", "two")
     held = pages.select("page", "held")
     both = meets.repartition(partitions, "one", "two").join(held.select(F.col("page").alias("one"), F.col("held").alias("x")), "one").join(held.select(F.col("page").alias("two"), F.col("held").alias("y")), "two")
 
     def unpack(blob: bytes, width: int):
-        n = len(blob) // (16 + 16 * width)
+        n = len(blob) // (16 + 12 * width)
         ids, many = np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.int64, n, 8 * n)
-        x, r = np.frombuffer(blob, np.float64, n * width, 16 * n), np.frombuffer(blob, np.float64, n * width, 16 * n + 8 * n * width)
-        return ids, many, x.reshape(n, width), r.reshape(n, width)
+        x, r = np.frombuffer(blob, np.float64, n * width, 16 * n), np.frombuffer(blob, np.float32, n * width, 16 * n + 8 * n * width)
+        return ids, many, x.reshape(n, width), r.reshape(n, width).astype(np.float64)
 
     def joined(batches):
         for batch in batches:
