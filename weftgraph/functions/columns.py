@@ -22,7 +22,7 @@ def holds(label: Column, wanted: str, mode: str) -> Column:
         return label == wanted
     if mode != SUBSETS:
         raise ValueError(f"unknown label mode: {mode}")
-    needs = [F.size(F.filter(tokens(label), lambda t, w=w: t == w)) >= n for w, n in sorted(Counter(wanted.split(",")).items())]
+    needs = [occurrences(label, w, mode) >= n for w, n in sorted(Counter(wanted.split(",")).items())]
     return reduce(lambda a, b: a & b, needs)
 
 

@@ -53,10 +53,10 @@ def run_comparison(graph: LabeledGraph, patterns: list[Pattern], induced: bool =
 
 
 def parse_run_name(name):
-    """(enumeration, order, candidates, size) columns from names like B_x_PO_y_C_z_size_n."""
+    """(enumeration, candidate_order, candidates, size) columns from names like B_x_PO_y_C_z_size_n."""
     name = F.element_at(F.split(name, "/"), -1)
     part = lambda i: F.regexp_extract(name, r"^B_(.+)_PO_(.+)_C_(.+?)_size_(\d+)", i)
-    return part(1).alias("enumeration"), part(2).alias("order"), part(3).alias("candidates"), part(4).cast("int").alias("size")
+    return part(1).alias("enumeration"), part(2).alias("candidate_order"), part(3).alias("candidates"), part(4).cast("int").alias("size")
 
 
 def size_table(comparison: DataFrame, value: str = "avg_backtracking") -> DataFrame:

@@ -5,6 +5,548 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.functions.columns import SUBSETS, quantile
+from weftgraph.operators import candidates as cand
+from weftgraph.operators import estimate as est
+from weftgraph.operators import evaluate, generate, matcher, mining
+from weftgraph.operators.graph import LabeledGraph
+from weftgraph.plans import oracle as sql
+from weftgraph.plans.pattern import Pattern
+from weftgraph.plans.planner import directed, graphql_order, skeleton
+from weftgraph.sources import formats
+from weftgraph.sources.datasets import table, trade_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+TRIANGLE = Pattern.of(["BUILDING", "SUPPLIER", "ECONOMY"], [(0, 1), (1, 2), (0, 2)])
+PATH = Pattern.of(["BUILDING", "SUPPLIER", "ECONOMY"], [(0, 1), (1, 2)])
+STAR = Pattern.of(["SUPPLIER", "BUILDING", "BUILDING"], [(0, 1), (0, 2)])
+SQUARE = Pattern.of(["BUILDING", "SUPPLIER", "MACHINERY", "PROMO"], [(0, 1), (1, 2), (2, 3), (0, 3)])
+HOME = Pattern.of(["BUILDING", "SUPPLIER", "NATION"], [(0, 1), (1, 2), (0, 2)])
+APART = Pattern.of(["NATION,R0", "NATION,R1"], [])
+KITE = Pattern.of(["SUPPLIER", "BUILDING", "ECONOMY", "NATION,R1"], [(0, 1), (0, 2), (1, 2), (0, 3)])
+
+
+def query(text: str | None = None):
+    """Registers the function under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if text is not None:
+            ORACLE_SQL[f.__name__] = text
+        return f
+
+    return register
+
+
+# Graph primitives
+
+
+@query(sql.query("SELECT label, count(*) AS n, max(deg) AS max_deg, CAST(sum(deg) AS BIGINT) AS sum_deg FROM deg GROUP BY label"))
+def degree_by_label(spark, sf_dir):
+    d = trade_graph(spark, sf_dir).degrees()
+    return d.groupBy("label").agg(F.count("*").alias("n"), F.max("deg").alias("max_deg"), F.sum("deg").alias("sum_deg"))
+
+
+@query(sql.query("SELECT id, label, cnt FROM prof"))
+def profile_counts(spark, sf_dir):
+    return trade_graph(spark, sf_dir).profile()
+
+
+@query(sql.query("SELECT id, token, cnt FROM tprof"))
+def token_profile_counts(spark, sf_dir):
+    return trade_graph(spark, sf_dir).token_profile()
+
+
+@query(sql.query("SELECT id, CAST(product(cnt + 1) AS BIGINT) AS n_subsets FROM prof GROUP BY id"))
+def profile_subsets(spark, sf_dir):
+    return trade_graph(spark, sf_dir).profile_subsets()
+
+
+@query(sql.query("""SELECT d.*, s.* FROM (SELECT count(*) AS n_vertices, CAST(sum(deg) / 2 AS BIGINT) AS n_edges, count(DISTINCT label) AS n_labels, max(deg) AS max_degree,
+       CAST(sum(deg) AS DOUBLE) / count(*) AS avg_degree, 2.0::DOUBLE * CAST(sum(deg) / 2 AS BIGINT) / (count(*) * (count(*) - 1)) AS density FROM deg) d,
+       (SELECT max(n) AS max_subsets, CAST(sum(n) AS BIGINT) AS sum_subsets FROM (SELECT CAST(product(cnt + 1) AS BIGINT) AS n FROM prof GROUP BY id)) s"""))
+def graph_stats(spark, sf_dir):
+    return trade_graph(spark, sf_dir).stats()
+
+
+@query(sql.query("SELECT id, label FROM deg WHERE deg = 1"))
+def leaf_vertices(spark, sf_dir):
+    g = trade_graph(spark, sf_dir)
+    return g.vertices.join(g.leaves(), "id", "left_semi")
+
+
+@query(sql.query("SELECT src, dst FROM edges WHERE src IN (SELECT id FROM vertices WHERE label IN ('BUILDING', 'SUPPLIER')) AND dst IN (SELECT id FROM vertices WHERE label IN ('BUILDING', 'SUPPLIER'))"))
+def induced_edges(spark, sf_dir):
+    g = trade_graph(spark, sf_dir)
+    return g.induced(g.vertices.filter(F.col("label").isin("BUILDING", "SUPPLIER"))).edges
+
+
+@query(sql.query("""SELECT src, dst FROM edges WHERE NOT (src % 4 = 0 AND dst % 4 = 3)
+       UNION ALL SELECT src + 1000000000, dst + 1000000000 FROM edges
+       UNION ALL SELECT min(id), max(id) FROM vertices"""))
+def changed_union(spark, sf_dir):
+    """The graph without customers' nations, one edge more, and a copy with other ids."""
+    g = trade_graph(spark, sf_dir)
+    less = g.without_edges(g.edges.filter("src % 4 = 0 and dst % 4 = 3"))
+    more = less.with_edges(g.vertices.agg(F.min("id").alias("src"), F.max("id").alias("dst")))
+    return more.union(g, 1_000_000_000).edges
+
+
+@query(sql.query("SELECT id, dist FROM (SELECT id, min(dist) AS dist FROM walk GROUP BY id)", """walk AS (
+    SELECT CAST(3 AS BIGINT) AS id, 0 AS dist UNION SELECT dst, dist + 1 FROM walk JOIN adj ON src = id WHERE dist < 12)""", recursive=True))
+def distances_from_nation(spark, sf_dir):
+    g = trade_graph(spark, sf_dir)
+    return g.distances(spark.createDataFrame([(3,)], "id long")).select("id", "dist")
+
+
+@query()
+def component_sizes(spark, sf_dir):
+    return trade_graph(spark, sf_dir).components().groupBy("component").agg(F.count("*").alias("n"))
+
+
+# Candidates
+
+
+@query(sql.query(sql.candidate_rows(TRIANGLE), *sql.candidate_tables(TRIANGLE, False)))
+def cand_ldf(spark, sf_dir):
+    return cand.label_degree(trade_graph(spark, sf_dir), TRIANGLE)
+
+
+@query(sql.query(sql.candidate_rows(TRIANGLE), *sql.candidate_tables(TRIANGLE, True)))
+def cand_profile(spark, sf_dir):
+    return cand.label_degree_profile(trade_graph(spark, sf_dir), TRIANGLE)
+
+
+@query(sql.query(sql.candidate_rows(HOME), *sql.candidate_tables(HOME, True, True)))
+def cand_tokens(spark, sf_dir):
+    return cand.label_degree_profile(trade_graph(spark, sf_dir), HOME, SUBSETS)
+
+
+_HALL, _LAST = sql.hall_tables(TRIANGLE, 6)
+
+
+@query(sql.query(sql.candidate_rows(TRIANGLE, _LAST), *sql.candidate_tables(TRIANGLE, True), *_HALL))
+def cand_global(spark, sf_dir):
+    return cand.candidates(trade_graph(spark, sf_dir).cached(), TRIANGLE, "graphQL")
+
+
+_KITE_EDGES = directed(KITE, [0, 1, 2, 3])
+
+
+@query(sql.query(" UNION ALL ".join(f"SELECT {a} AS u_parent, {b} AS u_child, src AS v_parent, dst AS v_child FROM adj WHERE src IN (SELECT v FROM c{a}) AND dst IN (SELECT v FROM c{b})" for a, b in _KITE_EDGES), *sql.candidate_tables(KITE, False)))
+def cs_edges(spark, sf_dir):
+    g = trade_graph(spark, sf_dir)
+    return cand.edge_candidates(g, cand.label_degree(g, KITE), _KITE_EDGES)
+
+
+@query(sql.query(" UNION ALL ".join(f"SELECT {a} AS u_parent, {b} AS u_child, count(*) AS n FROM adj WHERE src IN (SELECT v FROM c{a}) AND dst IN (SELECT v FROM c{b})" for a, b in sorted(KITE.edges)), *sql.candidate_tables(KITE, True)))
+def edge_weights(spark, sf_dir):
+    g = trade_graph(spark, sf_dir)
+    found = cand.edge_candidates(g, cand.label_degree_profile(g, KITE), sorted(KITE.edges))
+    return found.groupBy("u_parent", "u_child").agg(F.count("*").alias("n"))
+
+
+@query()
+def cand_refined(spark, sf_dir):
+    g = trade_graph(spark, sf_dir).cached()
+    return cand.refine(g, KITE, cand.label_degree(g, KITE), [0, 1, 2, 3])[0]
+
+
+@query()
+def cs_equivalent(spark, sf_dir):
+    g = trade_graph(spark, sf_dir)
+    return cand.equivalent(cand.edge_candidates(g, cand.label_degree_profile(g, TRIANGLE), directed(TRIANGLE, [0, 1, 2])))
+
+
+# Matching
+
+
+def _matched(spark, sf_dir, pattern, induced, profile=True, mode="COMPLETE", order=None):
+    g = trade_graph(spark, sf_dir)
+    pairs = cand.label_degree_profile(g, pattern, mode) if profile else cand.label_degree(g, pattern, mode)
+    return matcher.embeddings(g, pattern, pairs, order or pattern.vertices, induced)
+
+
+@query(sql.query(sql.matches(TRIANGLE, False), *sql.candidate_tables(TRIANGLE, True)))
+def triangle_csp(spark, sf_dir):
+    """The flagship: triangles of a customer, a supplier and a part by labels, degrees and profiles."""
+    return _matched(spark, sf_dir, TRIANGLE, False)
+
+
+@query(sql.query(sql.matches(PATH, False), *sql.candidate_tables(PATH, False)))
+def match_noninduced_path(spark, sf_dir):
+    return _matched(spark, sf_dir, PATH, False, profile=False)
+
+
+@query(sql.query(sql.matches(PATH, True), *sql.candidate_tables(PATH, True)))
+def match_induced_path(spark, sf_dir):
+    return _matched(spark, sf_dir, PATH, True)
+
+
+@query(sql.query(sql.matches(STAR, True), *sql.candidate_tables(STAR, False)))
+def star_induced(spark, sf_dir):
+    return _matched(spark, sf_dir, STAR, True, profile=False)
+
+
+@query(sql.query(sql.matches(SQUARE, False), *sql.candidate_tables(SQUARE, False)))
+def match_square(spark, sf_dir):
+    return _matched(spark, sf_dir, SQUARE, False, profile=False)
+
+
+@query(sql.query(sql.matches(KITE, True), *sql.candidate_tables(KITE, True)))
+def match_kite(spark, sf_dir):
+    return _matched(spark, sf_dir, KITE, True)
+
+
+@query(sql.query(sql.matches(HOME, False), *sql.candidate_tables(HOME, True, True)))
+def match_tokens(spark, sf_dir):
+    """Labels as multisets of tokens."""
+    return _matched(spark, sf_dir, HOME, False, mode=SUBSETS)
+
+
+@query(sql.query(sql.matches(APART, True), *sql.candidate_tables(APART, False)))
+def match_disconnected(spark, sf_dir):
+    return _matched(spark, sf_dir, APART, True, profile=False)
+
+
+def _algorithms(spark, sf_dir):
+    return trade_graph(spark, sf_dir).cached()
+
+
+@query(sql.query(f"""SELECT * FROM (VALUES ('quickSI', 'graphQL'), ('DAF', 'DAF'), ('groundTruth', 'groundTruth'), ('VEQs', 'quickSI')) AS t (enumeration, candidate_order),
+       (SELECT count(*) AS n_matches FROM ({sql.matches(TRIANGLE, True)}))""", *sql.candidate_tables(TRIANGLE, False)))
+def count_by_algorithm(spark, sf_dir):
+    g = _algorithms(spark, sf_dir)
+    out = None
+    for enumeration, order, by in (("quickSI", "graphQL", "graphQL"), ("DAF", "DAF", "DAF"), ("groundTruth", "groundTruth", "groundTruth"), ("VEQs", "quickSI", "graphQL")):
+        plan = matcher.plan(g, TRIANGLE, matcher.Config(by, order, enumeration))
+        row = plan.count(True).select(F.lit(enumeration).alias("enumeration"), F.lit(order).alias("candidate_order"), "n_matches")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _profile_sql() -> str:
+    parts = []
+    order = TRIANGLE.vertices
+    for i, u in enumerate(order):
+        before = f"(SELECT count(*) FROM ({sql.matches(TRIANGLE, True, upto=order[:i])}))" if i else "CAST(1 AS BIGINT)"
+        parts.append(f"SELECT {i} AS level, {u} AS vertex, {before} AS n_partial, (SELECT count(*) FROM c{u}) AS n_candidates, {before} * (SELECT count(*) FROM c{u}) AS n_calls")
+    return sql.query(" UNION ALL ".join(parts), *sql.candidate_tables(TRIANGLE, True))
+
+
+@query(_profile_sql())
+def backtracking_cost(spark, sf_dir):
+    """Partial matches, candidates and calls of a search in the order 0, 1, 2."""
+    g = trade_graph(spark, sf_dir).cached()
+    pairs = cand.materialised(cand.label_degree_profile(g, TRIANGLE))
+    plan = matcher.Plan(g, TRIANGLE, pairs, TRIANGLE.vertices, cand.sizes(pairs, TRIANGLE))
+    return matcher.search_profile(plan, True).select("level", "vertex", "n_partial", "n_candidates", "n_calls")
+
+
+@query(sql.query(f"SELECT row_number() OVER (ORDER BY mapping) AS idx, mapping FROM (SELECT {sql.mapping(STAR)} AS mapping FROM ({sql.matches(STAR, True)}))", *sql.candidate_tables(STAR, False)))
+def match_report(spark, sf_dir):
+    return matcher.report(star_induced(spark, sf_dir), STAR).select(F.col("idx").cast("long").alias("idx"), "mapping")
+
+
+@query()
+def order_cost(spark, sf_dir):
+    """Orders of all methods with the estimated cost."""
+    g = trade_graph(spark, sf_dir).cached()
+    pairs = cand.materialised(cand.label_degree_profile(g, KITE))
+    sizes = cand.sizes(pairs, KITE)
+    weights = cand.edge_weights(g, pairs, KITE)
+    from weftgraph.plans.planner import ORDERS, processing_order
+
+    rows = [(m, ",".join(map(str, processing_order(KITE, sizes, m, weights=weights))), graphql_order(KITE, sizes)[1]) for m in ORDERS]
+    return spark.createDataFrame(rows, "method string, vertices string, cost double")
+
+
+# Estimates
+
+_WALKS = 500
+
+
+def _walk_sql(last: str) -> str:
+    order = TRIANGLE.vertices
+    s = skeleton(TRIANGLE, order)
+    root = f"r0 AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rank FROM c0), w AS (SELECT range AS walk FROM range({_WALKS})), n0 AS (SELECT count(*) AS n FROM c0), "
+    root += f"s0 AS (SELECT walk, v AS m0, CAST(n AS DOUBLE) AS weight FROM w, n0 JOIN r0 ON rank = {sql.lot(chr(39) + '7' + chr(39), 'walk', chr(39) + '0' + chr(39))} % n)"
+    tables = [root]
+    for i, step in enumerate(s[1:], 1):
+        u = step.vertex
+        injective = " AND ".join(f"a.dst <> s.m{v}" for v in order[:i])
+        keep = ", ".join(f"s.m{v}" for v in order[:i])
+        tables.append(f"o{i} AS (SELECT s.walk, a.dst AS m{u}, count(*) OVER (PARTITION BY s.walk) AS n, row_number() OVER (PARTITION BY s.walk ORDER BY a.dst) - 1 AS rank FROM s{i - 1} s JOIN adj a ON a.src = s.m{step.parent} JOIN c{u} c ON c.v = a.dst WHERE {injective})")
+        pick = sql.lot("'7'", "walk", f"'{i}'")
+        test = " ".join(f"* (CASE WHEN EXISTS (SELECT 1 FROM adj WHERE src = s.m{v} AND dst = o.m{u}) THEN 1 ELSE 0 END)" for v in step.extra)
+        tables.append(f"s{i} AS (SELECT s.walk, {keep}, o.m{u}, s.weight * coalesce(o.n, 0) {test} AS weight FROM s{i - 1} s LEFT JOIN (SELECT * FROM o{i} WHERE rank = {pick} % n) o ON s.walk = o.walk)")
+    return sql.query(last, *sql.candidate_tables(TRIANGLE, True), *tables)
+
+
+def _walks(spark, sf_dir):
+    g = trade_graph(spark, sf_dir).cached()
+    pairs = cand.materialised(cand.label_degree_profile(g, TRIANGLE))
+    return g, pairs, est.walks(g, TRIANGLE, pairs, TRIANGLE.vertices, 0, _WALKS)
+
+
+@query(_walk_sql("SELECT walk, CAST(weight AS DOUBLE) AS weight FROM s2"))
+def walk_weights(spark, sf_dir):
+    return _walks(spark, sf_dir)[2]
+
+
+_SUMMARY = "SELECT count(*) AS n, round(avg(weight), 6) AS mean, round(1.96 * stddev_samp(weight) / sqrt(count(*)), 6) AS half_width, CAST(floor(avg(weight) + 0.5) AS BIGINT) AS estimate FROM s2"
+
+
+@query(_walk_sql(_SUMMARY))
+def walk_estimate(spark, sf_dir):
+    return est.summary(_walks(spark, sf_dir)[2]).select("n", F.round("mean", 6).alias("mean"), F.round("half_width", 6).alias("half_width"), "estimate")
+
+
+@query(_walk_sql(f"SELECT a.actual, e.estimate, round(CASE WHEN actual <> 0 THEN abs(actual - estimate) / CAST(actual AS DOUBLE) WHEN estimate = 0 THEN 0.0 ELSE 1.0 END, 9) AS error FROM (SELECT count(*) AS actual FROM ({sql.matches(TRIANGLE, True)})) a, ({_SUMMARY}) e"))
+def estimate_error(spark, sf_dir):
+    g, pairs, walks = _walks(spark, sf_dir)
+    actual = matcher.embeddings(g, TRIANGLE, pairs, TRIANGLE.vertices, True).agg(F.count("*").alias("actual"))
+    return est.relative_error(actual.join(est.summary(walks).select("estimate"))).withColumn("error", F.round("error", 9))
+
+
+# Mining
+
+_SHARE = 0.02
+_MINED = """lim AS (SELECT 0.02 * count(*) AS m FROM vertices),
+k1 AS (SELECT label AS a, count(*) AS support FROM prof, lim GROUP BY label, m HAVING count(*) > m),
+k2 AS (SELECT x.label AS a, y.label AS b, count(*) AS support FROM prof x JOIN prof y ON x.id = y.id AND (x.label < y.label OR (x.label = y.label AND x.cnt >= 2)), lim GROUP BY x.label, y.label, m HAVING count(*) > m),
+k3 AS (SELECT x.label AS a, y.label AS b, z.label AS c, count(*) AS support FROM prof x JOIN prof y ON x.id = y.id AND x.label <= y.label JOIN prof z ON x.id = z.id AND y.label <= z.label, lim
+    WHERE x.cnt >= 1 + (CASE WHEN x.label = y.label THEN 1 ELSE 0 END) + (CASE WHEN x.label = z.label THEN 1 ELSE 0 END) AND y.cnt >= 1 + (CASE WHEN y.label = z.label THEN 1 ELSE 0 END)
+    GROUP BY x.label, y.label, z.label, m HAVING count(*) > m)"""
+
+
+@query(sql.query("SELECT a AS items, support FROM k1 UNION ALL SELECT a || '|' || b, support FROM k2 UNION ALL SELECT a || '|' || b || '|' || c, support FROM k3", _MINED))
+def frequent_profiles(spark, sf_dir):
+    """Multisets of up to three labels in more than a fiftieth of the profiles."""
+    found = mining.frequent_profiles(trade_graph(spark, sf_dir).cached(), _SHARE, 3)
+    return found.select(F.array_join("items", "|").alias("items"), "support")
+
+
+@query(sql.query("""SELECT items, root, n FROM (SELECT *, row_number() OVER (PARTITION BY items ORDER BY n DESC, root) AS r FROM (
+       SELECT k2.a || '|' || k2.b AS items, v.label AS root, count(*) AS n FROM k2 JOIN prof x ON x.label = k2.a AND x.cnt >= (CASE WHEN k2.a = k2.b THEN 2 ELSE 1 END)
+       JOIN prof y ON y.id = x.id AND y.label = k2.b JOIN vertices v ON v.id = x.id GROUP BY ALL)) WHERE r = 1 AND n >= 20""", _MINED))
+def star_roots(spark, sf_dir):
+    g = trade_graph(spark, sf_dir).cached()
+    found = mining.frequent_profiles(g, _SHARE, 2).filter(F.size("items") == 2)
+    return mining.star_roots(g, found, 20).select(F.array_join("items", "|").alias("items"), "root", "n")
+
+
+def _roots(g: LabeledGraph, label: str, at_least: int) -> DataFrame:
+    return g.degrees().filter((F.col("label") == label) & (F.col("deg") >= at_least)).select("id")
+
+
+_ROOTS = "r1 AS (SELECT id FROM deg WHERE label = 'BUILDING' AND deg >= 3), r2 AS (SELECT id FROM deg WHERE label = 'MACHINERY' AND deg >= 3)"
+
+
+@query(sql.query("SELECT v.label, count(*) AS n FROM r1 JOIN adj a ON a.src = r1.id JOIN adj b ON b.dst = a.dst JOIN r2 ON r2.id = b.src AND r1.id <> r2.id JOIN vertices v ON v.id = a.dst GROUP BY v.label", _ROOTS))
+def merge_counts(spark, sf_dir):
+    g = trade_graph(spark, sf_dir)
+    return mining.merge_counts(g, _roots(g, "BUILDING", 3), _roots(g, "MACHINERY", 3))
+
+
+@query(sql.query("""SELECT x.label AS label_1, y.label AS label_2, count(*) AS n FROM r1 JOIN adj a ON a.src = r1.id JOIN vertices x ON x.id = a.dst AND x.label IN ('SUPPLIER', 'ECONOMY')
+       JOIN adj e ON e.src = a.dst JOIN vertices y ON y.id = e.dst AND y.label IN ('SUPPLIER', 'PROMO') JOIN adj b ON b.dst = e.dst JOIN r2 ON r2.id = b.src
+       WHERE a.dst <> r2.id AND e.dst <> r1.id GROUP BY ALL""", _ROOTS))
+def edge_counts(spark, sf_dir):
+    g = trade_graph(spark, sf_dir)
+    return mining.edge_counts(g, _roots(g, "BUILDING", 3), _roots(g, "MACHINERY", 3), ["SUPPLIER", "ECONOMY"], ["SUPPLIER", "PROMO"])
+
+
+@query()
+def combined_stars(spark, sf_dir):
+    """Vertices and edges of a pattern made from frequent stars."""
+    g = trade_graph(spark, sf_dir).cached()
+    p = mining.combine_stars(g, mining.frequent_profiles(g, _SHARE, 2), 20, 2, "edge", 1)
+    rows = [(u, None, label) for u, label in sorted(p.labels.items())] + [(a, b, None) for a, b in sorted(p.edges)]
+    return spark.createDataFrame(rows, "a int, b int, label string")
+
+
+# Samples
+
+_LANES, _SIZE = 20, 3
+_START = sql.lot("'7'", "'start'", "CAST(id AS VARCHAR)")
+_SAMPLE = f"""start AS (SELECT lot % {_LANES} AS lane, min_by(id, (lot, id)) AS id FROM (SELECT id, {_START} AS lot FROM vertices) GROUP BY lot % {_LANES}),
+g0 AS (SELECT lane, 0 AS step, id FROM start)""" + "".join(
+    f""", x{i} AS (SELECT DISTINCT g.lane, a.dst AS id FROM g{i - 1} g JOIN adj a ON a.src = g.id WHERE NOT EXISTS (SELECT 1 FROM g{i - 1} h WHERE h.lane = g.lane AND h.id = a.dst)),
+    g{i} AS (SELECT * FROM g{i - 1} UNION ALL SELECT lane, {i}, id FROM (SELECT lane, id, count(*) OVER (PARTITION BY lane) AS n, row_number() OVER (PARTITION BY lane ORDER BY id) - 1 AS rank FROM x{i}) WHERE rank = {sql.lot("'7'", "lane", f"'{i}'")} % n)"""
+    for i in range(1, _SIZE)
+) + f", sample AS (SELECT * FROM g{_SIZE - 1} WHERE lane IN (SELECT lane FROM g{_SIZE - 1} GROUP BY lane HAVING count(*) = {_SIZE}))"
+
+
+@query(sql.query("SELECT lane, step, id FROM sample", _SAMPLE))
+def neighbour_samples(spark, sf_dir):
+    return generate.random_neighbours(trade_graph(spark, sf_dir).cached(), _LANES, _SIZE)
+
+
+_PROPERTIES = """v AS (SELECT lane, count(*) AS n, count(DISTINCT label) AS n_labels FROM sample JOIN vertices USING (id) GROUP BY lane),
+e AS (SELECT a.lane, count(*) AS e FROM sample a JOIN edges ON src = a.id JOIN sample b ON b.lane = a.lane AND b.id = dst GROUP BY a.lane),
+props AS (SELECT v.lane, n, coalesce(e, 0) AS e, 2.0::DOUBLE * coalesce(e, 0) / n AS avg_degree, 2.0::DOUBLE * coalesce(e, 0) / (n * (n - 1)) AS density, n_labels FROM v LEFT JOIN e ON v.lane = e.lane)"""
+
+
+def _properties(spark, sf_dir):
+    g = trade_graph(spark, sf_dir).cached()
+    samples = generate.random_neighbours(g, _LANES, _SIZE)
+    return generate.properties(g, samples, generate.completed(g, samples))
+
+
+@query(sql.query("SELECT lane, n, e, avg_degree, density, n_labels FROM props", _SAMPLE, _PROPERTIES))
+def sample_properties(spark, sf_dir):
+    return _properties(spark, sf_dir)
+
+
+@query(sql.query(f"SELECT {_SIZE} AS size, CAST(count(*) FILTER (WHERE greatest(2.0::DOUBLE * (n - 1) / n, 1.0) < least(avg_degree, 2.5)) AS DOUBLE) / {_LANES} AS p FROM props", _SAMPLE, _PROPERTIES))
+def share_found(spark, sf_dir):
+    return generate.share_found(trade_graph(spark, sf_dir).cached(), _SIZE, _LANES, 1.0, 2.5)
+
+
+@query()
+def walk_samples(spark, sf_dir):
+    return generate.random_walks(trade_graph(spark, sf_dir).cached(), _LANES, 4)[0]
+
+
+@query()
+def trimmed_samples(spark, sf_dir):
+    g = trade_graph(spark, sf_dir).cached()
+    samples = generate.random_neighbours(g, _LANES, 5)
+    return generate.with_properties(g, samples, generate.completed(g, samples), degree=(1.0, 2.0))
+
+
+_FENCE = """nums AS (SELECT label, list_sort(list(CAST(deg AS DOUBLE))) AS v FROM deg GROUP BY label)"""
+
+
+def _quantile_sql(p: float) -> str:
+    pos = f"({p} * (len(v) + 1))"
+    low = f"CAST(floor{pos} AS BIGINT)"
+    return f"CASE WHEN {pos} < 1 THEN v[1] WHEN {pos} >= len(v) THEN v[len(v)] ELSE v[{low}] + ({pos} - floor{pos}) * (v[{low} + 1] - v[{low}]) END"
+
+
+@query(sql.query(f"SELECT label, round(CAST({_quantile_sql(0.25)} AS DOUBLE), 9) AS q1, round(CAST({_quantile_sql(0.75)} AS DOUBLE), 9) AS q3 FROM nums", _FENCE))
+def degree_quartiles(spark, sf_dir):
+    d = trade_graph(spark, sf_dir).degrees().groupBy("label").agg(F.sort_array(F.collect_list(F.col("deg").cast("double"))).alias("v"))
+    return d.select("label", F.round(quantile(F.col("v"), 0.25), 9).alias("q1"), F.round(quantile(F.col("v"), 0.75), 9).alias("q3"))
+
+
+@query(sql.query(f"""SELECT o.lane, o.estimate, f.fence, CASE WHEN estimate > fence THEN 'hard' WHEN most <= fence AND estimate = most THEN 'possibly hard' ELSE 'usual' END AS status
+    FROM (SELECT id AS lane, CAST(deg AS DOUBLE) AS estimate FROM deg WHERE label = 'SUPPLIER') o,
+    (SELECT {_quantile_sql(0.75)} + 3.0 * ({_quantile_sql(0.75)} - {_quantile_sql(0.25)}) AS fence, v[len(v)] AS most FROM (SELECT list_sort(list(CAST(deg AS DOUBLE))) AS v FROM deg WHERE label = 'SUPPLIER')) f"""))
+def outlier_fence(spark, sf_dir):
+    """Suppliers whose degree stands out, as samples whose estimate does."""
+    d = trade_graph(spark, sf_dir).degrees().filter("label = 'SUPPLIER'").select(F.col("id").alias("lane"), F.col("deg").cast("double").alias("estimate"))
+    return generate.outliers(d)
+
+
+# Reports
+
+
+@query(sql.query("SELECT round(avg(deg), 9) AS average, round(var_samp(deg), 6) AS mean_square_difference FROM deg"))
+def averages(spark, sf_dir):
+    d = trade_graph(spark, sf_dir).degrees()
+    return evaluate.average(d, "deg").join(evaluate.mean_square_difference(d, "deg")).select(F.round("average", 9).alias("average"), F.round("mean_square_difference", 6).alias("mean_square_difference"))
+
+
+_PATHS = f"a AS (SELECT {sql.mapping(PATH)} AS mapping FROM ({sql.matches(PATH, False)})), b AS (SELECT {sql.mapping(PATH)} AS mapping FROM ({sql.matches(PATH, True)}))"
+
+
+@query(sql.query("SELECT 'path' AS query, mapping, 'unexpected' AS side FROM a WHERE mapping NOT IN (SELECT mapping FROM b)", *sql.candidate_tables(PATH, False), _PATHS))
+def golden_differences(spark, sf_dir):
+    """Mappings that are found without, but not with the demand that absent edges be absent."""
+    named = lambda df: matcher.report(df, PATH).select(F.lit("path").alias("query"), "mapping")
+    return evaluate.differences(named(_matched(spark, sf_dir, PATH, False, False)), named(_matched(spark, sf_dir, PATH, True, False)))
+
+
+def _runs(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderpriority").alias("algorithm"), F.month("o_orderdate").alias("size"), F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("n_matches"), (F.col("o_custkey") + F.col("o_orderkey")).alias("n_backtracking"))
+
+
+_RUNS = "SELECT o_orderpriority AS algorithm, CAST(month(o_orderdate) AS INTEGER) AS size, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS n_matches, o_custkey + o_orderkey AS n_backtracking FROM orders"
+
+
+@query(f"SELECT algorithm, size, round(avg(n_matches), 6) AS avg_matchings, round(avg(n_backtracking), 6) AS avg_backtracking, count(n_matches) AS n_graphs FROM ({_RUNS}) GROUP BY algorithm, size")
+def comparison_avg(spark, sf_dir):
+    return evaluate.compare_algorithms(_runs(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("avg_matchings", "avg_backtracking")})
+
+
+@query(f"SELECT round(avg(n_matches), 6) AS avg_matchings, round(avg(n_backtracking), 6) AS avg_backtracking, count(*) AS n FROM ({_RUNS})")
+def report_averages(spark, sf_dir):
+    return evaluate.average_of_reports(_runs(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("avg_matchings", "avg_backtracking")})
+
+
+@query(f"SELECT algorithm, size, round(avg(n_matches), 6) AS matchings, round(ln(avg(n_backtracking)), 9) AS log_backtracking FROM ({_RUNS}) GROUP BY algorithm, size")
+def comparison_series(spark, sf_dir):
+    return evaluate.series(evaluate.compare_algorithms(_runs(spark, sf_dir))).select("algorithm", "size", F.round("matchings", 6).alias("matchings"), F.round("log_backtracking", 9).alias("log_backtracking"))
+
+
+_HARD = "SELECT CAST(p_size % 3 * 10 + 5 AS INTEGER) AS size, CAST(p_partkey % 7 AS INTEGER) AS de, CAST(p_partkey % 12 AS INTEGER) AS di, CASE WHEN p_size > 20 THEN 'hard' ELSE 'possibly hard' END AS status, p_retailprice AS estimate, CAST(p_partkey % 4 AS INTEGER) AS n_isomorphic FROM part WHERE p_size % 5 <> 0"
+
+
+def _hard(spark, sf_dir):
+    p = table(spark, sf_dir, "part").filter("p_size % 5 <> 0")
+    return p.select((F.col("p_size") % 3 * 10 + 5).alias("size"), (F.col("p_partkey") % 7).cast("int").alias("de"), (F.col("p_partkey") % 12).cast("int").alias("di"), F.when(F.col("p_size") > 20, "hard").otherwise("possibly hard").alias("status"), F.col("p_retailprice").alias("estimate"), (F.col("p_partkey") % 4).cast("int").alias("n_isomorphic"))
+
+
+_GRID = f"""WITH h AS ({_HARD}), cells AS (SELECT size, de, di, CAST(sum(CASE WHEN status = 'hard' THEN n_isomorphic + 1 END) AS BIGINT) AS n_graphs,
+    sum(CASE WHEN status = 'hard' THEN estimate * (n_isomorphic + 1) END) / sum(CASE WHEN status = 'hard' THEN n_isomorphic + 1 END) AS m FROM h GROUP BY ALL),
+grid AS (SELECT s.size, CAST(d.range AS INTEGER) AS de, CAST(i.range AS INTEGER) AS di FROM (SELECT DISTINCT size FROM h) s, range(1, 7) d, range(1, 11) i),
+found AS (SELECT g.size, g.de, g.di, CASE WHEN c.size IS NULL THEN -1 ELSE n_graphs END AS n_graphs, CASE WHEN c.size IS NULL THEN -1.0 ELSE m END AS mean_matchings FROM grid g LEFT JOIN cells c ON g.size = c.size AND g.de = c.de AND g.di = c.di)"""
+
+
+@query(f"{_GRID} SELECT size, de, di, CAST(n_graphs AS BIGINT) AS n_graphs, round(CAST(mean_matchings AS DOUBLE), 6) AS mean_matchings FROM found")
+def heatmap_grid(spark, sf_dir):
+    h = _hard(spark, sf_dir)
+    return evaluate.heat_map(h, h.select("size")).withColumn("mean_matchings", F.round("mean_matchings", 6))
+
+
+@query(f"{_GRID}, m AS (SELECT mean_matchings AS x, CASE WHEN mean_matchings >= 0 THEN mean_matchings END AS m FROM found) SELECT round(CAST(min(least(m, 1400.0)) AS DOUBLE), 6) AS low, round(CAST(max(least(m, 1400.0)) AS DOUBLE), 6) AS high, round(CAST(max(m) AS DOUBLE), 6) AS true_high, count(*) FILTER (WHERE m > 1400) AS n_capped, count(*) FILTER (WHERE x < 0) AS n_missing FROM m")
+def heatmap_ends(spark, sf_dir):
+    h = _hard(spark, sf_dir)
+    return evaluate.heat_map_ends(evaluate.heat_map(h, h.select("size")), 1400.0).withColumns({c: F.round(c, 6) for c in ("low", "high", "true_high")})
+
+
+@query("SELECT CAST(s_suppkey AS INTEGER) AS size, s_nationkey AS degree, round(abs(s_acctbal) / 20000, 4) AS p FROM supplier")
+def probability_grid(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    lines = s.select(F.concat(F.lit("Size:"), F.col("s_suppkey"), F.lit(", Degree: "), F.col("s_nationkey"), F.lit("---"), F.round(F.abs("s_acctbal") / 20000, 4).cast("string")).alias("value"))
+    return evaluate.probability_grid(lines.unionByName(spark.createDataFrame([("Probabilities",)], "value string")))
+
+
+@query("SELECT p_name, 'quickSI' AS enumeration, p_type AS candidate_order, 'graphQL' AS candidates, p_size AS size FROM part")
+def run_names(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("out/B_quickSI_PO_"), F.col("p_type"), F.lit("_C_graphQL_size_"), F.col("p_size").cast("string"), F.lit(".txt"))
+    return p.select("p_name", *evaluate.parse_run_name(name))
+
+
+# Text formats
+
+
+@query(sql.query("""SELECT 0 AS part, CAST(count(*) AS VARCHAR) AS value FROM vertices UNION ALL SELECT 1, id || ' ' || label FROM vertices
+       UNION ALL SELECT 2, CAST(deg AS VARCHAR) FROM deg UNION ALL SELECT 2, src || ' ' || dst FROM adj"""))
+def graph_as_lines(spark, sf_dir):
+    return formats.graph_lines(trade_graph(spark, sf_dir)).select("place.part", "value")
+
+
+@query(f"SELECT a || '->' || b AS query, 'all' AS target, true AS induced, a AS n_backtracking, CAST(NULL AS BIGINT) AS n_matches, CAST(1 AS BIGINT) AS n_mappings FROM (SELECT c_custkey AS a, CAST(c_nationkey AS BIGINT) AS b FROM customer)")
+def report_fields(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    text = F.concat(
+        F.lit("Query Graph: in/"), F.col("c_custkey"), F.lit("->"), F.col("c_nationkey"), F.lit(", Target Graph: data\\all\nNumber Backtracking: "), F.col("c_custkey"),
+        F.lit("\nInduced isomorphisms. Total number subgraph isomorphisms: \n# notes\nIsomorphism 1: 0->"), F.col("c_custkey"), F.lit(";\n"),
+    )
+    return formats.short_names(formats.parse_reports(c.select(text.alias("value")))).select("query", "target", "induced", "n_backtracking", "n_matches", F.size("mappings").cast("long").alias("n_mappings"))
+
+
+@query(sql.query("SELECT a AS items, support FROM k1 UNION ALL SELECT a || '|' || b, support FROM k2", _MINED))
+def itemset_lines(spark, sf_dir):
+    """Frequent profiles written as lines and read again."""
+    found = mining.frequent_profiles(trade_graph(spark, sf_dir).cached(), _SHARE, 2)
+    return formats.parse_itemset_lines(formats.itemset_lines(found)).select(F.array_join("items", "|").alias("items"), "support")

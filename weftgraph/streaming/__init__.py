@@ -1,0 +1 @@
+"""No streaming operators: graphs and patterns are tables at rest."""
