@@ -25,7 +25,7 @@ BINS = 1 << 20
 #: About so many rated texts of each grade are taken to learn from, by a hash of their id.
 PER_GRADE = 4000
 #: A bin counts only if, in some grade, its number of texts is so many deviations off what the grade's share of all words lets expect; others add noise.
-UNEVEN = 6.0
+UNEVEN = 5.0
 
 _WORDS = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 _UPPER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
