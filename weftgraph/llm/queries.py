@@ -95,5 +95,41 @@ SELECT f.page_id * 2 + 1 AS record_id, f.url_key, CASE WHEN s.page_id IS NULL TH
        CASE WHEN s.tag = f.tag THEN CAST(f.page_id + 1000 AS VARCHAR) END AS date,
        CASE WHEN s.tag = f.tag THEN CAST(s.size AS VARCHAR) END AS content_length
 FROM found f LEFT JOIN p s ON s.page_id = f.response
+""",
+    "op6_embedding_join": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), sound AS MATERIALIZED (
+    SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93
+), reach AS (
+    SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (
+    SELECT node, min(other) AS other FROM reach GROUP BY node
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, least(v.vec_id, coalesce(other, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(other, v.vec_id)) AS kept
+FROM v LEFT JOIN least ON node = v.vec_id
+""",
+    "op8_ngram_join": """
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+    SELECT DISTINCT doc_id, shingle FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM words)
+), sizes AS MATERIALIZED (
+    SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS MATERIALIZED (
+    SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL)
+    JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * k >= 75 * (s.n + t.n - k)
+), reach AS (
+    SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (
+    SELECT node, min(other) AS other FROM reach GROUP BY node
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(other, w.doc_id)) AS component_id
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN least ON node = w.doc_id
 """,
 }
