@@ -35,7 +35,7 @@ def _slice(rows: DataFrame, slices: int) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("at"))) if bounds else F.lit(0)
 
 
-def resolve_revisits(records: DataFrame, slices: int = 32) -> DataFrame:
+def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame:
     """record_id, url_key, status, response_id, headers: a row for each revisit.
 
     records: record_id (long), kind ('response' or 'revisit'; others are ignored), url, at (long, a time), headers (map of
@@ -43,8 +43,9 @@ def resolve_revisits(records: DataFrame, slices: int = 32) -> DataFrame:
     or without it on both sides last-modified, is on both sides and differs (the response's id is given, headers are null);
     'unvalidated' where no validator is on both sides (merged all the same); or 'missing' without an earlier response. Earlier means a
     smaller ``at``; among responses of one time the largest record_id counts. Revisits without url or time are 'missing', responses without are
-    ignored; null headers are empty; repeated revisits give repeated rows; an empty table gives an empty one. slices: parts of the time.
+    ignored; null headers are empty; repeated revisits give repeated rows; an empty table gives an empty one. slices: parts of the time, as many as shuffle partitions unless given.
     """
+    slices = slices or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = C.pick(records, *COLUMNS).filter(F.col("kind").isin("response", "revisit"))
     rows = rows.withColumn("url_key", canonical_url("url")).withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>"))).drop("url")
     known = rows.filter(F.col("url_key").isNotNull() & F.col("at").isNotNull())
