@@ -9,6 +9,7 @@ one only once while a worker remembers it.
 from __future__ import annotations
 
 import functools
+import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ def proven(path: str):
     """(the library's tokenizer, the strings that encode alone as one token, its special strings)."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has a worker of its own
     library = Tokenizer.from_file(path)
     special = [t.content for t in library.get_added_tokens_decoder().values()]
     vocabulary = library.get_vocab(with_added_tokens=False)
@@ -77,6 +79,12 @@ class TokenCounter:
         return len(pieces) - 1 + sum(self.plain(p) for p in pieces if p)
 
 
+@functools.lru_cache(1)
+def counter_of(path: str) -> TokenCounter:
+    """One for each worker, so that a task starts with the words that the one before it has met."""
+    return TokenCounter(path)
+
+
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit), a row for each row of docs.
 
@@ -90,7 +98,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
         path = public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches):
-        counter = TokenCounter(path)
+        counter = counter_of(path)
         for batch in batches:
             ids, texts = C.rows_of(batch, "doc_id", "text")
             texts = [t or "" for t in texts]
