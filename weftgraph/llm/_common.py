@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Distinct words that a Python worker remembers before it starts afresh.
 WORDS_KEPT = 400_000
 #: Characters of text that a worker handles as one block.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 
 #: Code points for which the pattern engines of the regex module and of the tokenizer libraries were compared one by one (tests/llm).
 COMPARED = r"\x00-\u0557\u0590-\u088e\u2010-\u208e\u3000-\u9fff\uac00-\ud7a3\uff00-\uffef"
@@ -45,6 +45,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a worker keeps from task to task under a key; the first call with another key lets go of it, so that a worker holds one operator's words at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    _held.clear()
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

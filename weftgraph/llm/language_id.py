@@ -136,6 +136,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
     model = model or train(docs)
 
     def run(batches):
+        C.let_go()
         of = Identifier(model)
         for batch in batches:
             ids, held, texts = C.rows_of(batch, "doc_id", "held_out", "text")
@@ -151,6 +152,7 @@ def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = Non
     model = model or train(docs)
 
     def run(batches):
+        C.let_go()
         of = Identifier(model)
         for batch in batches:
             found, scores = of(batch.column(at).to_pylist())

@@ -87,7 +87,7 @@ def classes(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, node of each document; and, with a part, the counts of shingles by counter."""
 
     def run(batches):
-        shingles, counts = Shingler(size), np.zeros(COUNTERS, np.uint32)
+        shingles, counts = C.held(("shingles", size), lambda: Shingler(size)), np.zeros(COUNTERS, np.uint32)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             ids, texts = C.rows_of(batch, "doc_id", "text")
@@ -139,7 +139,7 @@ def prefixes(docs: DataFrame, level: bytes, size: int, percent: int, buckets: in
     table = docs.sparkSession.sparkContext.broadcast(level)  # COUNTERS bytes
 
     def run(batches):
-        order, shingles = np.frombuffer(table.value, np.uint8), Shingler(size)
+        order, shingles = np.frombuffer(table.value, np.uint8), C.held(("shingles", size), lambda: Shingler(size))
         for _, texts in C.blocks(batches, "doc_id", "text"):
             seen, parts = set(), []
             for text in texts:
@@ -272,7 +272,7 @@ def sets_of(docs: DataFrame, of: DataFrame, nodes: DataFrame, size: int) -> Data
     chosen = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("wanted")), "left_semi")
 
     def run(batches):
-        shingles = Shingler(size)
+        shingles = C.held(("shingles", size), lambda: Shingler(size))
         for batch in batches:
             column = batch.column(0)
             for at in range(0, len(column), 500):

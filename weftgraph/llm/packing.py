@@ -39,7 +39,7 @@ def _library(path: str):
 
 
 class TextIds:
-    """Encodes texts. The tokenizer drops white space and its patterns never cross it, so words are encoded one by one, each distinct one once while it is remembered.
+    """Encodes texts; a worker keeps one from task to task. The tokenizer drops white space and its patterns never cross it, so words are encoded one by one, each distinct one once while it is remembered.
 
     The patterns cut a word into parts, each of which ends in a token that ends words. So the parts of many new words
     go to the library as one text, and the ids are dealt back by those tokens.
@@ -91,17 +91,11 @@ class TextIds:
         return out
 
 
-@functools.lru_cache(1)
-def text_ids(path: str) -> TextIds:
-    """One for each worker, so that a task starts with the words that the one before it has met."""
-    return TextIds(path)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     """The pieces of each document, with the task that made them and their rank among its pieces of that length."""
 
     def run(batches):
-        ids_of, seen, task = text_ids(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        ids_of, seen, task = C.held(("packing", path), lambda: TextIds(path)), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
         for keys, texts in C.blocks(batches, "doc_id", "text"):
             out: list[list] = [[] for _ in range(6)]

@@ -218,6 +218,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        C.let_go()
         for batch in batches:
             ids, texts = C.rows_of(batch, "doc_id", "text")
             found = [find(t or "") for t in texts]
@@ -245,6 +246,7 @@ def redact(docs: DataFrame) -> DataFrame:
     at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
+        C.let_go()
         for batch in batches:
             texts = [t if t is None else redacted(t) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)

@@ -173,6 +173,7 @@ def grade_documents(docs: DataFrame, labels: DataFrame | None = None, model: tup
     model = model or train(docs, labels)
 
     def run(batches):
+        C.let_go()
         of = Grader(model)
         for batch in batches:
             ids, texts = C.rows_of(batch, "doc_id", "text")
@@ -187,6 +188,7 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, model: tuple[np.
     model = model or train(docs, labels)
 
     def run(batches):
+        C.let_go()
         of = Grader(model)
         for batch in batches:
             yield batch.filter(pa.array(of(batch.column(at).to_pylist())[1] >= least))

@@ -37,7 +37,7 @@ def proven(path: str):
 
 
 class TokenCounter:
-    """Counts the tokens of texts as the library does."""
+    """Counts the tokens of texts as the library does; a worker keeps one from task to task."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -79,12 +79,6 @@ class TokenCounter:
         return len(pieces) - 1 + sum(self.plain(p) for p in pieces if p)
 
 
-@functools.lru_cache(1)
-def counter_of(path: str) -> TokenCounter:
-    """One for each worker, so that a task starts with the words that the one before it has met."""
-    return TokenCounter(path)
-
-
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit), a row for each row of docs.
 
@@ -98,7 +92,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
         path = public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches):
-        counter = counter_of(path)
+        counter = C.held(("counts", path), lambda: TokenCounter(path))
         for batch in batches:
             ids, texts = C.rows_of(batch, "doc_id", "text")
             texts = [t or "" for t in texts]
