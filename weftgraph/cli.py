@@ -113,6 +113,14 @@ def construct_hard_to_find(spark, a):
             formats.write_proteins(LabeledGraph.from_pattern(spark, p), f"{a.out}/size_{size}_de_{de}_di_{di}_{i}")
 
 
+def prop_random_walk_estimation(spark, a):
+    """One cell of the grid of hard patterns: samples of --size with a degree from --degree and a diameter from --diameter."""
+    graph = formats.read_graph(spark, a.target, a.target_format).cached()
+    found = generate.hard_to_find(graph, a.size, a.lanes, a.degree, a.diameter, a.density, a.labels, a.factor, a.walks, a.seed, a.induced, a.method)
+    low = lambda pair: int(pair[0]) if pair else 0
+    formats.hard_graph_rows(spark, found, a.size, low(a.degree), low(a.diameter)).write.parquet(a.out)
+
+
 def prob_graph_with_props(spark, a):
     graph = formats.read_graph(spark, a.target, a.target_format).cached()
     out = None
@@ -158,6 +166,7 @@ VERBS = {
     "RandomWalk": (random_walk, ["target"]),
     "RandomGraphWithProp": (random_graph_with_prop, ["target"]),
     "ConstructHardToFindGraphs": (construct_hard_to_find, ["target"]),
+    "PropRandomWalkEstimation": (prop_random_walk_estimation, ["target"]),
     "ProbGraphWithProps": (prob_graph_with_props, ["target"]),
     "TestIsomorphism": (test_isomorphism, ["reports", "target"]),
     "Average": (average, ["reports"]),

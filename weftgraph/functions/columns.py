@@ -6,7 +6,7 @@ import tempfile
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COMPLETE, SUBSETS = "COMPLETE", "SUBSETS"
@@ -54,3 +54,14 @@ def materialised(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
+    """df with each row's place, from 0, in the given order. Rows are sorted in ranges and numbered within them; only the ranges' sizes meet in one task."""
+    placed = materialised(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # as many rows as ranges
+    return joined.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import materialised, pick
+from weftgraph.functions.columns import materialised, numbered, pick
 from weftgraph.operators.graph import LabeledGraph
 from weftgraph.plans.pattern import Pattern
 from weftgraph.plans.planner import breadth_first_order, skeleton
@@ -21,10 +21,10 @@ def walks(graph: LabeledGraph, pattern: Pattern, pairs: DataFrame, order: list[i
     steps = skeleton(pattern, breadth_first_order(pattern, order))
     spark = pairs.sparkSession
     roots = pairs.filter(F.col("u") == steps[0].vertex).select("v")
-    ranked = roots.join(roots.agg(F.count("*").alias("n"))).withColumn("rank", F.row_number().over(Window.orderBy("v")) - 1)  # candidates of one pattern vertex
-    numbered = spark.range(first, last).select(F.col("id").alias("walk"))
+    ranked = numbered(roots, "v", name="rank")
+    lanes = spark.range(first, last).select(F.col("id").alias("walk"))
     n_roots = roots.agg(F.count("*").alias("n"))
-    state = numbered.join(n_roots).withColumn("rank", F.when(F.col("n") > 0, pick(F.col("n"), seed, F.col("walk"), 0)))
+    state = lanes.join(n_roots).withColumn("rank", F.when(F.col("n") > 0, pick(F.col("n"), seed, F.col("walk"), 0)))
     state = state.join(ranked.select("rank", F.col("v").alias(f"m{steps[0].vertex}")), "rank", "left").select("walk", f"m{steps[0].vertex}", F.when(F.col(f"m{steps[0].vertex}").isNull(), 0.0).otherwise(F.col("n").cast("double")).alias("weight"))
     for i, step in enumerate(steps[1:], 1):
         if step.parent is None:

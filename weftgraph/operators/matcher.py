@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import COMPLETE, materialised
+from weftgraph.functions.columns import COMPLETE, materialised, numbered
 from weftgraph.operators import candidates as cand
 from weftgraph.operators.graph import LabeledGraph
 from weftgraph.plans.pattern import Pattern
@@ -158,12 +158,4 @@ def search_profile(p: Plan, induced: bool) -> DataFrame:
 def report(matches: DataFrame, pattern: Pattern) -> DataFrame:
     """idx, mapping: each match as 'u->v;...' in the order of the strings, numbered from 1."""
     text = F.concat_ws("", *[F.concat(F.lit(f"{u}->"), F.col(f"m{u}").cast("string"), F.lit(";")) for u in pattern.vertices])
-    rows = matches.select(text.alias("mapping"))
-    sized = rows.withColumn("head", F.substring("mapping", 1, 64))
-    from pyspark.sql import Window
-
-    by_head = sized.groupBy("head").agg(F.count("*").alias("n"))
-    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    offset = by_head.select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    nth = Window.partitionBy("head").orderBy("mapping")
-    return sized.join(offset, "head").select((F.col("offset") + F.row_number().over(nth)).alias("idx"), "mapping")
+    return numbered(matches.select(text.alias("mapping")), "mapping").select((F.col("idx") + 1).alias("idx"), "mapping")
