@@ -46,48 +46,52 @@ class TextIds:
     """
 
     def __init__(self, path: str):
-        self.library, self.known, self.parts, self.chars = _library(path), {}, {}, 0
+        self.library, self.known, self.chars = _library(path), {}, 0
         self.ends = frozenset(i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>"))
         self.words = re.compile(f"[^{SPACE}]+").findall
         #: Letters whose case or class the library decides, odd separators, and special strings, which have one case.
-        self.wide = re.compile("[^\x00-\u012f]|[\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]|<\\|").search
+        self.wide = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f]").search
         self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
 
     def encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def solve(self, fresh: list[str]) -> None:
-        cut = [self.cut(w) for w in fresh]
-        wanted = list({p for parts in cut for p in parts if p not in self.parts})
+        known, pack, ends = self.known, struct.pack, self.ends
+        mixed = [(w, self.cut(w)) for w in fresh if not w.isalpha()]
+        wanted = {w for w in fresh if w.isalpha()}
+        wanted.update(p for _, parts in mixed for p in parts)
+        wanted = list(wanted.difference(known))
         for at in range(0, len(wanted), 1000):
             lot, found, own = wanted[at : at + 1000], [], []
             for i in self.encoded([" ".join(lot)])[0]:
                 own.append(i)
-                if i in self.ends:
-                    found.append(own)
+                if i in ends:
+                    found.append(pack(f"<{len(own)}I", *own))
                     own = []
             if own or len(found) != len(lot):
-                found = self.encoded(lot)
-            self.parts.update((p, struct.pack(f"<{len(ids)}I", *ids)) for p, ids in zip(lot, found))
-        part = self.parts.__getitem__
-        self.known.update((w, part(c[0]) if len(c) == 1 else b"".join(map(part, c))) for w, c in zip(fresh, cut))
+                found = [pack(f"<{len(ids)}I", *ids) for ids in self.encoded(lot)]
+            known.update(zip(lot, found))
+        part = known.__getitem__
+        for w, parts in mixed:
+            if len(parts) > 1:
+                known[w] = b"".join(map(part, parts))
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.wide(text):
+        if self.wide(text) or "<|" in text:
             words = list(dict.fromkeys(spelled := self.words(text)))
             ids = dict(zip(words, (struct.pack(f"<{len(x)}I", *x) for x in self.encoded(words))))
             return b"".join(map(ids.__getitem__, spelled))
         words = text.lower().split()
-        try:
+        fresh = list(set(words).difference(self.known))
+        if not fresh:
             return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            fresh = [w for w in set(words) if w not in self.known]
         self.solve(fresh)
         out = b"".join(map(self.known.__getitem__, words))
         self.chars += sum(map(len, fresh))
-        if len(self.known) + len(self.parts) > 2 * C.WORDS_KEPT or self.chars > C.BLOCK_CHARS:
-            self.known, self.parts, self.chars = {}, {}, 0
+        if len(self.known) > 2 * C.WORDS_KEPT or self.chars > 2 * C.BLOCK_CHARS:
+            self.known, self.chars = {}, 0
         return out
 
 
