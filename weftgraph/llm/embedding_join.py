@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftgraph.llm import _common as C
-from weftgraph.llm.components import connected
+from weftgraph.llm.components import connected, forest
 
 #: Axes of a block, vectors of a page, and vectors that the rotation is learned from.
 BLOCK, PAGE, SAMPLE = 16, 1024, 4000
@@ -70,24 +70,6 @@ def _links(x, y, rx, ry, blocks, k: int, cosine: float, same: bool) -> tuple[np.
     return i[keep], j[keep]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, smallest node) that connect what the links a, b connect."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    least = np.arange(len(nodes))
-    while True:
-        low = np.minimum(least[i], least[j])
-        after = least.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        after = after[after]
-        if (after == least).all():
-            break
-        least = after
-    off = least != np.arange(len(nodes))
-    return nodes[off], nodes[least[off]]
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of vectors.
 
@@ -186,7 +168,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
                 if not len(i):
                     continue
                 counted = [(ids, np.bincount(i, many_y[j], len(ids))), (ids_y, np.bincount(j, many[i], len(ids_y)))]
-                node, to = _forest(ids[i], ids_y[j])
+                node, to = forest(ids[i], ids_y[j])
                 a = np.concatenate([c[0][c[1] > 0] for c in counted] + [node])
                 n = np.concatenate([c[1][c[1] > 0].astype(np.int64) for c in counted] + [np.zeros(len(node), np.int64)])
                 b = pa.concat_arrays([pa.nulls(len(a) - len(node), pa.int64()), pa.array(to)])
