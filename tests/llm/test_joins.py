@@ -55,15 +55,16 @@ def corpus(rng, n):
     return out
 
 
-@pytest.mark.parametrize("seed,short", [(1, 12), (2, 2)])
-def test_jaccard_against_all_pairs(spark, monkeypatch, seed, short):
+@pytest.mark.parametrize("seed,short,hot", [(1, 12, ngram_join.HOT), (2, 2, ngram_join.HOT), (1, 12, -3), (2, 4, 1)])
+def test_jaccard_against_all_pairs(spark, monkeypatch, seed, short, hot):
+    """hot: -3 deals every list to several tasks."""
     monkeypatch.setattr(ngram_join, "SHORT", short)
     texts = corpus(random.Random(seed), 120)
     sets = [shingles(t) for t in texts]
     linked = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     expected = groups(range(len(texts)), linked)
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, component_id int")
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df, hot=hot).collect()}
     assert found == {i: (len(sets[i]), expected[i]) for i in expected}
 
 
@@ -77,9 +78,10 @@ def test_jaccard_edge_rows(spark):
     assert sorted(repr(r["doc_id"]) for r in kept) == sorted(["5", "None", "7", "None", "8"])
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_a_long_path(spark, few):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (None, 3), (300, 301)], "a long, b long")
-    found = {r["node"]: r["component"] for r in connected(links).collect()}
+    found = {r["node"]: r["component"] for r in connected(links, few).collect()}
     assert found == dict.fromkeys(range(201), 0) | {300: 300, 301: 300}
 
 

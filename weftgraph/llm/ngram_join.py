@@ -9,7 +9,8 @@
    the positional filter.
 4. A short list gives all such pairs. A long one gives chains in three orders; once their
    links are known, it gives only pairs of classes that are not yet connected. So
-   thousands of near copies are not multiplied out and yet no connection is missed.
+   thousands of near copies are not multiplied out and yet no connection is missed. A very long list is
+   dealt to several tasks, with leaders of all its parts in one more.
 5. What the counted common shingles and the suffixes can add up to is the suffix filter. Each
    pair that is left is checked once on the whole sets.
 """
@@ -33,6 +34,8 @@ SIZE, PERCENT = 5, 75
 COUNTERS, PARTS = 1 << 22, 64
 #: Lists of at most so many members give all their pairs at once.
 SHORT = 12
+#: A list that seems to have so many members (and far more than the counters' mean) is dealt to several tasks.
+HOT = 1_000_000
 #: Ids whose set is small enough to be sent to all executors.
 FEW = 1_000_000
 
@@ -131,12 +134,34 @@ def levels(counted: DataFrame) -> bytes:
     return b"".join(found.get(k, bytes(COUNTERS // PARTS)) for k in range(PARTS))
 
 
-ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("n", "<u4"), ("place", "<u4")])
+ENTRY = np.dtype([("home", "<u4"), ("key", "<u4"), ("node", "<i8"), ("n", "<u4"), ("place", "<u4")])
+#: Marks of ``home``, the bucket that a shingle belongs to: an entry of a list that is dealt to several tasks, and a copy of one for the list's leaders.
+SPLIT, LEADER = np.uint32(1 << 30), np.uint32(1 << 31)
 
 
-def prefixes(docs: DataFrame, level: bytes, size: int, percent: int, buckets: int) -> DataFrame:
+def hot_limit(level: bytes, hot: int) -> float:
+    return hot + 4 * float(np.exp2(np.frombuffer(level, np.uint8) / 8.0).mean())
+
+
+def _dealt(entry: np.ndarray, found: np.ndarray, count: np.ndarray, buckets: int, limit: float) -> np.ndarray:
+    """The entries with their buckets. Those of a hot list go to several, by node, and some of them, its leaders, once more to one."""
+    home = (found % np.uint64(buckets)).astype(np.uint32)
+    entry["home"], entry["bucket"] = home, home
+    parts = np.where(count > limit, count / limit + 1, 1).astype(np.uint64)
+    hot = parts > 1
+    if not hot.any():
+        return entry
+    mixed = entry["node"].view(np.uint64) * _MIX[2] >> np.uint64(17)
+    entry["bucket"] = np.where(hot, (home + (mixed % parts + np.uint64(1)) * np.uint64(7919)) % np.uint64(buckets), home)
+    entry["home"] = np.where(hot, home | SPLIT, home)
+    leaders = entry[hot & (mixed // parts % parts == 0)]
+    leaders["bucket"], leaders["home"] = leaders["home"] & (SPLIT - np.uint32(1)), leaders["home"] | LEADER
+    return np.concatenate((entry, leaders))
+
+
+def prefixes(docs: DataFrame, level: bytes, size: int, percent: int, buckets: int, hot: int) -> DataFrame:
     """bucket, entries: the prefix shingles of each class, packed by bucket."""
-    table = docs.sparkSession.sparkContext.broadcast(level)  # COUNTERS bytes
+    table, limit = docs.sparkSession.sparkContext.broadcast(level), hot_limit(level, hot)  # COUNTERS bytes
 
     def run(batches):
         order, shingles = np.frombuffer(table.value, np.uint8), C.held(("shingles", size), lambda: Shingler(size))
@@ -149,14 +174,14 @@ def prefixes(docs: DataFrame, level: bytes, size: int, percent: int, buckets: in
                     continue
                 seen.add(node)
                 take = n - -(-percent * n // 100) + 1
-                rank = order[(found % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
+                rarity = order[(found % np.uint64(COUNTERS)).astype(np.int64)]
+                rank = rarity.astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
                 first = np.argpartition(rank, take - 1)[:take] if take < n else np.arange(n)
                 first = first[np.argsort(rank[first])]
                 entry = np.empty(take, [("bucket", "<i4"), *ENTRY.descr])
-                entry["bucket"] = (found[first] % np.uint64(buckets)).astype(np.int32)
                 entry["key"] = found[first] >> np.uint64(32)
                 entry["node"], entry["n"], entry["place"] = node, n, np.arange(take)
-                parts.append(entry)
+                parts.append(_dealt(entry, found[first], np.exp2(rarity[first] / 8.0), buckets, limit))
             if not parts:
                 continue
             every = np.concatenate(parts)
@@ -212,33 +237,37 @@ def lists(packed: DataFrame, percent: int, partitions: int) -> DataFrame:
                 held.setdefault(bucket, []).append(_unpacked(blob))
         for bucket in sorted(held):
             e = np.concatenate(held.pop(bucket))
-            e = e[np.lexsort((e["node"], e["key"]))]
-            fresh = np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["node"][1:] != e["node"][:-1])))
-            e = e[fresh]  # copies in other blocks
-            begin = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
+            lists = e["home"].astype(np.uint64) << np.uint64(32) | e["key"]
+            order = np.lexsort((e["node"], lists))
+            e, lists = e[order], lists[order]
+            fresh = np.concatenate(([True], (lists[1:] != lists[:-1]) | (e["node"][1:] != e["node"][:-1])))
+            e, lists = e[fresh], lists[fresh]  # without copies from other blocks
+            begin = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
             count = np.diff(np.append(begin, len(e)))
-            many = np.repeat(count, count)
-            e, many = e[many > 1], many[many > 1]
+            split = e["home"] >= SPLIT
+            many = np.where(split, SHORT + 1, np.repeat(count, count))  # a part of a list is never a short one
+            e, lists, many = e[many > 1], lists[many > 1], many[many > 1]
             found = []
             for step in range(1, SHORT):  # all pairs of short lists, at each distance
-                at = np.flatnonzero((e["key"][step:] == e["key"][:-step]) & (many[step:] <= SHORT))
+                at = np.flatnonzero((lists[step:] == lists[:-step]) & (many[step:] <= SHORT))
                 if not len(at):
                     break
                 found.append(_pairs(e, at, at + step, percent, 1))
-            e = e[many > SHORT]
+            e, lists = e[many > SHORT], lists[many > SHORT]
             if len(e):
                 mixed = e["node"].view(np.uint64)
                 for lot in (e["n"], mixed * _MIX[0] >> np.uint64(20), mixed * _MIX[1] >> np.uint64(20)):
-                    order = np.lexsort((lot, e["key"]))
-                    at = np.flatnonzero(e["key"][order[1:]] == e["key"][order[:-1]])
+                    order = np.lexsort((lot, lists))
+                    at = np.flatnonzero(lists[order[1:]] == lists[order[:-1]])
                     pairs = _pairs(e, order[at], order[at + 1], percent, 0)
                     found.append(pairs[pairs[:, 5] > 0])
             if found and sum(map(len, found)):
                 pairs = _tallied(found)
                 none = pa.nulls(len(pairs), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, *[pa.array(np.ascontiguousarray(c)) for c in pairs.T], none], ["list", *PAIR, "place"])
+            e = e[e["home"] < LEADER]  # leaders are members of their parts
             if m := len(e):
-                name = np.int64(bucket) << np.int64(32) | e["key"].astype(np.int64)
+                name = (e["home"] & (SPLIT - np.uint32(1))).astype(np.int64) << np.int64(32) | e["key"].astype(np.int64)
                 none = pa.nulls(m, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(e["node"].copy()), none, pa.array(e["n"].astype(np.int64)), none, none, none, pa.array(e["place"].astype(np.int64))], ["list", *PAIR, "place"])
 
@@ -296,7 +325,7 @@ def _checked(docs, of, pairs, size, percent) -> DataFrame:
     return C.checkpointed(verified(pairs.select("a", "b"), C.checkpointed(sets_of(docs, of, nodes, size)), percent))
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs.
 
     Words are runs of anything but ASCII white space, with A-Z as a-z; a set holds the distinct shingles
@@ -312,7 +341,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     first = C.checkpointed(classes(docs, size))
     of = first.filter("part is null").select("doc_id", "n", "node")
     level = levels(first.filter("part is not null").select("part", "counts"))
-    found = C.checkpointed(lists(prefixes(docs, level, size, percent, 4 * partitions), percent, partitions))
+    found = C.checkpointed(lists(prefixes(docs, level, size, percent, 4 * partitions, hot), percent, partitions))
     members = found.filter("list is not null").select("list", F.col("a").alias("node"), F.col("n_a").alias("n"), "place")
     pairs = C.checkpointed(candidates(found, members, percent))
     links = _checked(docs, of, pairs, size, percent)
