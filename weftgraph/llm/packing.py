@@ -90,7 +90,7 @@ class TextIds:
         self.solve(fresh)
         out = b"".join(map(self.known.__getitem__, words))
         self.chars += sum(map(len, fresh))
-        if len(self.known) > 2 * C.WORDS_KEPT or self.chars > 2 * C.BLOCK_CHARS:
+        if len(self.known) > C.WORDS_KEPT or self.chars > C.BLOCK_CHARS:
             self.known, self.chars = {}, 0
         return out
 
