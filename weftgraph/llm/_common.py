@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 import numpy as np
@@ -51,13 +53,18 @@ _held: dict = {}
 def held(key, make):
     """What a worker keeps from task to task under a key; the first call with another key lets go of it, so that a worker holds one operator's words at a time."""
     if key not in _held:
-        _held.clear()
+        let_go()
         _held[key] = make()
     return _held[key]
 
 
 def let_go() -> None:
+    """Drops what the worker keeps and gives free memory back to the system, as workers live on through other operators."""
     _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
