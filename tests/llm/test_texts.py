@@ -122,6 +122,22 @@ def test_language_edge_rows(spark):
     assert language_id.identify(untaught).first()["lang_pred"] == "und"
 
 
+def test_unlearned_languages_go(spark):
+    rng = random.Random(4)
+    cyrillic = "все люди рождаются свободными и равными в своём достоинстве и правах они наделены разумом и совестью".split()
+    chinese = "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待"
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto".split()
+    strange = [" ".join(rng.choice(words) for _ in range(k)) for words in (cyrillic, finnish) for k in (30, 100, 400)]
+    strange += ["".join(rng.choice(chinese) for _ in range(k)) for k in (30, 400)]
+    strange += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(k)) for k in (30, 100, 1000)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(strange)], docs.schema)
+    kept = {r["doc_id"] for r in language_id.keep_known(docs.unionByName(more)).select("doc_id").collect()}
+    assert not {i for i in kept if i >= 10**9}
+    held = [r["doc_id"] for r in docs.select("doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert sum(i in kept for i in held) >= 0.98 * len(held)
+
+
 def test_long_texts_lose_no_ngram(monkeypatch):
     text = "".join(random.Random(1).choice("abcdé ") for _ in range((1 << 20) + 5000))
     whole, parts = np.zeros(language_id.BINS, np.uint8), np.zeros(language_id.BINS, np.uint8)

@@ -29,6 +29,8 @@ PER_LANGUAGE, LANDMARKS = 300, 100
 #: Texts that share one matrix product.
 BATCH = 128
 UNKNOWN = "und"
+#: Parts of the training texts that are left out in turn, and the share of their texts that may fall below the floor of firmness.
+FOLDS, LOST = 5, 0.005
 
 _letter = re.compile(r"[^\W\d_]").search
 _PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
@@ -50,38 +52,74 @@ def presences(text: str, row: np.ndarray) -> None:
             row[(mixed + np.uint32(n * 0x27D4EB2F)) >> np.uint32(17)] = 1
 
 
-def fit(rows: list[tuple[str, bytes]], ridge: float = 1e-3) -> tuple[list[str], np.ndarray]:
-    """(languages, matrix of bins by languages) from (language, packed presences) of training texts."""
+def _prepared(rows: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, texts by bins of length one, index of each text's language)."""
     languages = sorted({r[0] for r in rows})
-    if not rows:
-        return [], np.zeros((BINS, 0), np.float32)
     rows = sorted(rows)
     x = np.unpackbits(np.array([np.frombuffer(r[1], np.uint8) for r in rows]), axis=1).astype(np.float32)
     x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    of = np.array([languages.index(r[0]) for r in rows])
-    y = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
+    return languages, x, np.array([languages.index(r[0]) for r in rows])
+
+
+def _landmarks(of: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([np.flatnonzero(of == k)[:LANDMARKS] for k in range(n)])
+
+
+def _solved(nm: np.ndarray, mm: np.ndarray, of: np.ndarray, n: int, ridge: float) -> np.ndarray:
+    """Landmarks by languages, from the kernel of texts by landmarks and of landmarks by landmarks."""
+    y = np.where(of[:, None] == np.arange(n), 1.0, -1.0)
     share = 1 / np.bincount(of)[of]
-    landmarks = np.concatenate([np.flatnonzero(of == k)[:LANDMARKS] for k in range(len(languages))])
-    z = x[landmarks]
-    nm, mm = (x @ z.T).astype(np.float64), (z @ z.T).astype(np.float64)
-    left = nm.T @ (share[:, None] * nm) + ridge * mm + 1e-9 * np.eye(len(z))
-    w = np.linalg.solve(left, nm.T @ (share[:, None] * y))
+    left = nm.T @ (share[:, None] * nm) + ridge * mm + 1e-9 * np.eye(len(mm))
+    return np.linalg.solve(left, nm.T @ (share[:, None] * y))
+
+
+def fit(rows: list[tuple[str, bytes]], ridge: float = 1e-3) -> tuple[list[str], np.ndarray]:
+    """(languages, matrix of bins by languages) from (language, packed presences) of training texts."""
+    if not rows:
+        return [], np.zeros((BINS, 0), np.float32)
+    languages, x, of = _prepared(rows)
+    z = x[_landmarks(of, len(languages))]
+    w = _solved((x @ z.T).astype(np.float64), (z @ z.T).astype(np.float64), of, len(languages), ridge)
     return languages, (z.T @ w).astype(np.float32)
 
 
+def firmness(values: np.ndarray) -> np.ndarray:
+    """The highest one-versus-rest value of each row plus its lead over the second (over -1, where there is one language).
+
+    About 3 for a text like the training ones. One that shares nothing with them has values near 0 and no lead;
+    one that shares a little of each language has values near 2 / languages - 1 and little lead.
+    """
+    ranked = np.sort(values, axis=1)
+    return 2 * ranked[:, -1] - (ranked[:, -2] if ranked.shape[1] > 1 else -1.0)
+
+
+def least_firmness(rows: list[tuple[str, bytes]], ridge: float = 1e-3) -> float:
+    """The firmness that all but LOST of the training texts reach, each by a model of the FOLDS - 1 parts it is not in; no bound from fewer than two texts."""
+    if len(rows) < 2:
+        return -np.inf
+    languages, x, of = _prepared(rows)
+    kernel = (x @ x.T).astype(np.float64)
+    part, values = np.arange(len(rows)) % FOLDS, np.zeros((len(rows), len(languages)))
+    for k in range(min(FOLDS, len(rows))):
+        own, rest = np.flatnonzero(part == k), np.flatnonzero(part != k)
+        at = rest[_landmarks(of[rest], len(languages))]
+        values[own] = kernel[np.ix_(own, at)] @ _solved(kernel[np.ix_(rest, at)], kernel[np.ix_(at, at)], of[rest], len(languages), ridge)
+    return float(np.quantile(firmness(values), LOST, method="lower"))
+
+
 def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Learns from text and lang of rows with a language, a letter and crc32(doc_id as text) mod 3 other than 1.
+def taught(docs: DataFrame) -> list[tuple[str, bytes]]:
+    """(language, packed presences) of the texts to learn from: rows with a language, a letter and crc32(doc_id as text) mod 3 other than 1.
 
     Their presences, not their texts, reach the driver: about PER_LANGUAGE rows of BINS bits for each language.
     """
     labelled = C.pick(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (remainder() != 1))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return fit([])
+        return []
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     wanted = F.lit(False)
     for lang, n in sorted(counts.items()):
@@ -99,18 +137,23 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary())], ["lang", "bits"])
 
     taken = labelled.filter(wanted).mapInArrow(run, "lang string, bits binary").collect()
-    return fit([(r["lang"], bytes(r["bits"])) for r in taken])
+    return [(r["lang"], bytes(r["bits"])) for r in taken]
+
+
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Learns from text and lang of docs."""
+    return fit(taught(docs))
 
 
 class Identifier:
-    """(language, score) of texts by a trained model."""
+    """(language, score, firmness) of texts by a trained model."""
 
     def __init__(self, model: tuple[list[str], np.ndarray]):
         self.languages, self.matrix = model
         self.x = np.zeros((BATCH, BINS), np.float32)
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        found, scores, firm = [UNKNOWN] * len(texts), [0.0] * len(texts), [-np.inf] * len(texts)
         readable = [k for k, t in enumerate(texts) if has_letter(t)] if self.languages else []
         for at in range(0, len(readable), BATCH):
             part = readable[at : at + BATCH]
@@ -119,9 +162,9 @@ class Identifier:
             for row, k in zip(x, part):
                 presences(texts[k], row)
             values = x @ self.matrix / np.sqrt(x.sum(1, keepdims=True))
-            for k, best, v in zip(part, values.argmax(1).tolist(), values):
-                found[k], scores[k] = self.languages[best], min(1.0, max(0.0, (float(v[best]) + 1) / 2))
-        return found, scores
+            for k, best, v, f in zip(part, values.argmax(1).tolist(), values, firmness(values).tolist()):
+                found[k], scores[k], firm[k] = self.languages[best], min(1.0, max(0.0, (float(v[best]) + 1) / 2)), f
+        return found, scores, firm
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
@@ -140,23 +183,29 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
         of = Identifier(model)
         for batch in batches:
             ids, held, texts = C.rows_of(batch, "doc_id", "held_out", "text")
-            found, scores = of(texts)
+            found, scores, _ = of(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = C.pick(docs, "doc_id", "text").select("doc_id", F.coalesce(remainder() == 1, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, T.StructType.fromDDL(SCHEMA))
 
 
-def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, least: float = 0.25) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a language with a score of ``least`` or more."""
-    model = model or train(docs)
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, least: float = 0.25, firm: float | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language with a score of ``least`` or more and a firmness of ``firm`` or more.
+
+    Without ``firm``, it is learned from docs (``least_firmness``), so that texts of no learned language go and
+    all but a few in a thousand of the others stay.
+    """
+    rows = taught(docs) if model is None or firm is None else []
+    model = model or fit(rows)
+    bound = least_firmness(rows) if firm is None else firm
 
     def run(batches):
         C.let_go()
         of = Identifier(model)
         for batch in batches:
-            found, scores = of(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([f != UNKNOWN and s >= least for f, s in zip(found, scores)], pa.bool_()))
+            found, scores, firmly = of(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([f != UNKNOWN and s >= least and v >= bound for f, s, v in zip(found, scores, firmly)], pa.bool_()))
 
     at = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)
