@@ -78,6 +78,16 @@ def test_jaccard_edge_rows(spark):
     assert sorted(repr(r["doc_id"]) for r in kept) == sorted(["5", "None", "7", "None", "8"])
 
 
+def test_keep_one_with_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, c), (7, "w x y z u v w"), (8, c), (9, None), (9, ""), (9, "p q r s t u"), (3, a + " more"), (1, a + " more")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, node int")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    kept = sorted((r["doc_id"], (r["text"] or "")[:4]) for r in kept.collect())
+    assert kept == [(1, a[:4]), (5, b[:4]), (7, c[:4]), (7, "w x "), (9, ""), (9, "p q ")]
+
+
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_components_of_a_long_path(spark, few):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (None, 3), (300, 301)], "a long, b long")

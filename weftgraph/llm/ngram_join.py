@@ -336,6 +336,11 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     component. Rows of equal sets always link, rows of equal doc_id do not by that alone. Null doc_ids take part but name
     a component only if it has no other. An empty table gives an empty one. Sets are compared by 64-bit hashes.
     """
+    return grouped(docs, size, percent, hot).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def grouped(docs: DataFrame, size: int, percent: int, hot: int = HOT) -> DataFrame:
+    """doc_id, n, node, component, component_id of each row of docs; node (of the set) and component (a node) are null where there are no shingles."""
     docs = C.pick(docs, "doc_id", "text")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = C.checkpointed(classes(docs, size))
@@ -352,8 +357,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
             joined = C.checkpointed(connected(links.unionByName(_checked(docs, of, more, size, percent))))
     named = of.groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = named.join(least, "component").select("node", "component_id")
-    return of.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_node = named.join(least, "component").select("node", "component", "component_id")
+    return of.join(by_node, "node", "left").select("doc_id", "n", "node", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def open_pairs(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
@@ -378,15 +383,37 @@ def open_pairs(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their group: one of each group of near duplicates, the one of its smallest doc_id.
 
-    Of rows with equal doc_ids that stay, one stays; rows without doc_id all do.
+    A group keeps one row, also where its smallest doc_id stands on several of its rows or on rows of other groups, which
+    keep theirs. Texts without shingles are alike only where doc_ids are equal, too. Rows without doc_id all stay.
     """
-    found = C.checkpointed(jaccard_components(docs, size, percent))
-    gone = C.checkpointed(found.filter(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct())
-    twice = C.checkpointed(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice")))
+    found = C.checkpointed(grouped(docs, size, percent))
+    away = (F.col("doc_id") != F.col("component_id")).alias("away")
+    ids = found.filter("doc_id is not null").select(F.col("doc_id").alias("id"), away).groupBy("id").agg(F.count("*").alias("times"), F.max("away").alias("away"))
+    ids = C.checkpointed(ids.filter("times > 1 or away"))
+    gone, twice = ids.select("id"), ids.filter("times > 1").select("id")
     few = {t: t.count() for t in (gone, twice)}
     one_of = lambda t: F.broadcast(t) if few[t] <= FEW else t
-    kept = docs.join(one_of(gone), docs["doc_id"] == F.col("gone"), "left_anti")
+    same_id = lambda t: docs["doc_id"] == t["id"]
+    kept = docs.join(one_of(gone), same_id(gone), "left_anti")
     if not few[twice]:
         return kept
-    again = F.col("doc_id") == F.col("twice")
-    return kept.join(one_of(twice), again, "left_anti").unionByName(kept.join(one_of(twice), again, "left_semi").dropDuplicates(["doc_id"]))
+    staying = found.join(one_of(twice), found["doc_id"] == twice["id"], "left_semi").filter(F.col("doc_id") == F.col("component_id"))
+    staying = staying.groupBy("doc_id", "component").agg(F.min("node").alias("its_node")).select(F.col("doc_id").alias("its_id"), "its_node")
+    again, node = with_node(docs.join(one_of(twice), same_id(twice), "left_semi"), size)
+    again = again.join(staying, (again["doc_id"] == F.col("its_id")) & again[node].eqNullSafe(F.col("its_node")), "left_semi")
+    return kept.unionByName(again.dropDuplicates(["doc_id", node]).drop(node))
+
+
+def with_node(docs: DataFrame, size: int) -> tuple[DataFrame, str]:
+    """docs with the node of each row's set, and that column's name."""
+    name, at = "node", docs.columns.index("text")
+    while name in docs.columns:
+        name += "_"
+
+    def run(batches):
+        shingles = C.held(("shingles", size), lambda: Shingler(size))
+        for batch in batches:
+            nodes = [shingles.node(shingles(t)) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.LongType())])), name
