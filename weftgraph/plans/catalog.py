@@ -326,11 +326,18 @@ k3 AS (SELECT x.label AS a, y.label AS b, z.label AS c, count(*) AS support FROM
 
 @query(sql.query("SELECT a AS items, support FROM k1 UNION ALL SELECT a || '|' || b, support FROM k2 UNION ALL SELECT a || '|' || b || '|' || c, support FROM k3", _MINED))
 def frequent_profiles(spark, sf_dir):
-    """Multisets of up to three labels in more than a fiftieth of the profiles."""
+    """Multisets of up to three labels in more than a fiftieth of the profiles; frequent_profiles_whole has those of any length."""
     found = mining.frequent_profiles(trade_graph(spark, sf_dir).cached(), _SHARE, 3)
     return found.select(F.array_join("items", "|").alias("items"), "support")
 
 
+@query()
+def frequent_profiles_whole(spark, sf_dir):
+    """Multisets of labels of any length in more than a fiftieth of the profiles."""
+    found = mining.frequent_profiles(trade_graph(spark, sf_dir).cached(), _SHARE)
+    return found.select(F.array_join("items", "|").alias("items"), "support")
+
+
 @query(sql.query("""SELECT items, root, n FROM (SELECT *, row_number() OVER (PARTITION BY items ORDER BY n DESC, root) AS r FROM (
        SELECT k2.a || '|' || k2.b AS items, v.label AS root, count(*) AS n FROM k2 JOIN prof x ON x.label = k2.a AND x.cnt >= (CASE WHEN k2.a = k2.b THEN 2 ELSE 1 END)
        JOIN prof y ON y.id = x.id AND y.label = k2.b JOIN vertices v ON v.id = x.id GROUP BY ALL)) WHERE r = 1 AND n >= 20""", _MINED))
@@ -547,6 +554,13 @@ def report_fields(spark, sf_dir):
 
 @query(sql.query("SELECT a AS items, support FROM k1 UNION ALL SELECT a || '|' || b, support FROM k2", _MINED))
 def itemset_lines(spark, sf_dir):
-    """Frequent profiles written as lines and read again."""
+    """Frequent profiles of up to two labels written as lines and read again; itemset_lines_whole has those of any length."""
     found = mining.frequent_profiles(trade_graph(spark, sf_dir).cached(), _SHARE, 2)
     return formats.parse_itemset_lines(formats.itemset_lines(found)).select(F.array_join("items", "|").alias("items"), "support")
+
+
+@query()
+def itemset_lines_whole(spark, sf_dir):
+    """Frequent profiles of any length written as lines and read again."""
+    found = mining.frequent_profiles(trade_graph(spark, sf_dir).cached(), _SHARE)
+    return formats.parse_itemset_lines(formats.itemset_lines(found)).select(F.array_join("items", "|").alias("items"), "support")
