@@ -496,8 +496,10 @@ def comparison_series(spark, sf_dir):
 _HARD = "SELECT CAST(p_size % 3 * 10 + 5 AS INTEGER) AS size, CAST(p_partkey % 7 AS INTEGER) AS de, CAST(p_partkey % 12 AS INTEGER) AS di, CASE WHEN p_size > 20 THEN 'hard' ELSE 'possibly hard' END AS status, p_retailprice AS estimate, CAST(p_partkey % 4 AS INTEGER) AS n_isomorphic FROM part WHERE p_size % 5 <> 0"
 
 
-def _hard(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_size % 5 <> 0")
+def _hard(spark, sf_dir, whole=False):
+    """Parts as hard patterns: the four fifths whose size is no multiple of 5, or all."""
+    p = table(spark, sf_dir, "part")
+    p = p if whole else p.filter("p_size % 5 <> 0")
     return p.select((F.col("p_size") % 3 * 10 + 5).alias("size"), (F.col("p_partkey") % 7).cast("int").alias("de"), (F.col("p_partkey") % 12).cast("int").alias("di"), F.when(F.col("p_size") > 20, "hard").otherwise("possibly hard").alias("status"), F.col("p_retailprice").alias("estimate"), (F.col("p_partkey") % 4).cast("int").alias("n_isomorphic"))
 
 
@@ -507,18 +509,35 @@ grid AS (SELECT s.size, CAST(d.range AS INTEGER) AS de, CAST(i.range AS INTEGER)
 found AS (SELECT g.size, g.de, g.di, CASE WHEN c.size IS NULL THEN -1 ELSE n_graphs END AS n_graphs, CASE WHEN c.size IS NULL THEN -1.0 ELSE m END AS mean_matchings FROM grid g LEFT JOIN cells c ON g.size = c.size AND g.de = c.de AND g.di = c.di)"""
 
 
+_WHOLE_GRID = _GRID.replace(" WHERE p_size % 5 <> 0", "")
+
+
 @query(f"{_GRID} SELECT size, de, di, CAST(n_graphs AS BIGINT) AS n_graphs, round(CAST(mean_matchings AS DOUBLE), 6) AS mean_matchings FROM found")
 def heatmap_grid(spark, sf_dir):
+    """Leaves out parts whose size is a multiple of 5; heatmap_grid_whole has all."""
     h = _hard(spark, sf_dir)
     return evaluate.heat_map(h, h.select("size")).withColumn("mean_matchings", F.round("mean_matchings", 6))
 
 
 @query(f"{_GRID}, m AS (SELECT mean_matchings AS x, CASE WHEN mean_matchings >= 0 THEN mean_matchings END AS m FROM found) SELECT round(CAST(min(least(m, 1400.0)) AS DOUBLE), 6) AS low, round(CAST(max(least(m, 1400.0)) AS DOUBLE), 6) AS high, round(CAST(max(m) AS DOUBLE), 6) AS true_high, count(*) FILTER (WHERE m > 1400) AS n_capped, count(*) FILTER (WHERE x < 0) AS n_missing FROM m")
 def heatmap_ends(spark, sf_dir):
+    """Leaves out parts whose size is a multiple of 5; heatmap_ends_whole has all."""
     h = _hard(spark, sf_dir)
     return evaluate.heat_map_ends(evaluate.heat_map(h, h.select("size")), 1400.0).withColumns({c: F.round(c, 6) for c in ("low", "high", "true_high")})
 
 
+@query(f"{_WHOLE_GRID} SELECT size, de, di, CAST(n_graphs AS BIGINT) AS n_graphs, round(CAST(mean_matchings AS DOUBLE), 6) AS mean_matchings FROM found")
+def heatmap_grid_whole(spark, sf_dir):
+    h = _hard(spark, sf_dir, whole=True)
+    return evaluate.heat_map(h, h.select("size")).withColumn("mean_matchings", F.round("mean_matchings", 6))
+
+
+@query(f"{_WHOLE_GRID}, m AS (SELECT mean_matchings AS x, CASE WHEN mean_matchings >= 0 THEN mean_matchings END AS m FROM found) SELECT round(CAST(min(least(m, 1400.0)) AS DOUBLE), 6) AS low, round(CAST(max(least(m, 1400.0)) AS DOUBLE), 6) AS high, round(CAST(max(m) AS DOUBLE), 6) AS true_high, count(*) FILTER (WHERE m > 1400) AS n_capped, count(*) FILTER (WHERE x < 0) AS n_missing FROM m")
+def heatmap_ends_whole(spark, sf_dir):
+    h = _hard(spark, sf_dir, whole=True)
+    return evaluate.heat_map_ends(evaluate.heat_map(h, h.select("size")), 1400.0).withColumns({c: F.round(c, 6) for c in ("low", "high", "true_high")})
+
+
 @query("SELECT CAST(s_suppkey AS INTEGER) AS size, s_nationkey AS degree, round(abs(s_acctbal) / 20000, 4) AS p FROM supplier")
 def probability_grid(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
