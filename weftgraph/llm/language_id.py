@@ -194,7 +194,7 @@ def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = Non
     """The rows of docs, with all their columns, whose text has a language with a score of ``least`` or more and a firmness of ``firm`` or more.
 
     Without ``firm``, it is learned from docs (``least_firmness``), so that texts of no learned language go and
-    all but a few in a thousand of the others stay.
+    all but about one in a hundred of the others stay.
     """
     rows = taught(docs) if model is None or firm is None else []
     model = model or fit(rows)

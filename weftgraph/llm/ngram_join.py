@@ -335,6 +335,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     docs: doc_id, text; other columns are ignored. A null or wordless text has 0 shingles and is its own
     component. Rows of equal sets always link, rows of equal doc_id do not by that alone. Null doc_ids take part but name
     a component only if it has no other. An empty table gives an empty one. Sets are compared by 64-bit hashes.
+    Links inside a connected group are not all looked for, so they are neither listed nor counted.
     """
     return grouped(docs, size, percent, hot).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
