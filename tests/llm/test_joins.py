@@ -95,9 +95,10 @@ def test_components_of_a_long_path(spark, few):
     assert found == dict.fromkeys(range(201), 0) | {300: 300, 301: 300}
 
 
-@pytest.mark.parametrize("page", [4, 1024])
-def test_embeddings_against_all_pairs(spark, monkeypatch, page):
-    monkeypatch.setattr(embedding_join, "PAGE", page)
+@pytest.mark.parametrize("page,few", [(1000, 10**6), (1 << 20, 10**6), (1000, 0)])
+def test_embeddings_against_all_pairs(spark, monkeypatch, page, few):
+    monkeypatch.setattr(embedding_join, "PAGE_BYTES", page)
+    monkeypatch.setattr(embedding_join.C, "FEW", few)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 40))
     rows = [(i, v.tolist(), int(i % 3)) for i, v in enumerate(base)]
@@ -114,6 +115,28 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, page):
     assert found == {i: (n[i], to[i], to[i] == i) for i in to}
 
 
+def test_blocks_hand_on_few_pairs():
+    """Of evenly spread vectors, the union of the blocks holds far under a hundredth of all pairs, and every one that links."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 64))
+    x[1000:] = x[:500] + 0.2 * rng.normal(size=(500, 64))
+    x = embedding_join.units(x)
+    axes, variance = embedding_join.rotation(x)
+    blocks, r = embedding_join.plan_blocks(variance, 0.14), x @ axes
+    assert sum(b[2] for b in blocks) == pytest.approx(0.14)
+    found = {(a, b) for block in blocks for i, j in embedding_join.range_join(r, r, block) for a, b in zip(i.tolist(), j.tolist()) if a < b}
+    linked = {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.93))) if a < b}
+    assert linked <= found and len(found - linked) < 0.01 * 1500 * 1499 / 2
+    assert {(a, b) for i, j in embedding_join.links(x, x, (axes, blocks), 0.93, True) for a, b in zip(i.tolist(), j.tolist())} == linked
+
+
+def test_embeddings_of_extreme_sizes(spark):
+    base, other = [3.0, 4.0, 0.1], [4.0, -3.0, 0.1]
+    rows = [(k, [v * f for v in base], 1) for k, f in enumerate((1e200, 1e-200, 1.0, 5e-324 / 0.1))] + [(9, [v * 1e-200 for v in other], 1)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found[0] == found[1] == found[2] and found[0][1] == 0 and found[9] == (0, 9)
+
+
 def test_embeddings_empty(spark):
     assert embedding_join.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 

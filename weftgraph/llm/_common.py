@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Distinct words that a Python worker remembers before it starts afresh.
 WORDS_KEPT = 400_000
+#: Rows of a small table that may be sent to all executors, by a count.
+FEW = 1_000_000
 #: Characters of text that a worker handles as one block.
 BLOCK_CHARS = 8_000_000
 
@@ -34,10 +38,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one if Spark runs in this process alone, and an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftgraph-"))
     return context.getCheckpointDir()
 
 
@@ -47,6 +54,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows with the other columns of table but weight: an inner join that sends no hot key to one task.
+
+    table has one row for each key, with the number of its rows in ``weight``. Keys that hold more than a thousandth of all
+    rows, fewer than a thousand, are joined by broadcast. Both tables are read twice, so they should be written ones.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.filter(F.col(weight) > total // 1000).drop(weight)
+    by_broadcast = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.filter(F.col(weight) <= total // 1000).drop(weight), keys)
+    return by_broadcast.unionByName(others)
+
+
 _held: dict = {}
 
 
