@@ -55,10 +55,12 @@ def corpus(rng, n):
     return out
 
 
-@pytest.mark.parametrize("seed,short,hot", [(1, 12, ngram_join.HOT), (2, 2, ngram_join.HOT), (1, 12, -3), (2, 4, 1)])
-def test_jaccard_against_all_pairs(spark, monkeypatch, seed, short, hot):
-    """hot: -3 deals every list to several tasks."""
+@pytest.mark.parametrize("seed,short,hot,chunk,few", [(1, 12, ngram_join.HOT, 256, 10**6), (2, 2, ngram_join.HOT, 3, 10**6), (1, 12, -3, 256, 10**6), (2, 4, 1, 2, 0)])
+def test_jaccard_against_all_pairs(spark, monkeypatch, seed, short, hot, chunk, few):
+    """hot: -3 deals every list to several tasks; few: 0 sends nothing to all executors but what is bounded."""
     monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join.C, "FEW", few)
     texts = corpus(random.Random(seed), 120)
     sets = [shingles(t) for t in texts]
     linked = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
@@ -68,6 +70,44 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, seed, short, hot):
     assert found == {i: (len(sets[i]), expected[i]) for i in expected}
 
 
+def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
+    """First hashes of three bits: different sets get names of their own."""
+    plain = ngram_join.Shingler.ids
+
+    def short(self, found):
+        ids = plain(self, found)
+        return ids if ids[0] is None else (ids[0] % 8, ids[1])
+
+    of = spark.createDataFrame([(i, i % 8, 10 * i) for i in range(40)] + [(99, 3, 30)], "doc_id long, node long, second long")
+    renamed = ngram_join.namesakes(of)
+    assert set(renamed) == {(i % 8, 10 * i) for i in range(8, 40)} and len(set(renamed.values())) == 32
+    shingles = ngram_join.Shingler()
+    monkeypatch.setattr(ngram_join.Shingler, "ids", short)
+    found = shingles("a b c d e f")
+    assert shingles.node(found, {shingles.ids(found): -5}) == -5 and shingles.node(found, {}) == shingles.ids(found)[0]
+
+
+def test_open_pairs_are_all_that_pass(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 4)
+    rng = random.Random(8)
+    members = {(lst, node): (10 + node % 23, rng.randrange(4)) for node in range(60) for lst in rng.sample(range(5), 2)}
+    component = {node: min(node, node % 9) for node in range(60)}
+    df = spark.createDataFrame([(lst, node, n, place) for (lst, node), (n, place) in members.items()], "list long, node long, n long, place long")
+    joined = spark.createDataFrame(list(component.items()), "node long, component long")
+    expected = set()
+    for (lst, a), (na, pa_) in members.items():
+        for (other, b), (nb, pb) in members.items():
+            if lst == other and a < b and component[a] != component[b] and 100 * min(na, nb) >= 75 * max(na, nb) and min(na - pa_, nb - pb) >= -(-75 * (na + nb) // 175):
+                expected.add((a, b))
+    found = [(r["a"], r["b"]) for r in ngram_join.open_pairs(df, joined, 75).collect()]
+    first = {(a, b) for a, b in expected}
+    assert len(found) == len(set(found)) and set(found) <= first
+    lists_of = lambda v: {lst: members[lst, v][1] for lst in range(5) if (lst, v) in members}
+    for a, b in first - set(found):  # an earlier list of both stops it
+        shared = lists_of(a).keys() & lists_of(b).keys()
+        assert any(min(members[x, a][0] - members[x, a][1], members[x, b][0] - members[x, b][1]) < -(-75 * (members[x, a][0] + members[x, b][0]) // 175) for x in shared)
+
+
 def test_jaccard_edge_rows(spark):
     long = " ".join(f"x{i}" for i in range(30000))
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, None), (None, None), (9, long), (8, long + " y")]
@@ -78,6 +118,17 @@ def test_jaccard_edge_rows(spark):
     assert sorted(repr(r["doc_id"]) for r in kept) == sorted(["5", "None", "7", "None", "8"])
 
 
+def test_keep_one_with_clashing_columns(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a, "x", 5, None), (2, a + " more", "y", 6, a), (3, b, None, None, b), (3, b, "again", 1, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string, DOC_ID int, TEXT string")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    kept = sorted(map(repr, map(tuple, kept.collect())))
+    assert kept[0] == repr(rows[0]) and len(kept) == 2 and kept[1] in map(repr, rows[2:])
+    assert ngram_join.keep_one(spark.createDataFrame([], df.schema)).collect() == []
+
+
 def test_keep_one_with_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(1, a), (5, a), (5, b), (6, b), (7, c), (7, "w x y z u v w"), (8, c), (9, None), (9, ""), (9, "p q r s t u"), (3, a + " more"), (1, a + " more")]

@@ -8,9 +8,9 @@
    shingles of prefixes are dealt out by hash; within a list, pairs must pass the length and
    the positional filter.
 4. A short list gives all such pairs. A long one gives chains in three orders; once their
-   links are known, it gives only pairs of classes that are not yet connected. So
-   thousands of near copies are not multiplied out and yet no connection is missed. A very long list is
-   dealt to several tasks, with leaders of all its parts in one more.
+   links are known, it gives only pairs of classes that are not yet connected, of sizes that can be alike, a few
+   hundred members against a few hundred in a task. So thousands of near copies are not multiplied out and yet no connection is
+   missed. A very long list is dealt to several tasks, with leaders of all its parts in one more.
 5. What the counted common shingles and the suffixes can add up to is the suffix filter. Each
    pair that is left is checked once on the whole sets.
 """
@@ -36,8 +36,8 @@ COUNTERS, PARTS = 1 << 22, 64
 SHORT = 12
 #: A list that seems to have so many members (and far more than the counters' mean) is dealt to several tasks.
 HOT = 1_000_000
-#: Ids whose set is small enough to be sent to all executors.
-FEW = 1_000_000
+#: Members of a list that are matched with as many others at once, where pairs that are not connected yet are looked for.
+CHUNK = 256
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -71,9 +71,17 @@ class Shingler:
             out ^= out >> np.uint64(29)
         return np.unique(out)
 
-    def node(self, found: np.ndarray) -> int | None:
-        """The id of the class of documents with this set."""
-        return self.digest(found.tobytes(), 7) - (1 << 63) if len(found) else None
+    def ids(self, found: np.ndarray) -> tuple[int | None, int | None]:
+        """Two hashes of the set, the first to name the class of documents with this set."""
+        if not len(found):
+            return None, None
+        raw = found.tobytes()
+        return self.digest(raw, 7) - (1 << 63), self.digest(raw, 8) - (1 << 63)
+
+    def node(self, found: np.ndarray, renamed: dict[tuple[int, int], int]) -> int | None:
+        """The class of documents with this set."""
+        ids = self.ids(found)
+        return renamed.get(ids, ids[0])
 
 
 def needed(na, nb, percent: int):
@@ -87,18 +95,18 @@ def _passes(na, nb, ia, ib, percent: int):
 
 
 def classes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, node of each document; and, with a part, the counts of shingles by counter."""
+    """doc_id, n, node, second (both hashes of the set) of each document; and, with a part, the counts of shingles by counter."""
 
     def run(batches):
         shingles, counts = C.held(("shingles", size), lambda: Shingler(size)), np.zeros(COUNTERS, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("second", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             ids, texts = C.rows_of(batch, "doc_id", "text")
             sizes, nodes, waiting, held = [], [], [], 0
             for text in texts:
                 found = shingles(text)
                 sizes.append(len(found))
-                nodes.append(shingles.node(found))
+                nodes.append(shingles.ids(found))
                 waiting.append(found % np.uint64(COUNTERS))
                 held += len(found)
                 if held > 2_000_000:
@@ -107,13 +115,24 @@ def classes(docs: DataFrame, size: int) -> DataFrame:
             if held:
                 np.add.at(counts, np.concatenate(waiting).astype(np.int64), 1)
             none = [None] * len(ids)
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": sizes, "node": nodes, "part": none, "counts": none}, schema)
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": sizes, "node": [x[0] for x in nodes], "second": [x[1] for x in nodes], "part": none, "counts": none}, schema)
         if counts.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PARTS)]
             none = [None] * PARTS
-            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "node": none, "part": range(PARTS), "counts": parts}, schema)
+            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "node": none, "second": none, "part": range(PARTS), "counts": parts}, schema)
+
+    return docs.mapInArrow(run, T.StructType.fromDDL("doc_id long, n long, node long, second long, part int, counts binary"))
+
 
-    return docs.mapInArrow(run, T.StructType.fromDDL("doc_id long, n long, node long, part int, counts binary"))
+def namesakes(of: DataFrame) -> dict[tuple[int, int], int]:
+    """Other names for sets whose first hash is that of another set, by both hashes.
+
+    Of k sets about k * k / 2^65 share a hash of 64 bits, a few of ten billion; those of the smallest second hash keep the name.
+    """
+    first = F.min("second").alias("least")
+    shared = of.filter("node is not null").groupBy("node").agg(first, F.max("second").alias("most")).filter("least <> most")
+    others = of.join(F.broadcast(shared), "node").filter("second <> least").select("node", "second").distinct().collect()  # a few rows, as said
+    return {(r["node"], r["second"]): zlib.crc32(f"{r['node']} {r['second']}".encode()) << 31 ^ r["second"] for r in others}
 
 
 def levels(counted: DataFrame) -> bytes:
@@ -159,7 +178,7 @@ def _dealt(entry: np.ndarray, found: np.ndarray, count: np.ndarray, buckets: int
     return np.concatenate((entry, leaders))
 
 
-def prefixes(docs: DataFrame, level: bytes, size: int, percent: int, buckets: int, hot: int) -> DataFrame:
+def prefixes(docs: DataFrame, level: bytes, size: int, percent: int, buckets: int, hot: int, renamed: dict) -> DataFrame:
     """bucket, entries: the prefix shingles of each class, packed by bucket."""
     table, limit = docs.sparkSession.sparkContext.broadcast(level), hot_limit(level, hot)  # COUNTERS bytes
 
@@ -169,7 +188,7 @@ def prefixes(docs: DataFrame, level: bytes, size: int, percent: int, buckets: in
             seen, parts = set(), []
             for text in texts:
                 found = shingles(text)
-                n, node = len(found), shingles.node(found)
+                n, node = len(found), shingles.node(found, renamed)
                 if not n or node in seen:
                     continue
                 seen.add(node)
@@ -210,6 +229,7 @@ def _pairs(e: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int, h
     """Rows of PAIR, a < b, for entries of one list that pass the length filter; passes tells of the positional one."""
     n, place = e["n"].astype(np.int64), e["place"].astype(np.int64)
     keep = 100 * np.minimum(n[first], n[second]) >= percent * np.maximum(n[first], n[second])
+    keep &= e["node"][first] != e["node"][second]
     first, second = first[keep], second[keep]
     swap = e["node"][first] > e["node"][second]
     first, second = np.where(swap, second, first), np.where(swap, first, second)
@@ -228,19 +248,30 @@ def _tallied(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def lists(packed: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Rows of two kinds: pairs (PAIR; hits counts common shingles in short lists) and, with a list, members (a, n_a, place) of long lists."""
+    """Rows of two kinds: pairs (PAIR; hits counts common shingles in short lists) and, with a list, members (a, n_a, place) of long lists.
 
-    def run(batches):
-        held: dict[int, list[np.ndarray]] = {}
+    Different shingles of a document that fall into one list count each, so hits may be too many, but not too few.
+    """
+
+    def buckets(batches):
+        """The entries of one bucket after the other; the rows come in their order."""
+        at, held = None, []
         for batch in batches:
             for bucket, blob in zip(*C.rows_of(batch, "bucket", "entries")):
-                held.setdefault(bucket, []).append(_unpacked(blob))
-        for bucket in sorted(held):
-            e = np.concatenate(held.pop(bucket))
+                if bucket != at and held:
+                    yield np.concatenate(held)
+                    held = []
+                at = bucket
+                held.append(_unpacked(blob))
+        if held:
+            yield np.concatenate(held)
+
+    def run(batches):
+        for e in buckets(batches):
             lists = e["home"].astype(np.uint64) << np.uint64(32) | e["key"]
-            order = np.lexsort((e["node"], lists))
+            order = np.lexsort((e["place"], e["node"], lists))
             e, lists = e[order], lists[order]
-            fresh = np.concatenate(([True], (lists[1:] != lists[:-1]) | (e["node"][1:] != e["node"][:-1])))
+            fresh = np.concatenate(([True], (lists[1:] != lists[:-1]) | (e["node"][1:] != e["node"][:-1]) | (e["place"][1:] != e["place"][:-1])))
             e, lists = e[fresh], lists[fresh]  # without copies from other blocks
             begin = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
             count = np.diff(np.append(begin, len(e)))
@@ -271,7 +302,7 @@ def lists(packed: DataFrame, percent: int, partitions: int) -> DataFrame:
                 none = pa.nulls(m, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(e["node"].copy()), none, pa.array(e["n"].astype(np.int64)), none, none, none, pa.array(e["place"].astype(np.int64))], ["list", *PAIR, "place"])
 
-    return packed.repartition(partitions, "bucket").mapInArrow(run, T.StructType.fromDDL("list long, a long, b long, n_a long, n_b long, hits long, passes long, place long"))
+    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, T.StructType.fromDDL("list long, a long, b long, n_a long, n_b long, hits long, passes long, place long"))
 
 
 def candidates(found: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -293,10 +324,10 @@ def _need(both, percent: int):
     return F.ceil(percent * both / (100 + percent))
 
 
-def sets_of(docs: DataFrame, of: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+def sets_of(docs: DataFrame, of: DataFrame, nodes: DataFrame, size: int, renamed: dict) -> DataFrame:
     """node, hashes of the asked nodes, from one document of each. of: doc_id, node."""
     wanted = C.checkpointed(of.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("wanted")).select("wanted").distinct())
-    if wanted.count() <= FEW:
+    if wanted.count() <= C.FEW:
         wanted = F.broadcast(wanted)
     chosen = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("wanted")), "left_semi")
 
@@ -307,22 +338,29 @@ def sets_of(docs: DataFrame, of: DataFrame, nodes: DataFrame, size: int) -> Data
             for at in range(0, len(column), 500):
                 found = [shingles(t) for t in column.slice(at, 500).to_pylist()]
                 found = [x for x in found if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([shingles.node(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([shingles.node(x, renamed) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "hashes"])
 
     sets = chosen.select("text").mapInArrow(run, T.StructType.fromDDL("node long, hashes array<long>"))
     return sets.dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have the asked likeness."""
-    left, right = (sets.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    both = pairs.join(left, "a").join(right, "b")
+    """The pairs (a, b) whose sets have the asked likeness. A node in over a thousandth of the pairs is joined in several parts."""
+    limit = pairs.count() // 1000 + 1
+    both = pairs
+    for side, other, name in (("a", "b", "x"), ("b", "a", "y")):
+        busy = pairs.groupBy(side).agg(F.ceil(F.count("*") / limit).cast("int").alias("parts")).filter("parts > 1")  # fewer than 1000
+        one = F.lit(1)
+        spread = sets.select(F.col("node").alias(side), F.col("hashes").alias(name)).join(F.broadcast(busy), side, "left")
+        spread = spread.select(side, name, F.explode(F.sequence(one, F.coalesce("parts", one))).alias("lot"))
+        both = both.join(F.broadcast(busy), side, "left").withColumn("lot", F.pmod(F.xxhash64(other), F.coalesce("parts", one)).cast("int") + 1).drop("parts")
+        both = both.join(spread, [side, "lot"]).drop("lot")
     return both.filter(F.size(F.array_intersect("x", "y")) >= _need(F.size("x") + F.size("y"), percent)).select("a", "b")
 
 
-def _checked(docs, of, pairs, size, percent) -> DataFrame:
+def _checked(docs, of, pairs, size, percent, renamed) -> DataFrame:
     nodes = C.checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    return C.checkpointed(verified(pairs.select("a", "b"), C.checkpointed(sets_of(docs, of, nodes, size)), percent))
+    return C.checkpointed(verified(pairs.select("a", "b"), C.checkpointed(sets_of(docs, of, nodes, size, renamed)), percent))
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
@@ -334,87 +372,123 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 
     docs: doc_id, text; other columns are ignored. A null or wordless text has 0 shingles and is its own
     component. Rows of equal sets always link, rows of equal doc_id do not by that alone. Null doc_ids take part but name
-    a component only if it has no other. An empty table gives an empty one. Sets are compared by 64-bit hashes.
+    a component only if it has no other. An empty table gives an empty one. Sets are compared by 64-bit hashes of their shingles;
+    equal sets are told by 128 bits.
     Links inside a connected group are not all looked for, so they are neither listed nor counted.
     """
-    return grouped(docs, size, percent, hot).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return grouped(docs, size, percent, hot)[0].select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def grouped(docs: DataFrame, size: int, percent: int, hot: int = HOT) -> DataFrame:
-    """doc_id, n, node, component, component_id of each row of docs; node (of the set) and component (a node) are null where there are no shingles."""
+def grouped(docs: DataFrame, size: int, percent: int, hot: int = HOT) -> tuple[DataFrame, dict]:
+    """(doc_id, n, node, component, component_id of each row of docs; the sets with other names): node (of the set) and component (a node) are null where there are no shingles."""
     docs = C.pick(docs, "doc_id", "text")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = C.checkpointed(classes(docs, size))
-    of = first.filter("part is null").select("doc_id", "n", "node")
+    of = first.filter("part is null").select("doc_id", "n", "node", "second")
+    renamed = namesakes(of)
+    if renamed:
+        names = docs.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "node long, second long, name long")
+        of = of.join(F.broadcast(names), ["node", "second"], "left").withColumn("node", F.coalesce("name", "node")).drop("name")
+    of = of.drop("second")
     level = levels(first.filter("part is not null").select("part", "counts"))
-    found = C.checkpointed(lists(prefixes(docs, level, size, percent, 4 * partitions, hot), percent, partitions))
+    found = C.checkpointed(lists(prefixes(docs, level, size, percent, 8 * partitions, hot, renamed), percent, partitions))
     members = found.filter("list is not null").select("list", F.col("a").alias("node"), F.col("n_a").alias("n"), "place")
     pairs = C.checkpointed(candidates(found, members, percent))
-    links = _checked(docs, of, pairs, size, percent)
+    links = _checked(docs, of, pairs, size, percent, renamed)
     joined = C.checkpointed(connected(links))
     if not members.isEmpty():
         more = C.checkpointed(open_pairs(members, joined, percent).join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            joined = C.checkpointed(connected(links.unionByName(_checked(docs, of, more, size, percent))))
-    named = of.groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = named.join(least, "component").select("node", "component", "component_id")
-    return of.join(by_node, "node", "left").select("doc_id", "n", "node", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+            joined = C.checkpointed(connected(links.unionByName(_checked(docs, of, more, size, percent, renamed))))
+    named = of.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).join(joined, "node", "left")
+    named = C.checkpointed(named.withColumn("component", F.coalesce("component", "node")))
+    least = C.checkpointed(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")))
+    by_node = C.checkpointed(C.looked_up(named.select("node", "rows", "component"), least, ["component"], "nodes"))
+    full = C.looked_up(of.filter("node is not null"), by_node, ["node"], "rows").select("doc_id", "n", "node", "component", "component_id")
+    none = F.lit(None).cast("long")
+    return full.unionByName(of.filter("node is null").select("doc_id", "n", "node", none.alias("component"), F.col("doc_id").alias("component_id"))), renamed
 
 
 def open_pairs(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of members of a list that pass the filters and are not connected yet, each from the first list that both are in.
 
-    Later lists cannot let a pair through that the first one stops, as places only grow.
+    Later lists cannot let a pair through that the first one stops, as places only grow. Members are dealt by classes of size, so that
+    sets that can be alike are in one class or in two that touch, and the classes to parts of about CHUNK members; two parts meet in a task of their own.
     """
     placed = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
-    left = C.checkpointed(placed.join(mixed, "list", "left_semi"))
+    grade = F.floor(F.log(F.col("n").cast("double")) / (np.log(100 / percent) * (1 + 1e-9))).cast("int")
+    placed = C.checkpointed(placed.withColumn("grade", grade))
+    mixed = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).filter("low <> high")
+    mixed = C.checkpointed(mixed.select("list", "many"))
+    fewer = mixed.count() <= C.FEW
+    left = C.checkpointed(placed.join(F.broadcast(mixed.select("list")) if fewer else mixed.select("list"), "list", "left_semi"))
     lists_of = left.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("place", "list"))).alias("lists"))  # of one document's prefix
     earlier = F.transform(F.filter("lists", lambda x: x["place"] < F.col("place")), lambda x: x["list"])
     left = left.join(lists_of, "node").withColumn("earlier", earlier).drop("lists")
-    x, y = (left.select("list", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "component", "earlier")]) for s in "xy")
+    large = left.groupBy("list", "grade").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).filter("parts > 1")
+    large = C.checkpointed(large)
+    few = large.count() <= C.FEW
+    one, zero = F.lit(1), F.lit(0)
+
+    def parts_of(rows: DataFrame, name: str, grade: str) -> DataFrame:
+        """rows with the number of parts of (list, grade)."""
+        table = large.select("list", F.col("grade").alias(grade), F.col("parts").alias(name))
+        return rows.join(F.broadcast(table) if few else table, ["list", grade], "left").withColumn(name, F.coalesce(name, one))
+
+    own = parts_of(left, "parts", "grade").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    carried = ["node", "n", "place", "component", "earlier"]
+    renamed = lambda s: [F.col(c).alias(f"{c}_{s}") for c in carried]
+    # a part meets those of its own class and of the next one: the first side goes to each of them, the second comes from each
+    x = own.select("list", "grade", "part", "parts", *carried, F.explode(F.array(zero, one)).alias("step")).withColumn("other", F.col("grade") + F.col("step"))
+    x = parts_of(x, "others", "other").withColumn("with", F.explode(F.sequence(zero, F.col("others") - 1))).filter("step = 1 or part <= with")
+    x = x.select("list", "grade", "part", "step", "with", *renamed("x"))
+    y = own.select("list", F.col("grade").alias("other"), F.col("part").alias("with"), *carried, F.explode(F.array(zero, one)).alias("step")).withColumn("grade", F.col("other") - F.col("step"))
+    y = parts_of(y, "others", "grade").withColumn("part", F.explode(F.sequence(zero, F.col("others") - 1))).filter("step = 1 or part <= with")
+    y = y.select("list", "grade", "part", "step", "with", *renamed("y"))
     low, high, both = F.least("n_x", "n_y"), F.greatest("n_x", "n_y"), F.col("n_x") + F.col("n_y")
     rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    close = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (100 * low >= percent * high) & (rest >= _need(both, percent))
+    once = (F.col("step") == 1) | (F.col("part") < F.col("with")) | (F.col("node_x") < F.col("node_y"))
+    close = once & (F.col("component_x") != F.col("component_y")) & (100 * low >= percent * high) & (rest >= _need(both, percent))
     first = F.size(F.array_intersect("earlier_x", "earlier_y")) == 0
-    return x.join(y, "list").filter(close & first).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    met = x.join(y, ["list", "grade", "part", "step", "with"]).filter(close & first)
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their group: one of each group of near duplicates, the one of its smallest doc_id.
 
-    A group keeps one row, also where its smallest doc_id stands on several of its rows or on rows of other groups, which
-    keep theirs. Texts without shingles are alike only where doc_ids are equal, too. Rows without doc_id all stay.
+    docs: doc_id, text; other columns stay as they are, also under names that differ in case alone. A group keeps one row, also where
+    its smallest doc_id stands on several of its rows or on rows of other groups, which keep theirs. Texts without shingles (null, empty)
+    are alike only where doc_ids are equal, too. Rows without doc_id all stay. An empty table gives an empty one.
     """
-    found = C.checkpointed(grouped(docs, size, percent))
+    names, at = docs.columns, {c: f"c{docs.columns.index(c)}" for c in ("doc_id", "text")}
+    found, renamed = grouped(docs, size, percent)
+    found = C.checkpointed(found)
+    docs, own_id = docs.toDF(*[f"c{i}" for i in range(len(names))]), F.col(at["doc_id"])
     away = (F.col("doc_id") != F.col("component_id")).alias("away")
-    ids = found.filter("doc_id is not null").select(F.col("doc_id").alias("id"), away).groupBy("id").agg(F.count("*").alias("times"), F.max("away").alias("away"))
+    ids = found.filter("doc_id is not null").select(F.col("doc_id").alias("gone_id"), away).groupBy("gone_id").agg(F.count("*").alias("times"), F.max("away").alias("away"))
     ids = C.checkpointed(ids.filter("times > 1 or away"))
-    gone, twice = ids.select("id"), ids.filter("times > 1").select("id")
+    gone, twice = ids.select("gone_id"), ids.filter("times > 1").select("gone_id")
     few = {t: t.count() for t in (gone, twice)}
-    one_of = lambda t: F.broadcast(t) if few[t] <= FEW else t
-    same_id = lambda t: docs["doc_id"] == t["id"]
-    kept = docs.join(one_of(gone), same_id(gone), "left_anti")
+    one_of = lambda t: F.broadcast(t) if few[t] <= C.FEW else t
+    kept = docs.join(one_of(gone), own_id == F.col("gone_id"), "left_anti")
     if not few[twice]:
-        return kept
-    staying = found.join(one_of(twice), found["doc_id"] == twice["id"], "left_semi").filter(F.col("doc_id") == F.col("component_id"))
+        return kept.toDF(*names)
+    staying = found.join(one_of(twice), F.col("doc_id") == F.col("gone_id"), "left_semi").filter(F.col("doc_id") == F.col("component_id"))
     staying = staying.groupBy("doc_id", "component").agg(F.min("node").alias("its_node")).select(F.col("doc_id").alias("its_id"), "its_node")
-    again, node = with_node(docs.join(one_of(twice), same_id(twice), "left_semi"), size)
-    again = again.join(staying, (again["doc_id"] == F.col("its_id")) & again[node].eqNullSafe(F.col("its_node")), "left_semi")
-    return kept.unionByName(again.dropDuplicates(["doc_id", node]).drop(node))
+    again = with_node(docs.join(one_of(twice), own_id == F.col("gone_id"), "left_semi"), at["text"], size, renamed)
+    again = again.join(staying, (own_id == F.col("its_id")) & F.col("own_node").eqNullSafe(F.col("its_node")), "left_semi")
+    return kept.unionByName(again.dropDuplicates([at["doc_id"], "own_node"]).drop("own_node")).toDF(*names)
 
 
-def with_node(docs: DataFrame, size: int) -> tuple[DataFrame, str]:
-    """docs with the node of each row's set, and that column's name."""
-    name, at = "node", docs.columns.index("text")
-    while name in docs.columns:
-        name += "_"
+def with_node(docs: DataFrame, text: str, size: int, renamed: dict) -> DataFrame:
+    """docs with own_node, the node of each row's set."""
+    at = docs.columns.index(text)
 
     def run(batches):
         shingles = C.held(("shingles", size), lambda: Shingler(size))
         for batch in batches:
-            nodes = [shingles.node(shingles(t)) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*batch.schema.names, name])
+            nodes = [shingles.node(shingles(t), renamed) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*batch.schema.names, "own_node"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.LongType())])), name
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("own_node", T.LongType())]))
