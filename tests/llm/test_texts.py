@@ -52,17 +52,71 @@ def test_plain_detection_is_the_patterns():
         ("four" + " one" * 15, "card", "four" + " one" * 15),
         ("vier, " + "eins, " * 14 + "eins", "card", "vier, " + "eins, " * 14 + "eins"),
         ("at 192 dot 168 dot one dot five.", "ip", "192 dot 168 dot one dot five"),
+        ("write user @ example . com soon", "email", "user @ example . com"),
+        ("usɑr@exɑmple.com", "email", "usɑr@exɑmple.com"),
+        ("call +two(5550100 now", "phone", "+two(5550100"),
+        ("call +5550100(five now", "phone", "+5550100(five"),
+        ("host 10 . 0 . 0 . 7 is up", "ip", "10 . 0 . 0 . 7"),
+        ("john@fünf.com", "email", "john@fünf.com"),
     ],
 )
 def test_disguises(text, kind, found):
     assert found in [text[a:b] for k, a, b in pii.find(text)[1] if k == kind]
 
 
+def test_the_gate_loses_nothing(monkeypatch):
+    rng = random.Random(12)
+    words = [*pii.DIGITS, "plus", "at", "dot", "punkt", "arroba", "AT", "Five", "ſix", "fıve", "fİve", "a", "x.y", "john", "com", "55", "5550100", "1"]
+    bits = [*words, *words, " ", " ", " ", "  ", "(", ")", "[", "]", "{", "<", ">", ".", " . ", "@", " @ ", "+", "-", "_", ",", ";", "—", "“", "é", "\u200b"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(2, 16))) for _ in range(40000)]
+    gated = [pii.find(t) for t in texts]
+    monkeypatch.setattr(pii, "_hinted", lambda text: True)
+    for t, found in zip(texts, gated):
+        assert found == pii.find(t), t
+
+
+def test_disguised_identifiers_lead_back(spark):
+    """Identifiers, disguised at random and set into prose, are found from their first to their last character."""
+    rng = random.Random(5)
+    at, dot = [" at ", " [at] ", "(at)", "@", " @ ", "﹫", "＠"], [" dot ", " [dot] ", "(.)", ".", " . ", "․"]
+    alike = {v: k for k, v in pii.LOOK_ALIKES.items() if v.isalpha()}
+    disguised = lambda w: "".join(alike.get(c, c) if rng.random() < 0.2 else c + ("\u200b" if rng.random() < 0.1 else "") for c in w[:-1]) + w[-1]
+    names = list(pii.DIGITS)[:10]
+    rows = []
+    for k in range(300):
+        kind = ("email", "phone", "card", "ip")[k % 4]
+        if kind == "email":
+            x = disguised("mary.lee7") + rng.choice(at) + disguised("exampleshop") + rng.choice(dot) + "org"
+        elif kind == "phone":
+            x = "plus " + " ".join(rng.choice(names) for _ in range(11))
+        elif kind == "card":
+            x = " ".join(names[int(d)] if rng.random() < 0.7 else chr(0xFF10 + int(d)) for d in "4111111111111111")
+        else:
+            x = rng.choice(dot).join(map(str, (192, 168, rng.randrange(100), rng.randrange(100))))
+        rows.append((k, f"The quiet river, they said; {x}; and then the lamps went out.", kind, x))
+    found = {r["doc_id"]: r["spans"] for r in pii.pii_spans(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for k, text, kind, x in rows:
+        start = text.index(x)
+        assert f"{kind}:{start}:{start + len(x)}" in found[k].split(","), (text, found[k])
+
+
 @pytest.mark.parametrize("text", ["see you at noon. the end at home", "one two un deux", "meet us at example.com", "un point. deux points", "", "a (at) b"])
 def test_clean_texts_stay(text):
     assert pii.find(text)[1] == []
 
 
+def test_stages_with_clashing_columns(spark):
+    rows = [(1, "the cat and the dog", "en", "x", 3, "TEXT"), (1, "the cat and the dog", "en", "x", 3, "TEXT"), (3, None, None, None, None, None), (4, "", "fr", "", 0, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, TEXT string, n_chars long, Text string")
+    weights = np.zeros(quality.BINS, np.float32)
+    for kept in (language_id.keep_known(df, firm=-9.0), quality.keep_good(df, model=(weights, np.array([-2.0, -1.0]))), pii.redact(df)):
+        assert kept.columns == df.columns
+        assert set(map(repr, map(tuple, kept.collect()))) <= {repr(r) for r in [*rows, (1, rows[0][1], "en", "x", 19, "TEXT")]}
+    assert language_id.keep_known(df, firm=-9.0).count() == 2 and pii.redact(df).count() == 4
+    for stage in (lambda d: language_id.keep_known(d, firm=-9.0), lambda d: quality.keep_good(d, model=(weights, np.array([-2.0, -1.0]))), pii.redact):
+        assert stage(spark.createDataFrame([], df.schema)).collect() == []
+
+
 def test_pii_query_rows(spark):
     rows = [(1, "a@b.c and x at y dot com"), (None, "1.2.3.4"), (3, None), (3, None), (4, "9" * 100_000)]
     found = pii.pii_spans(spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_email int")).collect()
@@ -110,6 +164,69 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
+def plain_kernel_model(rows, ridge=1e-3):
+    """(texts, languages) to values, with sets of bins, an explicit kernel and the ridge system written out."""
+
+    def bins(text):
+        codes = [ord(c) for c in "".join(c if not c.isascii() or c.isalpha() else " " for c in text.lower())]
+        found = set()
+        for n in range(1, 5):
+            for at in range(len(codes) - n + 1):
+                mixed = 0
+                for c in codes[at : at + n]:
+                    mixed = ((mixed * 0x9E3779B1 % 2**32) ^ c) * 0x85EBCA6B % 2**32
+                    mixed ^= mixed >> 15
+                found.add(((mixed + n * 0x27D4EB2F) % 2**32) >> 17)
+        return found
+
+    def packed(found):
+        row = np.zeros(language_id.BINS, np.uint8)
+        row[list(found)] = 1
+        return np.packbits(row).tobytes()
+
+    def kernel(a, b):
+        return len(a & b) / (len(a) * len(b)) ** 0.5
+
+    known = sorted((lang, packed(found := bins(text)), sorted(found)) for text, lang in rows)
+    known = [(lang, set(found)) for lang, _, found in known]
+    langs = sorted({lang for lang, _ in known})
+    marks = [f for lang in langs for f in [f for x, f in known if x == lang][: language_id.LANDMARKS]]
+    nm = np.array([[kernel(f, m) for m in marks] for _, f in known])
+    mm = np.array([[kernel(f, m) for m in marks] for f in marks])
+    y = np.array([[1.0 if lang == x else -1.0 for x in langs] for lang, _ in known])
+    share = np.diag([1 / sum(x == lang for x, _ in known) for lang, _ in known])
+    w = np.linalg.solve(nm.T @ share @ nm + ridge * mm + 1e-9 * np.eye(len(marks)), nm.T @ share @ y)
+    return langs, lambda text: np.array([kernel(bins(text), m) for m in marks]) @ w
+
+
+def test_language_against_an_explicit_kernel(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANDMARKS", 9)
+    docs = [(r["doc_id"], r["text"][:300], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r["text"] and r["lang"]]
+    learn = [(t, lang) for i, t, lang in docs if zlib.crc32(str(i).encode()) % 3 != 1 and language_id.has_letter(t)]
+    langs, values = plain_kernel_model(learn)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in language_id.identify(df).collect()}
+    for i, t, _ in docs:
+        if language_id.has_letter(t):
+            v = values(t)
+            assert found[i]["score"] == pytest.approx(min(1, max(0, (v.max() + 1) / 2)), abs=2e-3)
+            assert found[i]["lang_pred"] == langs[int(v.argmax())] or np.sort(v)[-1] - np.sort(v)[-2] < 4e-3
+
+
+def test_numbers_are_not_letters(spark):
+    rows = [(i, t, "en") for i in range(20) for t in ("² ½ ① Ⅷ", "the cat sat")] + [(50, "ʰ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r["lang_pred"] for r in language_id.identify(df).collect()] == ["und", "en"] * 20 + ["en"]
+
+
+def test_samples_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 20)
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    df = spark.createDataFrame([(i, "some words", "en") for i in ids] + [(ids[0], f"more {k}", "en") for k in range(500)], "doc_id long, text string, lang string")
+    assert 5 <= len(language_id.taught(df)) <= 45
+    assert language_id.C.bound(300, 10**12) * 10**12 // language_id.C.LOTS in (299, 300)
+
+
 def test_language_edge_rows(spark):
     rows = [(2, "the cat and the dog", "en"), (3, "le chat et le chien", "fr"), (5, None, "en"), (6, "123 ... !", "en"), (None, "the", None), (2, "the cat and the dog", "en"), (8, "ab " * 500_000, "en")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
@@ -160,6 +277,41 @@ def test_quality_held_out(spark):
     assert np.mean([found[i] for i in good]) >= 0.95 and np.mean([found[i] for i in toxic]) <= 0.06
 
 
+def test_quality_against_plain_likelihood(monkeypatch):
+    """The same steps with a dense matrix and a likelihood whose slopes are taken by differences."""
+    rng = random.Random(2)
+    words = [["scum", "trash", "hate"], ["meh", "okay", "thin"], ["fine", "lucid", "prose"]]
+    texts = [(g, " ".join(rng.choice(words[g] if rng.random() < 0.8 else sum(words, [])) for _ in range(6))) for g in (0, 1, 2, 2, 1, 0) * 6]
+    rows = [(g, quality.packed(t)) for g, t in texts]
+    monkeypatch.setattr(quality, "UNEVEN", 0.0)
+    weights, cuts = quality.fit(rows, rounds=40)
+    rows.sort()
+    bins = [set(np.frombuffer(b, "<i4").tolist()) for _, b in rows]
+    used = sorted(b for b in set().union(*bins) if sum(b in x for x in bins) >= 2)
+    x, grade = np.array([[float(b in s) for b in used] for s in bins]), [g for g, _ in rows]
+    count = {g: grade.count(g) for g in grade}
+
+    def loss(v):
+        w, low, gap = v[:-2], v[-2], v[-1]
+        at = [-np.inf, low, low + np.exp(gap), np.inf]
+        below = lambda t, f: 1 / (1 + np.exp(f - t)) if np.isfinite(t) else float(t > 0)
+        fit = -sum(np.log(below(at[g + 1], f) - below(at[g], f)) / (count[g] * len(count)) for g, f in zip(grade, x @ w))
+        return fit + 3e-3 * (w @ w) / (2 * len(used))
+
+    v, m, s = np.array([*np.zeros(len(used)), -1.0, np.log(2.0)]), 0.0, 0.0
+    for step in range(1, 41):
+        g = np.array([(loss(v + h) - loss(v - h)) / 2e-5 for h in 1e-5 * np.eye(len(v))])
+        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+        v = v - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    assert np.allclose(weights[used], v[:-2], atol=2e-3) and np.allclose(cuts, [v[-2], v[-2] + np.exp(v[-1])], atol=2e-3)
+    assert np.flatnonzero(weights).tolist() == [b for b, w in zip(used, weights[used]) if w]
+    for _, t in texts[:12]:  # and what the grades say
+        f = sum(float(weights[quality.bin_of(w)]) for w in quality.features(t))
+        above = [1 / (1 + np.exp(c - f)) for c in cuts]
+        grade_, good = quality.Grader((weights, cuts))([t])
+        assert grade_[0] == pytest.approx(sum(above)) and good[0] == pytest.approx(above[1])
+
+
 def test_quality_thresholds_are_ordered_and_edge_rows(spark):
     rows = [(1, quality.packed("good words here")), (2, quality.packed("fine prose here")), (0, quality.packed("scum scum"))] * 5
     weights, cuts = quality.fit([(g, b) for g, b in rows])

@@ -9,7 +9,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words that a Python worker remembers before it starts afresh.
@@ -87,6 +87,32 @@ def let_go() -> None:
         trim(0)
 
 
+#: Lots that ids are dealt, so many that a sample of a fixed size stays so over any table.
+LOTS = 1 << 48
+
+
+def lot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(LOTS))
+
+
+def bound(wanted: int, n: int) -> int:
+    """The lots below which about ``wanted`` of n rows are."""
+    return LOTS if n <= wanted else LOTS * wanted // n
+
+
+def by_batch(docs: DataFrame, make) -> DataFrame:
+    """docs with each batch put through a function of batches, which ``make`` makes once a task. Columns go by place, so any names will do."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches):
+        let_go()
+        of = make()
+        for batch in batches:
+            yield of(batch)
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

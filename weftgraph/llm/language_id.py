@@ -10,10 +10,9 @@ scored by one matrix product.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +25,15 @@ BINS = 1 << 15
 ORDERS = 4
 #: About so many training texts of each language are taken, by a hash of their id, and so many of them are landmarks.
 PER_LANGUAGE, LANDMARKS = 300, 100
+#: Landmarks of all languages together; beyond that each has an equal share.
+MOST_LANDMARKS = 2000
 #: Texts that share one matrix product.
 BATCH = 128
 UNKNOWN = "und"
 #: Parts of the training texts that are left out in turn, and the share of their texts that may fall below the floor of firmness.
 FOLDS, LOST = 5, 0.005
 
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search
 _PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
 
 
@@ -52,35 +53,50 @@ def presences(text: str, row: np.ndarray) -> None:
             row[(mixed + np.uint32(n * 0x27D4EB2F)) >> np.uint32(17)] = 1
 
 
-def _prepared(rows: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, texts by bins of length one, index of each text's language)."""
-    languages = sorted({r[0] for r in rows})
-    rows = sorted(rows)
-    x = np.unpackbits(np.array([np.frombuffer(r[1], np.uint8) for r in rows]), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    return languages, x, np.array([languages.index(r[0]) for r in rows])
+class Kernel:
+    """The kernel of training texts with the texts that may be landmarks. Presences stay packed; a block of them at a time is unpacked."""
 
+    def __init__(self, rows: list[tuple[str, bytes]]):
+        self.languages = sorted({r[0] for r in rows})
+        rows = sorted(rows)
+        self.bits = np.array([np.frombuffer(r[1], np.uint8) for r in rows])
+        self.of = np.array([self.languages.index(r[0]) for r in rows])
+        self.each = max(1, min(LANDMARKS, MOST_LANDMARKS // len(self.languages)))
+        # with a part of the texts left out, the first landmarks of a language still are among so many
+        self.pool = np.concatenate([np.flatnonzero(self.of == k)[: 2 * self.each] for k in range(len(self.languages))])
+        z = self.presences(self.pool)
+        self.values = np.concatenate([self.presences(np.arange(at, min(at + BATCH, len(rows)))) @ z.T for at in range(0, len(rows), BATCH)])
 
-def _landmarks(of: np.ndarray, n: int) -> np.ndarray:
-    return np.concatenate([np.flatnonzero(of == k)[:LANDMARKS] for k in range(n)])
+    def presences(self, at: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(self.bits[at], axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
+    def landmarks(self, texts: np.ndarray) -> np.ndarray:
+        """Places in the pool of the landmarks when only the given texts are learned from."""
+        known = np.isin(self.pool, texts)
+        return np.concatenate([np.flatnonzero(known & (self.of[self.pool] == k))[: self.each] for k in range(len(self.languages))])
 
-def _solved(nm: np.ndarray, mm: np.ndarray, of: np.ndarray, n: int, ridge: float) -> np.ndarray:
-    """Landmarks by languages, from the kernel of texts by landmarks and of landmarks by landmarks."""
-    y = np.where(of[:, None] == np.arange(n), 1.0, -1.0)
-    share = 1 / np.bincount(of)[of]
-    left = nm.T @ (share[:, None] * nm) + ridge * mm + 1e-9 * np.eye(len(mm))
-    return np.linalg.solve(left, nm.T @ (share[:, None] * y))
+    def solved(self, texts: np.ndarray, marks: np.ndarray, ridge: float) -> np.ndarray:
+        """Landmarks by languages: the ridge regression of one language versus the rest, in which each language weighs the same."""
+        nm, of = self.values[np.ix_(texts, marks)].astype(np.float64), self.of[texts]
+        mm = self.values[np.ix_(self.pool[marks], marks)].astype(np.float64)
+        y = np.where(of[:, None] == np.arange(len(self.languages)), 1.0, -1.0)
+        share = (1 / np.bincount(of, minlength=len(self.languages)).clip(1))[of]
+        left = nm.T @ (share[:, None] * nm) + ridge * mm + 1e-9 * np.eye(len(mm))
+        return np.linalg.solve(left, nm.T @ (share[:, None] * y))
 
 
 def fit(rows: list[tuple[str, bytes]], ridge: float = 1e-3) -> tuple[list[str], np.ndarray]:
     """(languages, matrix of bins by languages) from (language, packed presences) of training texts."""
     if not rows:
         return [], np.zeros((BINS, 0), np.float32)
-    languages, x, of = _prepared(rows)
-    z = x[_landmarks(of, len(languages))]
-    w = _solved((x @ z.T).astype(np.float64), (z @ z.T).astype(np.float64), of, len(languages), ridge)
-    return languages, (z.T @ w).astype(np.float32)
+    kernel = Kernel(rows)
+    every = np.arange(len(rows))
+    marks = kernel.landmarks(every)
+    w, matrix = kernel.solved(every, marks, ridge).astype(np.float32), np.zeros((BINS, len(kernel.languages)), np.float32)
+    for at in range(0, len(marks), BATCH):
+        matrix += kernel.presences(kernel.pool[marks[at : at + BATCH]]).T @ w[at : at + BATCH]
+    return kernel.languages, matrix
 
 
 def firmness(values: np.ndarray) -> np.ndarray:
@@ -97,13 +113,12 @@ def least_firmness(rows: list[tuple[str, bytes]], ridge: float = 1e-3) -> float:
     """The firmness that all but LOST of the training texts reach, each by a model of the FOLDS - 1 parts it is not in; no bound from fewer than two texts."""
     if len(rows) < 2:
         return -np.inf
-    languages, x, of = _prepared(rows)
-    kernel = (x @ x.T).astype(np.float64)
-    part, values = np.arange(len(rows)) % FOLDS, np.zeros((len(rows), len(languages)))
+    kernel = Kernel(rows)
+    part, values = np.arange(len(rows)) % FOLDS, np.zeros((len(rows), len(kernel.languages)))
     for k in range(min(FOLDS, len(rows))):
         own, rest = np.flatnonzero(part == k), np.flatnonzero(part != k)
-        at = rest[_landmarks(of[rest], len(languages))]
-        values[own] = kernel[np.ix_(own, at)] @ _solved(kernel[np.ix_(rest, at)], kernel[np.ix_(at, at)], of[rest], len(languages), ridge)
+        marks = kernel.landmarks(rest)
+        values[own] = kernel.values[np.ix_(own, marks)].astype(np.float64) @ kernel.solved(rest, marks, ridge)
     return float(np.quantile(firmness(values), LOST, method="lower"))
 
 
@@ -114,16 +129,17 @@ def remainder(doc_id: str = "doc_id") -> Column:
 def taught(docs: DataFrame) -> list[tuple[str, bytes]]:
     """(language, packed presences) of the texts to learn from: rows with a language, a letter and crc32(doc_id as text) mod 3 other than 1.
 
-    Their presences, not their texts, reach the driver: about PER_LANGUAGE rows of BINS bits for each language.
+    Their presences, not their texts, reach the driver: about PER_LANGUAGE rows of BINS bits for each language. Of several rows of one id, one is taken.
     """
     labelled = C.pick(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (remainder() != 1))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    wanted = F.lit(False)
+    lot, wanted = C.lot("doc_id"), F.lit(False)
     for lang, n in sorted(counts.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (lot < min(1_000_000, -(-1_000_000 * PER_LANGUAGE // n))))
+        wanted = wanted | ((F.col("lang") == lang) & (lot < C.bound(PER_LANGUAGE, n)))
+    # of several rows of one id, one
+    chosen = labelled.filter(wanted).groupBy("doc_id").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("row")).select("row.text", "row.lang")
 
     def run(batches):
         for batch in batches:
@@ -136,7 +152,7 @@ def taught(docs: DataFrame) -> list[tuple[str, bytes]]:
                     out.append((lang, np.packbits(row).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary())], ["lang", "bits"])
 
-    taken = labelled.filter(wanted).mapInArrow(run, "lang string, bits binary").collect()
+    taken = chosen.mapInArrow(run, "lang string, bits binary").collect()
     return [(r["lang"], bytes(r["bits"])) for r in taken]
 
 
@@ -194,18 +210,22 @@ def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = Non
     """The rows of docs, with all their columns, whose text has a language with a score of ``least`` or more and a firmness of ``firm`` or more.
 
     Without ``firm``, it is learned from docs (``least_firmness``), so that texts of no learned language go and
-    all but about one in a hundred of the others stay.
+    all but about one in a hundred of the others stay. docs: doc_id, text, lang; other columns stay as they are, also under names that differ in case
+    alone. Texts that are null or have no letter go; where nothing could be learned, all do. A row is judged by its text alone, so repeated rows
+    stay or go together; an empty table gives an empty one.
     """
     rows = taught(docs) if model is None or firm is None else []
     model = model or fit(rows)
     bound = least_firmness(rows) if firm is None else firm
+    at = docs.columns.index("text")
 
-    def run(batches):
-        C.let_go()
+    def make():
         of = Identifier(model)
-        for batch in batches:
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             found, scores, firmly = of(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([f != UNKNOWN and s >= least and v >= bound for f, s, v in zip(found, scores, firmly)], pa.bool_()))
+            return batch.filter(pa.array([f != UNKNOWN and s >= least and v >= bound for f, s, v in zip(found, scores, firmly)], pa.bool_()))
 
-    at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+        return run
+
+    return C.by_batch(docs, make)

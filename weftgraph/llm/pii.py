@@ -31,10 +31,13 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Letters that look like Latin ones.
-CYRILLIC = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅУ", "aeopcyxijsdhqwABEKMHOPCTXIJSY"))
-GREEK = dict(zip("οανικρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavikpuABEZHIKMNOPTYX"))
+CYRILLIC = dict(zip("аеорсухіјѕԁһԛԝѵӏґгпАВЕЗКМНОРСТХІЈЅУҮԌԚԜ", "aeopcyxijsdhqwvlrrnABE3KMHOPCTXIJSYYGQW"))
+GREEK = dict(zip("οανικρυγτωϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "oavikpuytwcjABEZHIKMNOPTYXC"))
+PHONETIC = dict(zip("ɑɡɩɪʏɴʀʟʜʙ", "agiiynrlhb"))
+ARMENIAN = dict(zip("օսհոցզյՍՕ", "ouhngqjUO"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᎻᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCDEHKLMPSTVWZ"))
 MARKS = dict(zip("‐‑‒–—―−․。﹒｡﹫", "-------....@"))
-LOOK_ALIKES = CYRILLIC | GREEK | MARKS
+LOOK_ALIKES = CYRILLIC | GREEK | PHONETIC | ARMENIAN | CHEROKEE | MARKS
 #: Letters and marks of the languages that the Latin script writes, and common quotes: nothing to rewrite.
 SUSPECT = re.compile("[^\x00-\x9f\xa1-\xac\xae-ɏ‘’“-„…€]")
 INVISIBLE = "­​‌‍⁠﻿"
@@ -52,31 +55,50 @@ DIGITS = {
 _WORD = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _AT, _DOT = "(?:at|arroba|arobase|klammeraffe)", "(?:dot|punkt|point|punto)"
 _OPEN, _SHUT, _GAP = r"[\[({<]{1,2} ?", r" ?[\])}>]{1,2}", "[ _-]{1,2}"
-_DOTTED = rf"(?:{_GAP}{_DOT}{_GAP}| {{0,2}}{_OPEN}(?:{_DOT}|\.){_SHUT} {{0,2}})"
+_APART = r"(?: {1,2}\. {1,2}(?=(?-i:[a-z0-9])))"
+_DOTTED = rf"(?:{_GAP}{_DOT}{_GAP}| {{0,2}}{_OPEN}(?:{_DOT}|\.){_SHUT} {{0,2}}|{_APART})"
 TOKENS = re.compile(
     rf"(?P<at> {{0,2}}{_OPEN}(?:{_AT}|@){_SHUT} {{0,2}})"
+    rf"|(?P<apart> {{1,2}}@ {{1,2}}(?=[A-Za-z0-9-]{{1,63}}(?:{_DOTTED}|\.)[A-Za-z0-9]))"
     rf"|(?P<dot>{_DOTTED}(?=[A-Za-z0-9]))"
     rf"|(?P<bare>{_GAP}{_AT}{_GAP}(?=[A-Za-z0-9-]{{1,63}}(?:{_DOTTED}|(?P<plain>\.)[A-Za-z])))"
     rf"|(?<!\w)(?P<digit>{_WORD})(?!\w)(?P<comma> ?[,;] ?(?={_WORD}(?!\w)))?"
     rf"|(?<!\w)(?P<plus>plus {{1,2}})(?=[0-9]|{_WORD}(?!\w))",
     re.IGNORECASE,
 )
-#: What a text must hold for TOKENS to matter, by the words that are looked for first. The text is in lower case.
+#: Without one of these, what TOKENS finds makes no identifier. The text is in lower case, and the words that a pattern starts from are looked for first.
+_BETWEEN = r"[ ().,;_\[\]{}<>-]*"
 _BRACKETED = re.compile(rf"[\[({{<]{{1,2}} ?(?:{_AT}|{_DOT}|@|\.){_SHUT}")
+_SPACED = re.compile(r"@ {1,2}[a-z0-9-]| \. {1,2}[a-z0-9]")
+_LOOSE_IP = re.compile(r"[0-9] {1,2}\. {1,2}[0-9]")
 _HINTS = [
-    (frozenset(w.encode() for w in re.findall(r"\w+", _AT)), re.compile(rf"{_AT}{_GAP}[a-z0-9-]{{1,63}}(?:\.[a-z]|{_GAP}{_DOT})")),
-    (frozenset(w.encode() for w in re.findall(r"\w+", _DOT)), re.compile(rf"{_DOT}{_GAP}[a-z0-9]")),
-    (frozenset(w.encode() for w in DIGITS), re.compile(rf"{_WORD}[ ,;._-]{{1,3}}(?:{_WORD}(?!\w)|[0-9]|{_DOT})|(?:[0-9]|plus|{_DOT})[ ,;._-]{{1,3}}{_WORD}(?!\w)")),
+    (frozenset(w.encode() for w in re.findall(r"\w+", _AT)), re.compile(rf"{_AT}{_GAP}[a-z0-9-]{{1,63}}(?:\.[a-z]|{_GAP}{_DOT}| {{1,2}}\. )")),
+    (frozenset(w.encode() for w in re.findall(r"\w+", _DOT)), re.compile(rf"[ _-]{_DOT}{_GAP}[a-z0-9]")),
+    (frozenset(w.encode() for w in DIGITS if w.isascii()), re.compile(rf"{_WORD}{_BETWEEN}(?:{_WORD}(?!\w)|[0-9]|{_DOT})|(?:[0-9+]|plus|{_DOT}){_BETWEEN}{_WORD}(?!\w)")),
     (frozenset([b"plus"]), re.compile(r"plus {1,2}[0-9]")),
 ]
-_LETTERS = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
+_LETTERS = bytes(i if i < 128 and chr(i).isalnum() else 32 for i in range(256))
+#: Letters that patterns take for i and s where case does not count, though they are not their lower case.
+_ODD_CASES = (("ı", "i"), ("ſ", "s"), ("\u0307", ""))
 
 
-def _hinted(text: str) -> bool:
+def _lower(text: str) -> str:
     low = text.lower()
+    if not low.isascii():
+        for odd, plain in _ODD_CASES:
+            low = low.replace(odd, plain)
+    return low
+
+
+def _hinted(text: str) -> bool:
+    low = _lower(text)
     if any(c in low for c in "[({<") and _BRACKETED.search(low):
         return True
-    words = low.encode().translate(_LETTERS).split()
+    if " . " in low and ("@" in low or _LOOSE_IP.search(low)) or "@" in low and _SPACED.search(low):
+        return True
+    if not low.isascii() and ("fünf" in low or "zéro" in low):
+        return True
+    words = low.encode("utf-8", "surrogatepass").translate(_LETTERS).split()
     return any(not known.isdisjoint(words) and pattern.search(low) for known, pattern in _HINTS)
 
 
@@ -132,10 +154,8 @@ def _character(c: str) -> str:
         return " "
     if (digit := unicodedata.decimal(c, None)) is not None:
         return str(digit)
-    if "\uff01" <= c <= "\uff5e" or "\U0001d400" <= c <= "\U0001d7ff":
-        plain = unicodedata.normalize("NFKC", c)
-        return plain if plain.isascii() else c
-    return c
+    plain = unicodedata.normalize("NFKC", c)  # wide, mathematical, circled, raised and lowered forms
+    return plain if len(plain) == 1 and plain.isascii() else c
 
 
 def characters(text: str) -> Rewritten | None:
@@ -170,11 +190,11 @@ def tokens(text: str) -> Rewritten | None:
         out.append((text[done : m.start()], done, m.start(), False))
         done = m.end()
         if m["digit"] is not None:
-            out.append((DIGITS[m["digit"].lower()], m.start("digit"), m.end("digit"), True))
+            out.append((DIGITS[_lower(m["digit"])], m.start("digit"), m.end("digit"), True))
             if m["comma"]:
                 out.append((" ", m.end("digit"), m.end(), False))
         else:
-            plain = {"at": "@", "bare": "@", "dot": ".", "plus": "+"}[kind]
+            plain = {"at": "@", "apart": "@", "bare": "@", "dot": ".", "plus": "+"}[kind]
             out.append((plain, m.start(), m.end(), True))
     return Rewritten([*out, (text[done:], done, len(text), False)]) if out else None
 
@@ -240,19 +260,19 @@ def redacted(text: str) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with personal data in ``text`` replaced and ``n_chars`` (where there is one) counted anew; all other columns, and null texts, stay."""
-    schema = docs.schema
-    names = [f.name for f in schema]
-    at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    """docs with personal data in ``text`` replaced and ``n_chars`` (where there is one) counted anew.
 
-    def run(batches):
-        C.let_go()
-        for batch in batches:
-            texts = [t if t is None else redacted(t) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            if n_at is not None:
-                columns[n_at] = pa.array([None if t is None else len(t) for t in texts], columns[n_at].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return docs.mapInArrow(run, schema)
+    All other columns stay, also under names that differ in case alone, and so do null texts, whose n_chars is null. A row's result depends on its text alone, so
+    repeated rows give repeated results; an empty table gives an empty one.
+    """
+    at, n_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t if t is None else redacted(t) for t in batch.column(at).to_pylist()]
+        columns = list(batch.columns)
+        columns[at] = pa.array(texts, pa.string())
+        if n_at is not None:
+            columns[n_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[n_at].type)
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return C.by_batch(docs, lambda: run)

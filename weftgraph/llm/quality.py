@@ -111,14 +111,14 @@ def fit(rows: list[tuple[int, bytes]], rounds: int = 250, ridge: float = 3e-3) -
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Learns from the labels' rows that have quality, toxic and a text; of several for one document, from the lowest grade.
 
-    The bins, not the texts, of about PER_GRADE rows of each grade reach the driver.
+    The bins, not the texts, of about PER_GRADE rows of each grade reach the driver. Of several texts of one id, one is taken.
     """
     grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
     rated = C.pick(labels, "doc_id", "quality", "toxic").dropna().select("doc_id", grade.alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     counts = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     wanted = F.lit(False)
     for g, n in sorted(counts.items()):
-        wanted = wanted | ((F.col("grade") == g) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, -(-1_000_000 * PER_GRADE // n))))
+        wanted = wanted | ((F.col("grade") == g) & (C.lot("doc_id") < C.bound(PER_GRADE, n)))
 
     def run(batches):
         for batch in batches:
@@ -127,7 +127,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(grades, pa.int32()), pa.array(bins, pa.binary())], ["grade", "bins"])
 
     taken = F.broadcast(rated.filter(wanted))  # about GRADES * PER_GRADE ids
-    rows = C.pick(docs, "doc_id", "text").filter(F.col("text").isNotNull()).join(taken, "doc_id").select("grade", "text")
+    rows = C.pick(docs, "doc_id", "text").filter(F.col("text").isNotNull()).join(taken, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text")).select("grade", "text")
     return fit([(r["grade"], bytes(r["bins"])) for r in rows.mapInArrow(run, "grade int, bins binary").collect()])
 
 
@@ -184,14 +185,16 @@ def grade_documents(docs: DataFrame, labels: DataFrame | None = None, model: tup
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, model: tuple[np.ndarray, np.ndarray] | None = None, least: float = LEAST_GOOD) -> DataFrame:
-    """The selected rows of docs, with all their columns."""
+    """The selected rows of docs, with all their columns.
+
+    docs: doc_id, text; other columns stay as they are, also under names that differ in case alone. Texts that are null or white space go (unless
+    ``least`` is 0). A row is judged by its text alone, so repeated rows stay or go together; an empty table gives an empty one.
+    """
     model = model or train(docs, labels)
+    at = docs.columns.index("text")
 
-    def run(batches):
-        C.let_go()
+    def make():
         of = Grader(model)
-        for batch in batches:
-            yield batch.filter(pa.array(of(batch.column(at).to_pylist())[1] >= least))
+        return lambda batch: batch.filter(pa.array(of(batch.column(at).to_pylist())[1] >= least))
 
-    at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return C.by_batch(docs, make)
