@@ -11,7 +11,8 @@ from tokenizers import Tokenizer
 from weftgraph.llm import _common as C
 from weftgraph.llm import byte_bpe, packing, token_counts
 
-BITS = ["a", "aa", "aaa", "b", "é", "ß", "東京", "😀", " ", "  ", "\n", "\n \n", "'s", "'ll", "1", "12345", "<|endoftext|>", "\x1c", "՘", "...", "!?", "The", " the", "0" * 50, "ab" * 30, "​", "\t", "\xa0", "ⅷ", "٣", "İ", "Σ", "½", "<|ENDOFTEXT|>"]
+STRANGE = ["नमस्ते", "สวัสดี", "ⴰⵣⵓⵍ", "𝟙𝟚", "𞤀", "᠋", "\u0600", "\u2e80", "𒀀", "👍🏽", "\U000e0041", "\u0378", "\ufdd0", "ꙮ", "\u1680", "Ⴀ", "᭐", "৴", "꠰", "𐄇"]
+BITS = [*STRANGE, "a", "aa", "aaa", "b", "é", "ß", "東京", "😀", " ", "  ", "\n", "\n \n", "'s", "'ll", "1", "12345", "<|endoftext|>", "\x1c", "՘", "...", "!?", "The", " the", "0" * 50, "ab" * 30, "​", "\t", "\xa0", "ⅷ", "٣", "İ", "Σ", "½", "<|ENDOFTEXT|>"]
 
 
 def texts(n: int = 400) -> list[str]:
@@ -41,17 +42,21 @@ def test_compared_code_points_split_alike():
 def test_encoding_is_the_librarys(spark, library):
     rows = [*enumerate(texts()), (None, "a b"), (5, None), (5, None)]
     found = byte_bpe.encode(table(spark, rows), None).collect()
-    assert len(found) == len(rows)
-    for (key, text), r in zip(rows, found):
-        assert r["doc_id"] == key and r["ids"] == library.encode_ordinary(text or "")
+    plain = lambda pairs: sorted(map(repr, pairs))
+    assert plain((r["doc_id"], r["ids"]) for r in found) == plain((key, library.encode_ordinary(t or "")) for key, t in rows)
     back = byte_bpe.decode(byte_bpe.encode(table(spark, rows))).collect()
-    assert [bytes(r["bytes"]) for r in back] == [(t or "").encode() for _, t in rows]
+    assert plain((r["doc_id"], bytes(r["bytes"])) for r in back) == plain((key, (t or "").encode()) for key, t in rows)
     assert byte_bpe.encode(table(spark, [])).collect() == []
 
 
-def test_round_trip_digests(spark, library):
-    for (_, t), r in zip(enumerate(texts(50)), byte_bpe.round_trip(table(spark, enumerate(texts(50)))).collect()):
-        ids = library.encode_ordinary(t)
+@pytest.mark.parametrize("chars,kept", [(4_000_000, 400_000), (300, 20)])
+def test_round_trip_digests(spark, library, monkeypatch, chars, kept):
+    """Blocks of a few texts, shards that forget their words, and the usual sizes."""
+    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(byte_bpe.C, "WORDS_KEPT", kept)
+    found = {r["doc_id"]: r for r in byte_bpe.round_trip(table(spark, enumerate(texts(50)))).collect()}
+    for k, t in enumerate(texts(50)):
+        r, ids = found[k], library.encode_ordinary(t)
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
 
 

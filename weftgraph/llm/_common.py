@@ -117,13 +117,13 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def blocks(batches, ids: str, text: str):
-    """(ids, texts) of at most BLOCK_CHARS or one document; a null text is an empty one."""
+def blocks(batches, ids: str, text: str, chars: int = BLOCK_CHARS):
+    """(ids, texts) of at most so many characters or one document; a null text is an empty one."""
     keys, texts, size = [], [], 0
     for batch in batches:
         for key, value in zip(*rows_of(batch, ids, text)):
             value = value or ""
-            if texts and size + len(value) > BLOCK_CHARS:
+            if texts and size + len(value) > chars:
                 yield keys, texts
                 keys, texts, size = [], [], 0
             keys.append(key)
@@ -133,6 +133,44 @@ def blocks(batches, ids: str, text: str):
         yield keys, texts
 
 
+class Splitter:
+    """Finds the matches of the pre-token pattern as a tokenizer library would.
+
+    The pattern engines know different versions of Unicode. Characters outside COMPARED take part in the search as a stand-in
+    of the class that the library gives them: kind(c) is "a" for a letter, "1" for a number, a line feed for white space, "!" for others.
+    """
+
+    def __init__(self, kind):
+        import public_tokenizers
+        import regex
+
+        self.kind, self.known = kind, {}
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.strange = regex.compile(f"[^{COMPARED}]")
+
+    def stand_in(self, m) -> str:
+        c = m[0]
+        if c not in self.known:
+            self.known[c] = self.kind(c)
+        return self.known[c]
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii() or not self.strange.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(self.strange.sub(self.stand_in, text))]
+
+
+class Numbers(dict):
+    """Numbers words as they are met."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+    def numbers(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 class WordTable(dict):
     """Numbers words as they are met; ``fill`` gives the new ones their values."""
 

@@ -1,10 +1,12 @@
-"""Byte-level BPE encoding and decoding by merge replay over a block of the corpus.
-
-The distinct words of a block lie one after the other in one array of tokens. An
-inverted index holds, for each merge, the positions where its pair stands; merges
-are applied in rank order to all their positions at once, and only the pairs
-with a touched neighbour are indexed anew. Words do not depend on each other, so
-replaying a block gives what replaying the whole corpus would.
+"""Byte-level BPE encoding and decoding by merge replay over the corpus.
+
+1. Texts are split into pre-tokens block by block. A block is written as the numbers of its words in their
+   order, and its distinct words go to shards by their hash.
+2. A shard meets the words of all blocks, and replays each distinct one once: the words lie one after the other in one
+   array of tokens; an inverted index holds, for each merge, the positions where its pair stands; merges are applied
+   in rank order to all their positions at once, and only the pairs with a touched neighbour are indexed anew. As
+   words do not depend on each other, shards give what one replay over the whole corpus would.
+3. The ids of its words come back to each block, which puts them in the place of the numbers.
 """
 
 from __future__ import annotations
@@ -14,15 +16,19 @@ import functools
 import hashlib
 import heapq
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from weftgraph.llm import _common as C
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Characters of a block, and shards at most; with more, the words of a block would be too few for a shard.
+BLOCK_CHARS, SHARDS = 4_000_000, 1024
 
 
 class MergeReplay:
@@ -150,41 +156,23 @@ def codec(path: str) -> MergeReplay:
     return MergeReplay(read_ranks(path))
 
 
-class Splitter:
-    """Finds the matches of the pre-token pattern as the tiktoken library would.
+@functools.lru_cache(2)
+def splitter(path: str) -> C.Splitter:
+    """Finds the matches of the pre-token pattern as the tiktoken library would."""
+    import public_tokenizers
+    import tiktoken
 
-    The two pattern engines know different versions of Unicode. Characters outside
-    COMPARED take part in the search as a stand-in of the class that the library gives them.
-    """
+    library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec(path).ranks, special_tokens={})
+    suffix = library.encode_ordinary("1's")[1:]
 
-    def __init__(self, ranks: dict[bytes, int]):
-        import public_tokenizers
-        import regex
-        import tiktoken
-
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.strange = regex.compile(f"[^{C.COMPARED}]")
-        self.library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.suffix = self.library.encode_ordinary("1's")[1:]
-        self.stand_ins: dict[str, str] = {}
-
-    def stand_in(self, c: str) -> str:
-        if c not in self.stand_ins:
-            kind = unicodedata.category(c)[0]
-            if c.isspace():
-                found = "\n"
-            elif self.library.encode_ordinary(f"{c}'s")[-len(self.suffix) :] == self.suffix:  # what follows a letter or number is a suffix
-                found = "1" if kind == "N" else "a"
-            else:
-                found = "!"
-            self.stand_ins[c] = found
-        return self.stand_ins[c]
+    def kind(c: str) -> str:
+        if c.isspace():
+            return "\n"
+        if library.encode_ordinary(f"{c}'s")[-len(suffix) :] == suffix:  # what follows a letter or number is a suffix
+            return "1" if unicodedata.category(c)[0] == "N" else "a"
+        return "!"
 
-    def __call__(self, text: str) -> list[str]:
-        if text.isascii() or not self.strange.search(text):
-            return self.pattern.findall(text)
-        plain = self.strange.sub(lambda m: self.stand_in(m[0]), text)
-        return [text[m.start() : m.end()] for m in self.pattern.finditer(plain)]
+    return C.Splitter(kind)
 
 
 def _path(path: str | None) -> str:
@@ -195,16 +183,102 @@ def _path(path: str | None) -> str:
     return path
 
 
-def encoded_blocks(batches, path: str):
-    """(doc_id, ids as bytes) of each document, block by block."""
-    replay = codec(path)
-    split = Splitter(replay.ranks)
-    table = C.WordTable(lambda words: replay.encode([w.encode() for w in words]))
-    for keys, texts in C.blocks(batches, "doc_id", "text"):
-        numbered = [table.numbers(split(t)) for t in texts]
-        ids = table.fill().__getitem__
-        yield keys, [b"".join(map(ids, n.tolist())) for n in numbered]
-        table.trim()
+PARTS = "block long, shard int, keys array<long>, sizes array<int>, numbers binary, data binary"
+_PARTS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("numbers", pa.binary()), ("data", pa.binary())])
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers in two or four bytes, compressed; the first byte tells which."""
+    width = "<u2" if len(numbers) == 0 or numbers.max() < 1 << 16 else "<u4"
+    raw = numbers.astype(width).tobytes()
+    return width[-1].encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[9:], int.from_bytes(data[1:9], "little"), "zstd"), f"<u{data[:1].decode()}")
+
+
+def _part(*values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _PARTS)], schema=_PARTS)
+
+
+def split_blocks(docs: DataFrame, path: str, shards: int) -> DataFrame:
+    """Rows of two kinds. With shard -1, a block: the ids of its documents (keys), their numbers of words (sizes) and the words'
+    numbers. With a shard, the block's words of that shard: their numbers, lengths in bytes (sizes) and bytes (data)."""
+
+    def run(batches):
+        C.let_go()
+        split, task = splitter(path), TaskContext.get().partitionId()
+        for k, (keys, texts) in enumerate(C.blocks(batches, "doc_id", "text", BLOCK_CHARS)):
+            table = C.Numbers()
+            numbered = [table.numbers(split(t)) for t in texts]
+            block = task << 32 | k
+            yield _part(block, -1, keys, [len(n) for n in numbered], _packed(np.concatenate(numbered)), None)
+            words = [w.encode() for w in table]
+            shard = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
+            order = np.argsort(shard, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ():
+                mine = [words[i] for i in part.tolist()]
+                yield _part(block, int(shard[part[0]]), None, [len(w) for w in mine], part.astype("<u4").tobytes(), b"".join(mine))
+
+    return docs.mapInArrow(run, PARTS)
+
+
+def _cut(data: bytes, sizes) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def replay_shards(words: DataFrame, path: str, partitions: int) -> DataFrame:
+    """The rows of words with each word's ids in the place of its bytes; a word is replayed once for all blocks."""
+
+    def run(batches):
+        C.let_go()
+        replay, known, held = codec(path), {}, None
+        for batch in batches:
+            rows = list(zip(*C.rows_of(batch, "block", "shard", "sizes", "numbers", "data")))
+            cut = [_cut(r[4], r[2]) for r in rows]
+            if held != {r[1] for r in rows} or len(known) > C.WORDS_KEPT or sum(map(len, known)) > C.BLOCK_CHARS:
+                known, held = {}, {r[1] for r in rows}
+            fresh = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in known]
+            known.update(zip(fresh, replay.encode(fresh)))
+            for (block, shard, _, numbers, _), mine in zip(rows, cut):
+                ids = [known[w] for w in mine]
+                yield _part(block, shard, None, [len(x) for x in ids], numbers, b"".join(ids))
+
+    return words.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(run, PARTS)
+
+
+def encoded(docs: DataFrame, path: str, result, schema: str) -> DataFrame:
+    """result(doc_ids, ids of each document as bytes), a batch of the schema, of all blocks."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = C.checkpointed(split_blocks(C.pick(docs, "doc_id", "text"), path, min(2 * partitions, SHARDS)))
+    ids = replay_shards(parts.filter("shard >= 0"), path, partitions)
+
+    def run(batches):
+        C.let_go()
+        at, of_word, body = None, {}, None
+
+        def done():
+            keys, sizes, numbers = body
+            numbers, ends = _unpacked(numbers).tolist(), np.cumsum(sizes).tolist()
+            return result(keys, [b"".join(map(of_word.__getitem__, numbers[a:b])) for a, b in zip([0, *ends], ends)])
+
+        for batch in batches:
+            for block, shard, keys, sizes, numbers, data in zip(*C.rows_of(batch, *_PARTS.names)):
+                if block != at and body:
+                    yield done()
+                    of_word, body = {}, None
+                at = block
+                if shard < 0:
+                    body = keys, sizes, numbers
+                else:
+                    of_word.update(zip(np.frombuffer(numbers, "<u4").tolist(), _cut(data, sizes)))
+        if body:
+            yield done()
+
+    whole = parts.filter("shard < 0").unionByName(ids).repartition(partitions, "block").sortWithinPartitions("block", "shard")
+    return whole.mapInArrow(run, T.StructType.fromDDL(schema))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -212,16 +286,14 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. A null text is an empty one and has
     no ids; a null doc_id stays null; repeated rows give repeated results; an empty table
-    gives an empty one. path: a file of base64 tokens and ranks.
+    gives an empty one; the order of rows is not that of docs. path: a file of base64 tokens and ranks.
     """
-    path = _path(path)
 
-    def run(batches):
-        for keys, found in encoded_blocks(batches, path):
-            lists = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], ["doc_id", "ids"])
+    def result(keys, found):
+        lists = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in found], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], ["doc_id", "ids"])
 
-    return C.pick(docs, "doc_id", "text").mapInArrow(run, T.StructType.fromDDL("doc_id long, ids array<int>"))
+    return encoded(docs, _path(path), result, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -244,12 +316,11 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = _path(path)
 
-    def run(batches):
+    def result(keys, found):
         tokens = codec(path).tokens.__getitem__
         digest = lambda x: hashlib.sha256(x).hexdigest()
-        for keys, found in encoded_blocks(batches, path):
-            decoded = [digest(b"".join(map(tokens, np.frombuffer(x, "<u4").tolist()))) for x in found]
-            columns = [pa.array(keys, pa.int64()), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(map(digest, found), pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        decoded = [digest(b"".join(map(tokens, np.frombuffer(x, "<u4").tolist()))) for x in found]
+        columns = [pa.array(keys, pa.int64()), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(map(digest, found), pa.string()), pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return C.pick(docs, "doc_id", "text").mapInArrow(run, T.StructType.fromDDL(SCHEMA))
+    return encoded(docs, path, result, SCHEMA)

@@ -40,15 +40,18 @@ class TokenCounter:
     """Counts the tokens of texts as the library does; a worker keeps one from task to task."""
 
     def __init__(self, path: str):
-        import public_tokenizers
         import regex
 
         self.library, self.whole, special = proven(path)
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.words = C.Splitter(self.kind)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.strange = regex.compile(f"[^{C.COMPARED}]").search
         self.known: dict[str, int] = dict.fromkeys(self.whole, 1)
 
+    def kind(self, c: str) -> str:
+        """The class that the library gives a character, by what it does not part it from."""
+        pieces = self.library.pre_tokenizer.pre_tokenize_str
+        return next((x for x in "a1!" if len(pieces(x + c)) == 1), "\n")
+
     def merged(self, words: list[str]) -> list[int]:
         return [len(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -71,8 +74,6 @@ class TokenCounter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if not text.isascii() and self.strange(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
         if self.special is None or not self.special.search(text):
             return self.plain(text)
         pieces = self.special.split(text)
