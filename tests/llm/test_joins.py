@@ -79,7 +79,7 @@ def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
         return ids if ids[0] is None else (ids[0] % 8, ids[1])
 
     of = spark.createDataFrame([(i, i % 8, 10 * i) for i in range(40)] + [(99, 3, 30)], "doc_id long, node long, second long")
-    renamed = ngram_join.namesakes(of)
+    renamed = ngram_join.namesakes(of, ngram_join.per_node(of))
     assert set(renamed) == {(i % 8, 10 * i) for i in range(8, 40)} and len(set(renamed.values())) == 32
     shingles = ngram_join.Shingler()
     monkeypatch.setattr(ngram_join.Shingler, "ids", short)

@@ -124,14 +124,21 @@ def classes(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType.fromDDL("doc_id long, n long, node long, second long, part int, counts binary"))
 
 
-def namesakes(of: DataFrame) -> dict[tuple[int, int], int]:
+def per_node(of: DataFrame) -> DataFrame:
+    """node, least (doc_id), rows, low and high (of second) of each set."""
+    of = of.filter("node is not null").groupBy("node")
+    return C.checkpointed(of.agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("second").alias("low"), F.max("second").alias("high")))
+
+
+def namesakes(of: DataFrame, per: DataFrame) -> dict[tuple[int, int], int]:
     """Other names for sets whose first hash is that of another set, by both hashes.
 
     Of k sets about k * k / 2^65 share a hash of 64 bits, a few of ten billion; those of the smallest second hash keep the name.
     """
-    first = F.min("second").alias("least")
-    shared = of.filter("node is not null").groupBy("node").agg(first, F.max("second").alias("most")).filter("least <> most")
-    others = of.join(F.broadcast(shared), "node").filter("second <> least").select("node", "second").distinct().collect()  # a few rows, as said
+    shared = per.filter("low <> high").select("node", "low")
+    if shared.isEmpty():
+        return {}
+    others = of.join(F.broadcast(shared), "node").filter("second <> low").select("node", "second").distinct().collect()  # a few rows, as said
     return {(r["node"], r["second"]): zlib.crc32(f"{r['node']} {r['second']}".encode()) << 31 ^ r["second"] for r in others}
 
 
@@ -324,9 +331,9 @@ def _need(both, percent: int):
     return F.ceil(percent * both / (100 + percent))
 
 
-def sets_of(docs: DataFrame, of: DataFrame, nodes: DataFrame, size: int, renamed: dict) -> DataFrame:
-    """node, hashes of the asked nodes, from one document of each. of: doc_id, node."""
-    wanted = C.checkpointed(of.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("wanted")).select("wanted").distinct())
+def sets_of(docs: DataFrame, per: DataFrame, nodes: DataFrame, size: int, renamed: dict) -> DataFrame:
+    """node, hashes of the asked nodes, from the documents that have the least id of one of them. per: as of per_node."""
+    wanted = C.checkpointed(per.join(nodes, "node").select(F.col("least").alias("wanted")).distinct())
     if wanted.count() <= C.FEW:
         wanted = F.broadcast(wanted)
     chosen = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("wanted")), "left_semi")
@@ -358,9 +365,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.size(F.array_intersect("x", "y")) >= _need(F.size("x") + F.size("y"), percent)).select("a", "b")
 
 
-def _checked(docs, of, pairs, size, percent, renamed) -> DataFrame:
+def _checked(docs, per, pairs, size, percent, renamed) -> DataFrame:
     nodes = C.checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    return C.checkpointed(verified(pairs.select("a", "b"), C.checkpointed(sets_of(docs, of, nodes, size, renamed)), percent))
+    return C.checkpointed(verified(pairs.select("a", "b"), C.checkpointed(sets_of(docs, per, nodes, size, renamed)), percent))
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
@@ -385,22 +392,24 @@ def grouped(docs: DataFrame, size: int, percent: int, hot: int = HOT) -> tuple[D
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = C.checkpointed(classes(docs, size))
     of = first.filter("part is null").select("doc_id", "n", "node", "second")
-    renamed = namesakes(of)
+    per = per_node(of)
+    renamed = namesakes(of, per)
     if renamed:
         names = docs.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "node long, second long, name long")
         of = of.join(F.broadcast(names), ["node", "second"], "left").withColumn("node", F.coalesce("name", "node")).drop("name")
+        per = per_node(of)
     of = of.drop("second")
     level = levels(first.filter("part is not null").select("part", "counts"))
     found = C.checkpointed(lists(prefixes(docs, level, size, percent, 8 * partitions, hot, renamed), percent, partitions))
     members = found.filter("list is not null").select("list", F.col("a").alias("node"), F.col("n_a").alias("n"), "place")
     pairs = C.checkpointed(candidates(found, members, percent))
-    links = _checked(docs, of, pairs, size, percent, renamed)
+    links = _checked(docs, per, pairs, size, percent, renamed)
     joined = C.checkpointed(connected(links))
     if not members.isEmpty():
         more = C.checkpointed(open_pairs(members, joined, percent).join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            joined = C.checkpointed(connected(links.unionByName(_checked(docs, of, more, size, percent, renamed))))
-    named = of.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).join(joined, "node", "left")
+            joined = C.checkpointed(connected(links.unionByName(_checked(docs, per, more, size, percent, renamed))))
+    named = per.select("node", "least", "rows").join(joined, "node", "left")
     named = C.checkpointed(named.withColumn("component", F.coalesce("component", "node")))
     least = C.checkpointed(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")))
     by_node = C.checkpointed(C.looked_up(named.select("node", "rows", "component"), least, ["component"], "nodes"))
