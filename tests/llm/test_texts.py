@@ -131,12 +131,67 @@ def test_fingerprints_tell_equality_and_edits():
     assert str(fp.Tree.of(a)) == str(fp.Tree.of(a)) and fp.likeness(str(fp.Tree.of(a)), str(fp.Tree.of(a))) == 1.0
     b = a.replace("Another line", "A changed line", 1)
     assert fp.Tree.of(a).root != fp.Tree.of(b).root and 0.8 < fp.likeness(str(fp.Tree.of(a)), str(fp.Tree.of(b))) < 1
-    assert fp.differing(fp.Tree.of(b), fp.Tree.of(a)) == [0]
+    (start, end), = fp.differing(str(fp.Tree.of(b)), fp.Tree.of(a))
+    assert "A changed line" in b[start:end] and end - start <= 60
     assert fp.likeness(fp.Tree.of(""), fp.Tree.of("")) == 1.0 and fp.likeness(fp.Tree.of(""), fp.Tree.of("x")) == 0.0
     back = fp.Tree.parse(str(fp.Tree.of(a)))
     assert str(back) == str(fp.Tree.of(a))
 
 
+def clauses(text):
+    """The clauses of a text, cut by hand: 32 bytes without a mark at most, then the marks, 32 at most."""
+    raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+    marks = b".!?,;:\n"
+    while at < len(raw):
+        end = at
+        while end < len(raw) and end - at < 32 and raw[end] not in marks:
+            end += 1
+        first = end
+        while end < len(raw) and end - first < 32 and raw[end] in marks:
+            end += 1
+        out.append(raw[at:end])
+        at = end
+    return out
+
+
+def test_likeness_against_clauses_in_common():
+    from collections import Counter
+
+    rng = random.Random(7)
+    words = ["ant", "bee", "élan", "dog,", "fox.", "gnu;", "hen\n", "yak\n\n", "猫", "x" * 50, "..."]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 20, 300]))) for _ in range(40)]
+    for a in texts:
+        cut = rng.randrange(len(a) + 1)
+        for b in (rng.choice(texts), a[:cut] + "changed" + a[cut:], a[cut:] + a[:cut]):
+            x, y = Counter(clauses(a)), Counter(clauses(b))
+            expected = 1.0 if a == b else 2 * sum((x & y).values()) / max(1, sum(x.values()) + sum(y.values()))
+            assert fp.likeness(str(fp.Tree.of(a)), fp.Tree.of(b)) == pytest.approx(expected)
+            assert a != b or fp.differing(fp.Tree.of(a), str(fp.Tree.of(b))) == []
+
+
+def test_edits_without_line_breaks_are_located():
+    rng = random.Random(3)
+    text = ", ".join("".join(rng.choices("abcdefghij", k=12)) for _ in range(3000))
+    changed = text[:20000] + "ZZZZ" + text[20000:]
+    where = fp.differing(fp.Tree.of(changed), fp.Tree.of(text))
+    assert where[0][0] <= 20000 and where[-1][1] >= 20004 and where[-1][1] - where[0][0] < 2500
+
+
+@pytest.mark.parametrize("ids", [[5] * 60 + list(range(20)), [None] * 40 + [1, 2], [7, 7, None, None, 3]])
+def test_next_of_equal_and_null_ids(spark, ids):
+    """Each document is followed by the next one by descending id, then by a hash of the text."""
+    texts = [f"text number {k}, " * 9 for k in range(len(ids))]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    tie = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(zip(ids, texts), key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    expected = []
+    for k, (i, t) in enumerate(order):
+        n = len(t) // 3
+        expected.append((i, hashlib.sha256((t[: len(t) - n] + order[(k + 1) % len(order)][1][:n]).encode()).hexdigest()))
+    found = [(r["doc_id"], r["edited_sha256"]) for r in fp.fingerprint_edits(df).collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, expected))
+
+
 @pytest.mark.parametrize("ids", [list(range(40)), [7], [], [3, 3, 3, None, None, 9], [None]])
 def test_next_documents(spark, ids):
     texts = [f"text {k}. " * (k % 7 + 1) if k % 5 else None for k in range(len(ids))]

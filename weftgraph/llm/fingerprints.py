@@ -1,10 +1,11 @@
 """Merkle fingerprints of documents.
 
-A text is cut, without losing a character, into sections (ended by blank lines, or at
-paragraphs chosen by their content), paragraphs (lines) and clauses. A paragraph's
+A text is cut, without losing a character, into sections, paragraphs and clauses. A section ends at a blank line or
+at a paragraph chosen by its content; a paragraph at a line's end or, in long lines, at a clause chosen by its content. A paragraph's
 digest covers its bytes, a section's its paragraphs' digests, and the root its sections'
-digests and the length: equal roots tell equal texts, differing branches where texts differ.
-Short digests of the clauses at the bottom measure how much two texts share.
+digests and the length: equal roots tell equal texts. Where roots differ, the walk goes down the branches that differ: sections
+that both have are skipped, then paragraphs in the others; what is left tells where the texts differ, and short digests of
+its clauses measure how much they share.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import base64
 import hashlib
 import math
 import re
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,100 +24,154 @@ from pyspark.sql import types as T
 
 from weftgraph.llm import _common as C
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Most bytes of a clause; a section without blank lines ends at about every sixteenth paragraph.
-CLAUSE, SECTION = 32, 16
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, changed_start long, changed_end long"
+#: Most bytes of a clause. About every so manyth paragraph ends a section, and every so manyth clause of a line a paragraph.
+CLAUSE, SECTION, PARAGRAPH = 32, 16, 16
 
 _CLAUSES = re.compile(rb"[^.!?,;:\n]{1,%d}[.!?,;:\n]{0,%d}|[.!?,;:\n]{1,%d}" % (CLAUSE, CLAUSE, CLAUSE)).findall
-_LINES = re.compile(rb"[^\n]*\n|[^\n]+").findall
+_CONTINUED = bytes(range(0x80, 0xC0))
 
 
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=8).digest()
 
 
+class Paragraph:
+    """digest, n_chars, clauses as numbers of 24 bits."""
+
+    __slots__ = ("digest", "n_chars", "clauses")
+
+    def __init__(self, digest: bytes, n_chars: int, clauses: np.ndarray):
+        self.digest, self.n_chars, self.clauses = digest, n_chars, clauses
+
+    def __bytes__(self) -> bytes:
+        low = np.ascontiguousarray(self.clauses.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+        return self.digest + self.n_chars.to_bytes(4, "little") + low.tobytes()
+
+    @classmethod
+    def parse(cls, raw: bytes) -> Paragraph:
+        low = np.frombuffer(raw, np.uint8, offset=12).reshape(-1, 3)
+        return cls(raw[:8], int.from_bytes(raw[8:12], "little"), np.pad(low, ((0, 0), (0, 1))).view("<u4").ravel())
+
+
 class Tree:
-    """root (hex), sections: (digest, clauses) with clauses as numbers of 24 bits."""
+    """root (hex) and sections, each a digest and its paragraphs."""
 
-    def __init__(self, root: str, sections: list[tuple[bytes, np.ndarray]]):
+    def __init__(self, root: str, sections: list[tuple[bytes, list[Paragraph]]]):
         self.root, self.sections = root, sections
 
     @classmethod
     def of(cls, text: str) -> Tree:
         from xxhash import xxh32_intdigest
 
-        raw = text.encode("utf-8", "surrogatepass")
-        sections, paragraphs, begin, at = [], [], 0, 0
-
-        def close(end: int) -> None:
-            clauses = _CLAUSES(raw[begin:end])
-            found = np.fromiter(map(xxh32_intdigest, clauses), np.uint32, len(clauses)) & np.uint32(0xFFFFFF)
-            sections.append((_digest(b"".join(paragraphs)), found))
-
-        for line in _LINES(raw):
-            at += len(line)
-            paragraphs.append(_digest(line))
-            if line == b"\n" or paragraphs[-1][0] % SECTION == 0:
-                close(at)
-                paragraphs, begin = [], at
+        raw, plain = text.encode("utf-8", "surrogatepass"), text.isascii()
+        clauses = _CLAUSES(raw)
+        marks = np.fromiter(map(xxh32_intdigest, clauses), np.uint32, len(clauses))
+        ends = np.cumsum(np.fromiter(map(len, clauses), np.int64, len(clauses)))
+        last = np.fromiter((c[-1] == 10 for c in clauses), bool, len(clauses)) | ((marks >> 24) % PARAGRAPH == 0)
+        if len(last):
+            last[-1] = True
+        sections, paragraphs, begin, first = [], [], 0, 0
+        for k in np.flatnonzero(last).tolist():
+            end = int(ends[k])
+            line = raw[begin:end]
+            n = len(line) if plain else len(line.translate(None, _CONTINUED))
+            paragraphs.append(Paragraph(_digest(line), n, marks[first : k + 1] & np.uint32(0xFFFFFF)))
+            if line.endswith(b"\n\n") or paragraphs[-1].digest[0] % SECTION == 0:
+                sections.append(paragraphs)
+                paragraphs = []
+            begin, first = end, k + 1
         if paragraphs:
-            close(at)
+            sections.append(paragraphs)
+        sections = [(_digest(b"".join(p.digest for p in s)), s) for s in sections]
         root = hashlib.blake2b(b"".join(s[0] for s in sections) + len(raw).to_bytes(8, "little"), digest_size=16).hexdigest()
         return cls(root, sections)
 
     def __str__(self) -> str:
-        parts = [f"{d.hex()}.{base64.b64encode(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()).decode()}" for d, c in self.sections]
-        return ":".join([self.root, *parts])
+        return ":".join([self.root, *(",".join([d.hex(), *(base64.b64encode(bytes(p)).decode() for p in s)]) for d, s in self.sections)])
 
     @classmethod
     def parse(cls, text: str) -> Tree:
         root, *parts = text.split(":")
         sections = []
         for part in parts:
-            digest, _, clauses = part.partition(".")
-            low = np.frombuffer(base64.b64decode(clauses), np.uint8).reshape(-1, 3)
-            sections.append((bytes.fromhex(digest), np.pad(low, ((0, 0), (0, 1))).view("<u4").ravel()))
+            digest, *paragraphs = part.split(",")
+            sections.append((bytes.fromhex(digest), [Paragraph.parse(base64.b64decode(p)) for p in paragraphs]))
         return cls(root, sections)
 
 
+def _tree(x: Tree | str) -> Tree:
+    return Tree.parse(x) if isinstance(x, str) else x
+
+
+def _unmatched(a: list, b: list, digest) -> tuple[list[int], list[int]]:
+    """Places in a and in b of branches that the other does not have, counted with repeats."""
+    rest: dict[bytes, int] = {}
+    for x in b:
+        rest[digest(x)] = rest.get(digest(x), 0) + 1
+    mine = []
+    for k, x in enumerate(a):
+        if rest.get(digest(x), 0):
+            rest[digest(x)] -= 1
+        else:
+            mine.append(k)
+    theirs = []
+    for k in reversed(range(len(b))):
+        if rest[digest(b[k])]:
+            rest[digest(b[k])] -= 1
+            theirs.append(k)
+    return mine, theirs[::-1]
+
+
+def _walk(a: Tree, b: Tree) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(section, paragraph) of a and of b that are left when the branches that both have are skipped, sections first."""
+    sections = _unmatched(a.sections, b.sections, lambda s: s[0])
+    left = [[(s, p) for s in at for p in range(len(t.sections[s][1]))] for t, at in zip((a, b), sections)]
+    kept = _unmatched(*left_paragraphs(a, b, left), lambda p: p.digest)
+    return [left[0][k] for k in kept[0]], [left[1][k] for k in kept[1]]
+
+
+def left_paragraphs(a: Tree, b: Tree, left) -> tuple[list[Paragraph], list[Paragraph]]:
+    return tuple([t.sections[s][1][p] for s, p in places] for t, places in zip((a, b), left))
+
+
 def likeness(a: Tree | str, b: Tree | str) -> float:
     """The share of clauses, counted with repeats, that two fingerprints have in common: 1 for equal roots, 0 without a common clause.
 
-    Sections that both have are taken whole; only the clauses of the others are compared.
+    Branches that both have are taken whole; only the clauses of the others are compared.
     """
-    a, b = (Tree.parse(x) if isinstance(x, str) else x for x in (a, b))
+    return _compared(_tree(a), _tree(b))[0]
+
+
+def _compared(a: Tree, b: Tree) -> tuple[float, list[tuple[int, int]]]:
+    """(likeness, places in a that differ)."""
     if a.root == b.root:
-        return 1.0
-    total = sum(len(c) for t in (a, b) for _, c in t.sections)
-    if not total:
-        return 0.0
-    rest: dict[bytes, int] = {}
-    for digest, _ in b.sections:
-        rest[digest] = rest.get(digest, 0) + 1
-    same, mine = 0, []
-    for digest, clauses in a.sections:
-        if rest.get(digest, 0):
-            rest[digest] -= 1
-            same += len(clauses)
-        else:
-            mine.append(clauses)
-    theirs = []
-    for digest, clauses in reversed(b.sections):
-        if rest.get(digest, 0):
-            rest[digest] -= 1
-            theirs.append(clauses)
-    if mine and theirs:
-        values, counts = zip(*(np.unique(np.concatenate(x), return_counts=True) for x in (mine, theirs)))
+        return 1.0, []
+    mine, theirs = _walk(a, b)
+    sizes = [sum(len(p.clauses) for _, s in t.sections for p in s) for t in (a, b)]
+    if not sum(sizes):
+        return 0.0, mine
+    parts = [[p.clauses for p in x] for x in left_paragraphs(a, b, (mine, theirs))]
+    same = sizes[0] - sum(map(len, parts[0]))
+    if all(parts):
+        values, counts = zip(*(np.unique(np.concatenate(x), return_counts=True) for x in parts))
         _, i, j = np.intersect1d(*values, assume_unique=True, return_indices=True)
         same += int(np.minimum(counts[0][i], counts[1][j]).sum())
-    return 2 * same / total
+    return 2 * same / sum(sizes), mine
+
+
+def differing(a: Tree | str, b: Tree | str) -> list[tuple[int, int]]:
+    """Stretches (start, end in characters) of the text of ``a`` whose paragraphs ``b`` does not have, joined where they touch."""
+    a, b = _tree(a), _tree(b)
+    return _stretches(a, _compared(a, b)[1])
 
 
-def differing(a: Tree | str, b: Tree | str) -> list[int]:
-    """Numbers of the sections of ``a`` that ``b`` does not have."""
-    a, b = (Tree.parse(x) if isinstance(x, str) else x for x in (a, b))
-    known = {d for d, _ in b.sections}
-    return [k for k, (d, _) in enumerate(a.sections) if d not in known]
+def _stretches(a: Tree, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    starts = np.concatenate(([0], np.cumsum([p.n_chars for _, s in a.sections for p in s]))).tolist()
+    before = np.concatenate(([0], np.cumsum([len(s) for _, s in a.sections]))).tolist()
+    at = [before[s] + p for s, p in places]
+    runs = [[k for _, k in run] for _, run in groupby(enumerate(at), lambda x: x[1] - x[0])]
+    return [(starts[run[0]], starts[run[-1] + 1]) for run in runs]
 
 
 def edited(text: str, following: str) -> str:
@@ -124,9 +180,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ranges(docs: DataFrame, partitions: int) -> list[int]:
-    found = docs.select("doc_id").dropna().approxQuantile("doc_id", [k / partitions for k in range(1, partitions)], 1 / (4 * partitions)) if partitions > 1 else []
-    return sorted({int(x) for x in found or []})
+#: Ranges of ids in a partition, on average; an id that seems to fill several ranges is cut by a hash of its texts.
+RANGES = 4
+
+
+def _ranges(docs: DataFrame, n: int) -> tuple[list[int], dict[int, int]]:
+    """(bounds of about n equal ranges of doc_id, ids that fill several ranges with how many)."""
+    found = docs.select("doc_id").dropna().approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    times: dict[int, int] = {}
+    for x in found or []:
+        times[int(x)] = times.get(int(x), 0) + 1
+    hot = {x: k + 1 for x, k in times.items() if k > 1}
+    return sorted({*times, *(x + 1 for x in hot)}), hot
 
 
 def _range_of(bounds: list[int]):
@@ -142,23 +207,35 @@ def _range_of(bounds: list[int]):
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (part, borrowed, doc_id, text), dealt by part and sorted so that each document is followed by the next one by descending doc_id.
 
-    A part is a range of ids; the first document of each range is sent to the range above too (borrowed), and
-    that of the highest to the lowest. Among equal ids the order is by a hash of the text; null ids come last.
+    A part is a range of ids, or of hashes of the texts of one id where that fills several ranges; the first document of each
+    part is sent to the part above too (borrowed), and that of the highest to the lowest. Among equal ids, and among null ones, which come
+    last, the order is by a hash of the text. Parts are dealt evenly to the partitions by their number.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.withColumn("part", _range_of(_ranges(docs, 3 * partitions))).withColumn("tie", F.xxhash64("text"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), (-F.col("doc_id")).alias("down"), "tie")
-    heads = rows.groupBy("part").agg(F.min(order).alias("h")).select("part", "h.*").orderBy(F.desc("part")).collect()  # a row for each range
+    tie = F.xxhash64("text")
+    bounds, hot = _ranges(docs, RANGES * partitions)
+    nulls = docs.filter("doc_id is null")
+    if not nulls.isEmpty():
+        hot[None] = RANGES * partitions
+    cut = F.lit(0)  # the first texts of an id, by their hash, have the highest number, as they come first
+    for x, k in hot.items():
+        share = F.floor((tie.cast("double") / 2.0**64 + 0.5) * k)
+        cut = F.when(F.col("doc_id").eqNullSafe(F.lit(x)), k - 1 - F.least(F.greatest(share, F.lit(0)), F.lit(k - 1))).otherwise(cut)
+    most = max([1, *hot.values()])
+    rows = docs.withColumn("part", _range_of(bounds) * F.lit(most).cast("long") + cut)
+    heads = rows.groupBy("part").agg(F.max("doc_id").alias("id")).orderBy(F.desc("part")).collect()  # a row for each part; without texts, unless an id is cut
     if not heads:
         return rows.select("part", F.lit(False).alias("borrowed"), "doc_id", "text")
-    to = [(h["part"], above["part"], h["tie"], None if h["last"] else -h["down"]) for above, h in zip(heads, [*heads[1:], heads[0]])]
-    targets = docs.sparkSession.createDataFrame(to, "of int, above int, of_tie long, of_id long")
-    ids = [t[3] for t in to if t[3] is not None]
+    to = [(h["part"], above["part"], h["id"]) for above, h in zip(heads, [*heads[1:], heads[0]])]
+    targets = docs.sparkSession.createDataFrame(to, "of long, above long, of_id long")
+    ids = [t[2] for t in to if t[2] is not None]
     near = rows.filter(F.col("doc_id").isin(ids) | F.col("doc_id").isNull()) if ids else rows.filter("doc_id is null")
-    lent = near.join(F.broadcast(targets), (F.col("part") == F.col("of")) & (F.col("tie") == F.col("of_tie")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).dropDuplicates(["above"])
-    every = rows.select("part", F.lit(False).alias("borrowed"), "doc_id", "tie", "text").unionByName(lent.select(F.col("above").alias("part"), F.lit(True).alias("borrowed"), "doc_id", "tie", "text"))
-    dealt = every.repartition(partitions, "part").sortWithinPartitions("part", "borrowed", F.desc_nulls_last("doc_id"), "tie")
+    near = near.join(F.broadcast(targets), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+    lent = near.groupBy(F.col("above").alias("part")).agg(F.min_by(F.struct("doc_id", "text"), tie).alias("first")).select("part", "first.*")
+    every = rows.select("part", F.lit(False).alias("borrowed"), "doc_id", "text").unionByName(lent.select("part", F.lit(True).alias("borrowed"), "doc_id", "text"))
+    to_partition = F.pmod(F.col("part"), F.lit(partitions)).cast("int")
+    dealt = every.repartitionById(partitions, to_partition).sortWithinPartitions("part", "borrowed", F.desc_nulls_last("doc_id"), tie)
     return dealt.select("part", "borrowed", "doc_id", "text")
 
 
@@ -174,7 +251,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row for each row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, changed_start, changed_end: a row for each row of docs.
+
+    changed_start and changed_end, in characters of the text, hold all that the fingerprints show to be changed by the edit; null where nothing is.
 
     docs: doc_id, text; other columns are ignored. A null text is an empty one. The next document is that of the next
     lower doc_id (see with_next for equal and null ids); after the last comes the first, so a single document follows itself.
@@ -190,15 +269,18 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 if before is not None and before[0] == part:
                     out.append(_row(before, text, tree))
                 before = None if borrowed else (part, key, text, tree)
-            columns = [[r[i] for r in out] for i in range(7)]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+            columns = [[r[i] for r in out] for i in range(len(kinds))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.name for f in schema])
 
     def _row(of, following: str, next_tree: Tree) -> tuple:
         _, key, text, tree = of
         changed = edited(text, following)
         changed_tree = Tree.of(changed)
-        return key, len(text), hashlib.sha256(changed.encode()).hexdigest(), str(tree), str(changed_tree), likeness(tree, changed_tree), likeness(tree, next_tree)
+        near, places = _compared(tree, changed_tree)
+        where = _stretches(tree, places)
+        span = (where[0][0], where[-1][1]) if where else (None, None)
+        return key, len(text), hashlib.sha256(changed.encode()).hexdigest(), str(tree), str(changed_tree), near, likeness(tree, next_tree), *span
 
     schema = T.StructType.fromDDL(SCHEMA)
     return with_next(C.pick(docs, "doc_id", "text")).mapInArrow(run, schema)
