@@ -49,17 +49,25 @@ def test_encoding_is_the_librarys(spark, library):
     assert byte_bpe.encode(table(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("chars,kept", [(4_000_000, 400_000), (300, 20)])
-def test_round_trip_digests(spark, library, monkeypatch, chars, kept):
-    """Blocks of a few texts, shards that forget their words, and the usual sizes."""
-    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", chars)
-    monkeypatch.setattr(byte_bpe.C, "WORDS_KEPT", kept)
+@pytest.mark.parametrize("chars,shared", [(8_000_000, 200_000), (300, 30), (300, 0)])
+def test_round_trip_digests(spark, library, monkeypatch, chars, shared):
+    """All, some and none of the words replayed once for all parts."""
+    monkeypatch.setattr(byte_bpe.C, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(byte_bpe, "SHARED", shared)
     found = {r["doc_id"]: r for r in byte_bpe.round_trip(table(spark, enumerate(texts(50)))).collect()}
     for k, t in enumerate(texts(50)):
         r, ids = found[k], library.encode_ordinary(t)
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_words_of_several_parts_are_shared(spark, library):
+    docs = spark.createDataFrame([(k, f"zyzzyx the qwvq{k} zyzzyx") for k in range(8)], "doc_id long, text string").repartition(4)
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert {bytes(r["word"]) for r in byte_bpe.word_parts(docs, path).filter("parts > 1").collect()} >= {b"zyzzyx", b" zyzzyx"}
+    shared = byte_bpe.shared_words(docs, path)
+    assert b" the" not in shared and all(np.frombuffer(v, "<u4").tolist() == library.encode_ordinary(k.decode()) for k, v in shared.items())
+
+
 def test_replay_of_untrained_ranks():
     """Ranks under which a merge makes a pair of a lower rank, which no training gives."""
     tokens = [bytes([b]) for b in range(256)] + [b"abc", b"ab", b"aba", b"ba", b"aa", b"aaa", b"cab"]

@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding by merge replay over the corpus.
 
-1. Texts are split into pre-tokens block by block. A block is written as the numbers of its words in their
-   order, and its distinct words go to shards by their hash.
-2. A shard meets the words of all blocks, and replays each distinct one once: the words lie one after the other in one
+1. One aggregation over the pre-tokens of all texts tells in how many parts of the corpus each word stands. Words that are tokens
+   need no merge and take no part.
+2. Words of several parts are replayed once for all of them, in shards: they lie one after the other in one
    array of tokens; an inverted index holds, for each merge, the positions where its pair stands; merges are applied
    in rank order to all their positions at once, and only the pairs with a touched neighbour are indexed anew. As
    words do not depend on each other, shards give what one replay over the whole corpus would.
-3. The ids of its words come back to each block, which puts them in the place of the numbers.
+3. Their ids are joined back to the texts by broadcast, as there are at most SHARED of them, those of the most parts. A word of one part
+   alone, and one beyond that bound, is replayed likewise where its text is encoded.
 """
 
 from __future__ import annotations
@@ -16,19 +17,18 @@ import functools
 import hashlib
 import heapq
 import unicodedata
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm import _common as C
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Characters of a block, and shards at most; with more, the words of a block would be too few for a shard.
-BLOCK_CHARS, SHARDS = 4_000_000, 1024
+#: Words, of so many bytes at most, that are sent to all executors with their ids.
+SHARED, LONGEST = 200_000, 100
 
 
 class MergeReplay:
@@ -183,102 +183,76 @@ def _path(path: str | None) -> str:
     return path
 
 
-PARTS = "block long, shard int, keys array<long>, sizes array<int>, numbers binary, data binary"
-_PARTS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("numbers", pa.binary()), ("data", pa.binary())])
-
-
-def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers in two or four bytes, compressed; the first byte tells which."""
-    width = "<u2" if len(numbers) == 0 or numbers.max() < 1 << 16 else "<u4"
-    raw = numbers.astype(width).tobytes()
-    return width[-1].encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data[9:], int.from_bytes(data[1:9], "little"), "zstd"), f"<u{data[:1].decode()}")
-
-
-def _part(*values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _PARTS)], schema=_PARTS)
-
-
-def split_blocks(docs: DataFrame, path: str, shards: int) -> DataFrame:
-    """Rows of two kinds. With shard -1, a block: the ids of its documents (keys), their numbers of words (sizes) and the words'
-    numbers. With a shard, the block's words of that shard: their numbers, lengths in bytes (sizes) and bytes (data)."""
+def word_parts(docs: DataFrame, path: str) -> DataFrame:
+    """word (binary), parts: in how many parts of the corpus, a task's texts or less, each word stands that is no token. docs: doc_id, text."""
 
     def run(batches):
         C.let_go()
-        split, task = splitter(path), TaskContext.get().partitionId()
-        for k, (keys, texts) in enumerate(C.blocks(batches, "doc_id", "text", BLOCK_CHARS)):
-            table = C.Numbers()
-            numbered = [table.numbers(split(t)) for t in texts]
-            block = task << 32 | k
-            yield _part(block, -1, keys, [len(n) for n in numbered], _packed(np.concatenate(numbered)), None)
-            words = [w.encode() for w in table]
-            shard = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ():
-                mine = [words[i] for i in part.tolist()]
-                yield _part(block, int(shard[part[0]]), None, [len(w) for w in mine], part.astype("<u4").tobytes(), b"".join(mine))
-
-    return docs.mapInArrow(run, PARTS)
-
-
-def _cut(data: bytes, sizes) -> list[bytes]:
-    ends = np.cumsum(sizes).tolist()
-    return [data[a:b] for a, b in zip([0, *ends], ends)]
-
-
-def replay_shards(words: DataFrame, path: str, partitions: int) -> DataFrame:
-    """The rows of words with each word's ids in the place of its bytes; a word is replayed once for all blocks."""
+        split, tokens, met = splitter(path), codec(path).ranks, set()
+
+        def rows():
+            words = [w for w in (w.encode() for w in met) if len(w) <= LONGEST and w not in tokens]
+            met.clear()
+            for at in range(0, len(words), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 10_000], pa.binary())], ["word"])
+
+        for _, texts in C.blocks(batches, "doc_id", "text"):
+            for t in texts:
+                met.update(split(t))
+            if len(met) > C.WORDS_KEPT:
+                yield from rows()
+        yield from rows()
+
+    return docs.mapInArrow(run, "word binary").groupBy("word").agg(F.count("*").alias("parts"))
+
+
+def shared_words(docs: DataFrame, path: str) -> dict[bytes, bytes]:
+    """The ids of the words that stand in most parts of the corpus, two at least, replayed once in shards."""
+    counted = C.checkpointed(word_parts(docs, path).filter("parts > 1"))
+    least, held = 0, 0
+    for r in counted.groupBy("parts").agg(F.count("*").alias("n")).orderBy(F.desc("parts")).toLocalIterator():
+        if (held := held + r["n"]) > SHARED:
+            break
+        least = r["parts"]
+    if not least:
+        return {}
 
     def run(batches):
-        C.let_go()
-        replay, known, held = codec(path), {}, None
+        replay = codec(path)
         for batch in batches:
-            rows = list(zip(*C.rows_of(batch, "block", "shard", "sizes", "numbers", "data")))
-            cut = [_cut(r[4], r[2]) for r in rows]
-            if held != {r[1] for r in rows} or len(known) > C.WORDS_KEPT or sum(map(len, known)) > C.BLOCK_CHARS:
-                known, held = {}, {r[1] for r in rows}
-            fresh = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in known]
-            known.update(zip(fresh, replay.encode(fresh)))
-            for (block, shard, _, numbers, _), mine in zip(rows, cut):
-                ids = [known[w] for w in mine]
-                yield _part(block, shard, None, [len(x) for x in ids], numbers, b"".join(ids))
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(replay.encode(words), pa.binary())], ["word", "ids"])
 
-    return words.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(run, PARTS)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = counted.filter(F.col("parts") >= least).select("word").repartition(partitions, "word")
+    return {bytes(r["word"]): bytes(r["ids"]) for r in shards.mapInArrow(run, "word binary, ids binary").collect()}  # SHARED rows at most
 
 
 def encoded(docs: DataFrame, path: str, result, schema: str) -> DataFrame:
-    """result(doc_ids, ids of each document as bytes), a batch of the schema, of all blocks."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = C.checkpointed(split_blocks(C.pick(docs, "doc_id", "text"), path, min(2 * partitions, SHARDS)))
-    ids = replay_shards(parts.filter("shard >= 0"), path, partitions)
+    """result(doc_ids, ids of each document as bytes), a batch of the schema, of all blocks of documents."""
+    docs = C.pick(docs, "doc_id", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(shared_words(docs, path))
 
     def run(batches):
         C.let_go()
-        at, of_word, body = None, {}, None
-
-        def done():
-            keys, sizes, numbers = body
-            numbers, ends = _unpacked(numbers).tolist(), np.cumsum(sizes).tolist()
-            return result(keys, [b"".join(map(of_word.__getitem__, numbers[a:b])) for a, b in zip([0, *ends], ends)])
-
-        for batch in batches:
-            for block, shard, keys, sizes, numbers, data in zip(*C.rows_of(batch, *_PARTS.names)):
-                if block != at and body:
-                    yield done()
-                    of_word, body = {}, None
-                at = block
-                if shard < 0:
-                    body = keys, sizes, numbers
-                else:
-                    of_word.update(zip(np.frombuffer(numbers, "<u4").tolist(), _cut(data, sizes)))
-        if body:
-            yield done()
+        replay, split, known = codec(path), splitter(path), shared.value
+
+        def solve(words):
+            raw = [w.encode() for w in words]
+            found = list(map(known.get, raw))
+            own = [k for k, x in enumerate(found) if x is None]
+            for k, ids in zip(own, replay.encode([raw[k] for k in own])):
+                found[k] = ids
+            return found
+
+        table = C.WordTable(solve)
+        for keys, texts in C.blocks(batches, "doc_id", "text"):
+            numbered = [table.numbers(split(t)) for t in texts]
+            ids = table.fill().__getitem__
+            yield result(keys, [b"".join(map(ids, n.tolist())) for n in numbered])
+            table.trim()
 
-    whole = parts.filter("shard < 0").unionByName(ids).repartition(partitions, "block").sortWithinPartitions("block", "shard")
-    return whole.mapInArrow(run, T.StructType.fromDDL(schema))
+    return docs.mapInArrow(run, T.StructType.fromDDL(schema))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -286,7 +260,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. A null text is an empty one and has
     no ids; a null doc_id stays null; repeated rows give repeated results; an empty table
-    gives an empty one; the order of rows is not that of docs. path: a file of base64 tokens and ranks.
+    gives an empty one. path: a file of base64 tokens and ranks.
     """
 
     def result(keys, found):
