@@ -1,13 +1,17 @@
+import random
 from collections import Counter
 from itertools import combinations_with_replacement
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import quantile
+from weftgraph.functions.columns import quantiles
+from weftgraph.operators import candidates as cand
+from weftgraph.operators import estimate as est
 from weftgraph.operators import evaluate, generate, mining
 from weftgraph.operators.graph import LabeledGraph
 from weftgraph.plans.pattern import Pattern
+from weftgraph.plans.planner import graphql_order
 from weftgraph.sources import formats
 
 P = Pattern.of(["A", "B", "A", "C", "A"], [(0, 1), (1, 2), (0, 2), (2, 3)])
@@ -83,12 +87,126 @@ def test_hard_to_find(spark):
 
 
 def test_quantiles_and_fence(spark):
-    v = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 10.0],)], "v array<double>")
-    assert tuple(v.select(quantile(F.col("v"), 0.25), quantile(F.col("v"), 0.75)).first()) == (1.5, 7.0)
+    v = spark.createDataFrame([(1, x) for x in (1.0, 2.0, 3.0, 4.0, 10.0, None)] + [(2, 5.0), (3, 1.0), (3, 1.0), (3, 2.0)], "k int, v double")
+    found = {r["k"]: (r["a"], r["b"]) for r in quantiles(v, ["k"], "v", {"a": 0.25, "b": 0.75}).collect()}
+    assert found == {1: (1.5, 7.0), 2: (5.0, 5.0), 3: (1.0, 2.0)}
     rows = generate.outliers(spark.createDataFrame([(i, float(x)) for i, x in enumerate([1, 2, 3, 4, 10])], "lane long, estimate double")).collect()
     assert {r["fence"] for r in rows} == {23.5} and [r["status"] for r in rows if r["estimate"] == 10] == ["possibly hard"]
 
 
+def test_counts_of_roots_against_pairs(spark):
+    rng = random.Random(4)
+    edges = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(110)}
+    g = graph(spark, [(i, "ABC"[i % 3]) for i in range(30)], list(edges)).cached()
+    near = {v: {a for e in edges for a in e if v in e and a != v} for v in range(30)}
+    ones, twos = [0, 1, 2, 3, 9], [2, 3, 4, 5, 6, 9]
+    merged, linked = Counter(), Counter()
+    for a in ones:
+        for b in twos:
+            if a != b:
+                merged.update("ABC"[x % 3] for x in near[a] & near[b])
+            linked.update(("ABC"[x % 3], "ABC"[y % 3]) for x in near[a] if x % 3 < 2 for y in near[b] if y % 3 > 0 and x != b and y != a and y in near[x])
+    first, second = (spark.createDataFrame([(x,) for x in r], "id long") for r in (ones, twos))
+    assert {r["label"]: r["n"] for r in mining.merge_counts(g, first, second).collect()} == merged
+    assert {(r["label_1"], r["label_2"]): r["n"] for r in mining.edge_counts(g, first, second, ["A", "B"], ["B", "C"]).collect()} == linked
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_levels_grown_by_joins_are_the_same(spark, monkeypatch, few):
+    monkeypatch.setattr(mining, "FEW", few)
+    g = graph(spark, [(i, "ABCD"[i * i % 4]) for i in range(24)], [(i, (i + d) % 24) for i in range(24) for d in (1, 3, 7)]).cached()
+    found = {tuple(r["items"]): r["support"] for r in mining.frequent_profiles(g, 5).collect()}
+    profiles = [Counter(r["items"]) for r in g.profile_arrays().collect()]
+    expected = {}
+    for k in range(1, 8):
+        for items in combinations_with_replacement("ABCD", k):
+            n = sum(all(p[x] >= c for x, c in Counter(items).items()) for p in profiles)
+            if n > 5:
+                expected[items] = n
+    assert found == expected
+
+
+def test_combined_stars(spark):
+    """Hubs H with leaves A and B, hubs K with leaves B and C, whose leaves are shared or linked."""
+    vertices, edges = [], []
+    for k in range(6):
+        at = 10 * k
+        vertices += [(at, "H"), (at + 1, "A"), (at + 2, "B"), (at + 3, "K"), (at + 4, "C")]
+        edges += [(at, at + 1), (at, at + 2), (at + 3, at + 2), (at + 3, at + 4), (at + 1, at + 4)]
+    g = graph(spark, vertices, edges).cached()
+    itemsets = spark.createDataFrame([(["A", "B"], 6), (["B", "C"], 5)], "items array<string>, support long")
+    merged = mining.combine_stars(g, itemsets, 2, 2, "merge", 5)
+    assert merged.status == mining.COMBINED and sorted(merged.pattern.labels.values()) == ["A", "B", "C", "H", "K"] and len(merged.pattern.edges) == 4
+    linked = mining.combine_stars(g, itemsets, 2, 2, "edge", 6)
+    assert linked.status == mining.COMBINED and len(linked.pattern.labels) == 6 and len(linked.pattern.edges) == 5
+    assert mining.combine_stars(g, itemsets, 2, 2, "edge", 7).status == mining.NOT_CONNECTED
+    assert mining.combine_stars(g, itemsets.limit(1), 2, 2, "edge", 1).status == mining.ONE_STAR
+    assert mining.combine_stars(g, itemsets, 2, 3, "edge", 1).status == mining.NO_STAR
+    assert mining.combine_stars(g, itemsets.limit(1), 2, 2, "none").pattern == mining.star("H", ["A", "B"])
+
+
+def test_walks_of_many_patterns_are_those_of_each(spark):
+    g = graph(spark, [(i, "AB"[i % 3 > 0]) for i in range(30)], [(i, (i + d) % 30) for i in range(30) for d in (1, 2, 5)]).cached()
+    found = {3: Pattern.of(["A", "B", "B"], [(0, 1), (1, 2)]), 8: Pattern.of(["A", "B", "B"], [(0, 1), (1, 2), (0, 2)]), 9: Pattern.of(["B", "A"], [(0, 1)]), 11: Pattern.of(["A", "A", "A", "A"], [(0, 1), (1, 2), (2, 3)]), 12: Pattern.of(["B"], []), 13: Pattern.of(["Z"], [])}
+    means = {r["lane"]: r["mean"] for r in generate.estimates(g, found, walks=40).collect()}
+    for lane, p in found.items():
+        pairs = cand.materialised(cand.label_degree_profile(g, p))
+        order = graphql_order(p, cand.sizes(pairs, p))[0]
+        assert means[lane] == pytest.approx(est.summary(est.walks(g, p, pairs, order, 0, 40)).first()["mean"])
+
+
+def test_walks_go_on_until_they_are_full(spark):
+    """On a path, ten different vertices take more than a hundred steps now and then; a component of three never has them."""
+    path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)]
+    g = graph(spark, [(i, "A") for i in [*range(41), 100, 101, 102]], path).cached()
+    starts = {r["lane"]: r["id"] for r in generate.first_vertices(g, 12).collect()}
+    walked, edges = generate.random_walks(g, 12, 10)
+    counts = Counter(r["lane"] for r in walked.collect())
+    assert counts == {lane: 10 for lane, v in starts.items() if v <= 40}
+    assert edges.join(g.edges, ["src", "dst"], "left_anti").isEmpty()
+    assert generate.random_walks(g, 12, 10, most_steps=9)[0].groupBy("lane").count().count() <= len(counts)
+
+
+def test_hard_patterns_by_cell(spark):
+    g = graph(spark, [(i, "A") for i in range(12)], [(i, j) for i in range(12) for j in range(i) if (i + j) % 3]).cached()
+    cells = {"path": dict(degree=(1.3, 1.4), diameter=(2, 2)), "triangle": dict(degree=(2, 2), diameter=(1, 1)), "none": dict(degree=(2, 2), diameter=(2, 2))}
+    found = generate.hard_grid(g, 3, 4, cells, walks=50)
+    assert found["none"] == [] and all(len(p.edges) == 3 for p, *_ in found["triangle"])
+    for name in ("path", "triangle"):
+        single = generate.hard_to_find(g, 3, 4, walks=50, **cells[name])
+        assert [(p, pytest.approx(v), n, status) for p, v, n, status in single] == found[name]
+    rows = formats.hard_graph_rows(spark, found["none"], 3, 2, 2).unionByName(formats.hard_graph_rows(spark, found["path"], 3, 1, 2, first=4))
+    assert rows.filter("status = 'none'").first()["idx"] is None and formats.next_index(rows, 3, 1, 2) == 4 + len(found["path"]) and formats.next_index(rows, 3, 2, 2) == 0
+    grid = {(r["de"], r["di"]): (r["n_graphs"], r["mean_matchings"]) for r in evaluate.heat_map(rows, rows.select("size"), 2, 2).collect()}
+    assert grid[(2, 2)] == (None, None) and grid[(1, 1)] == (-1, -1.0)
+
+
+def test_statistics_files(spark, tmp_path):
+    (tmp_path / "size_5_de_2_di_3_stats_7.txt").write_text(formats.hard_stats_text("hard", 12.5, None))
+    (tmp_path / "size_5_de_2_di_3_stats_8.txt").write_text(formats.hard_stats_text("possibly hard", 1e3, 2, induced=False))
+    (tmp_path / "size_5_de_4_di_1_stats.txt").write_text(formats.hard_stats_text("none"))
+    (tmp_path / "size_5_graph1.txt").write_text("1\n0 A\n0\n")
+    folder = tmp_path / "15" / "de3_di2" / "GenerationInfo"
+    folder.mkdir(parents=True)
+    both = formats.hard_stats_text("hard", 4.0, 1) + "\nEstimated Number Induce Matchings: 6.0\nNumber of Isomorphic Graphs Found: null\n"
+    (folder / "graph1.txt").write_text(both)
+    found = sorted(map(repr, map(tuple, formats.read_hard_stats(spark, str(tmp_path)).collect())))
+    assert found == sorted(map(repr, [(5, 2, 3, 7, "hard", 12.5, 0), (5, 2, 3, 8, "possibly hard", 1000.0, 2), (5, 4, 1, None, "none", None, None), (15, 3, 2, None, "hard", 4.0, 1), (15, 3, 2, None, "hard", 6.0, 0)]))
+
+
+def test_large_files_are_read_in_splits(spark, tmp_path):
+    rng = random.Random(1)
+    p = Pattern.of({i: rng.choice(["A", "B,C", "7"]) for i in range(300)}, [rng.sample(range(300), 2) for _ in range(900)])
+    g = LabeledGraph.from_pattern(spark, p)
+    formats.write_proteins(g, str(tmp_path / "p"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        back = formats.read_graph(spark, str(tmp_path / "p"), "proteins")
+        assert {r["id"]: r["label"] for r in back.vertices.collect()} == p.labels and {tuple(r) for r in back.edges.collect()} == p.edges
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_reports(spark):
     a = spark.createDataFrame([("q", "x"), ("q", "y"), ("q", "y")], "query string, mapping string")
     b = spark.createDataFrame([("q", "y"), ("q", "z")], "query string, mapping string")

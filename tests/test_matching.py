@@ -106,6 +106,43 @@ def test_search_profile_counts_calls(spark):
     assert [r[5] for r in rows] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("induced", [False, True])
+def test_dynamic_order_against_depth_first_search(spark, induced):
+    """Matches and counts of a search that picks, at each partial match, the vertex with the fewest candidates next to its mapped neighbours."""
+    rng = random.Random(6)
+    target = _random(rng, 9, "AB", 0.45)
+    for pattern in (Pattern.of(["A", "B", "A", "B"], [(0, 1), (1, 2), (2, 3), (0, 2)]), Pattern.of(["A", "B", "B"], [(0, 1)])):
+        g = LabeledGraph.from_pattern(spark, target).cached()
+        pairs = cand.label_degree(g, pattern)
+        own = {u: {r["v"] for r in pairs.filter(f"u = {u}").collect()} for u in pattern.vertices}
+        found, levels = set(), {}
+
+        def search(m):
+            if len(m) == len(pattern.vertices):
+                found.add(tuple(m[u] for u in pattern.vertices))
+                return
+            left = {u: {x for x in own[u] if all(target.adjacent(x, m[w]) for w in pattern.neighbours(u) if w in m)} for u in pattern.vertices if u not in m}
+            u = min(left, key=lambda u: (len(left[u]), -pattern.degree(u), u))
+            row = levels.setdefault((len(m), u), [0, 0, 0, 0])
+            row[0] += 1
+            row[1] += len(left[u])
+            row[2] += not left[u]
+            for x in left[u]:
+                if induced and any(target.adjacent(x, m[w]) for w in m if not pattern.adjacent(u, w)):
+                    continue
+                if x in m.values():
+                    row[3] += 1
+                else:
+                    search({**m, u: x})
+
+        search({})
+        matches, counts = matcher.dynamic_levels(g, pattern, pairs, induced)
+        assert {tuple(r) for r in matches.collect()} == found == brute(target, pattern, induced)
+        assert {(r["level"], r["vertex"]): [r["n_partial"], r["n_candidates"], r["n_stuck"], r["n_conflicts"]] for r in counts.collect()} == levels
+        plan = matcher.plan(g, pattern, matcher.Config("groundTruth", "dynamic", "groundTruth"))
+        assert {tuple(r) for r in plan.matches(induced).collect()} == found
+
+
 def test_report_is_ordered(spark):
     g = LabeledGraph.from_pattern(spark, K3)
     rows = matcher.report(matcher.embeddings(g, K3, cand.label_degree(g, K3), [0, 1, 2], True), K3).orderBy("idx").collect()

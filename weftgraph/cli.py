@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import itertools
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from weftgraph.operators import candidates as cand
 from weftgraph.operators import estimate as est
 from weftgraph.operators import evaluate, generate, matcher, mining
 from weftgraph.operators.graph import LabeledGraph
-from weftgraph.plans.planner import ORDERS, processing_order
+from weftgraph.plans.planner import DYNAMIC, ORDERS, processing_order
 from weftgraph.sources import formats
 
 
@@ -61,15 +62,18 @@ def test_estimations(spark, a):
 def frequent_datasets(spark, a):
     graph = formats.read_graph(spark, a.target, a.target_format).cached()
     found = cand.materialised(mining.frequent_profiles(graph, a.support, a.longest))
+    found = cand.materialised(found.join(mining.supporter_ids(graph, found), "items"))
     formats.write_itemsets(found, a.out)
     formats.itemset_lines(found).write.text(f"{a.out}-text")
 
 
 def fdm_query(spark, a):
     graph = formats.read_graph(spark, a.target, a.target_format).cached()
-    pattern = mining.combine_stars(graph, formats.read_itemsets(spark, a.itemsets), mining.minimum_support(a.support, graph.vertices.count()), a.size, a.connection, a.threshold)
+    made = mining.combine_stars(graph, formats.read_itemsets(spark, a.itemsets), mining.minimum_support(a.support, graph.vertices.count()), a.size, a.connection, a.threshold)
+    spark.createDataFrame([(made.status, len(made.stars))], "status string, n_stars int").write.json(f"{a.out}-status")
+    pattern = made.pattern
     if pattern is None:
-        raise SystemExit("no frequent profile of that size")
+        return
     made = LabeledGraph.from_pattern(spark, pattern)
     formats.write_proteins(made, f"{a.out}-pattern")
     plan = matcher.plan(graph, pattern, _config(a))
@@ -80,7 +84,7 @@ def fdm_query(spark, a):
 def _samples(spark, a, size, degree, diameter):
     graph = formats.read_graph(spark, a.target, a.target_format).cached()
     if a.method == "walk":
-        samples, _ = generate.random_walks(graph, a.lanes, size, a.seed)
+        samples, _ = generate.random_walks(graph, a.lanes, size, a.seed, a.most_steps)
     else:
         samples = generate.random_neighbours(graph, a.lanes, size, a.seed)
     return graph, generate.with_properties(graph, samples, generate.completed(graph, samples), degree, diameter, a.density, a.labels, a.seed)
@@ -104,21 +108,42 @@ def random_graph_with_prop(spark, a):
             formats.write_proteins(LabeledGraph.from_pattern(spark, p), f"{a.out}/size_{size}_graph{lane}")
 
 
+def _write_hard(spark, a, size, de, di, found):
+    """Rows and files of one cell; patterns are numbered on from those that the folder has."""
+    stats = f"{a.out}/stats"
+    try:
+        first = formats.next_index(spark.read.parquet(stats), size, de, di)
+    except AnalysisException:  # no earlier run
+        first = 0
+    formats.hard_graph_rows(spark, found, size, de, di, first).write.mode("append").parquet(stats)
+    for i, (p, *_) in enumerate(found, first):
+        formats.write_proteins(LabeledGraph.from_pattern(spark, p), f"{a.out}/size_{size}_de_{de}_di_{di}_graph_{i}")
+
+
 def construct_hard_to_find(spark, a):
     graph = formats.read_graph(spark, a.target, a.target_format).cached()
-    for size, de, di in itertools.product(a.sizes, range(1, a.most_degree + 1), range(1, a.most_diameter + 1)):
-        found = generate.hard_to_find(graph, size, a.lanes, (de, de + 1), (di, di), a.density, a.labels, a.factor, a.walks, a.seed, a.induced, a.method)
-        formats.hard_graph_rows(spark, found, size, de, di).write.mode("append").parquet(f"{a.out}/stats")
-        for i, (p, *_) in enumerate(found):
-            formats.write_proteins(LabeledGraph.from_pattern(spark, p), f"{a.out}/size_{size}_de_{de}_di_{di}_{i}")
+    for size in a.sizes:
+        grid = itertools.product(range(1, a.most_degree + 1), range(1, a.most_diameter + 1))
+        cells = {(de, di): dict(degree=(de, de + 1), diameter=(di, di), density=a.density, labels=a.labels) for de, di in grid}
+        for (de, di), found in generate.hard_grid(graph, size, a.lanes, cells, a.factor, a.walks, a.seed, a.induced, a.method).items():
+            _write_hard(spark, a, size, de, di, found)
 
 
 def prop_random_walk_estimation(spark, a):
     """One cell of the grid of hard patterns: samples of --size with a degree from --degree and a diameter from --diameter."""
     graph = formats.read_graph(spark, a.target, a.target_format).cached()
     found = generate.hard_to_find(graph, a.size, a.lanes, a.degree, a.diameter, a.density, a.labels, a.factor, a.walks, a.seed, a.induced, a.method)
-    low = lambda pair: int(pair[0]) if pair else 0
-    formats.hard_graph_rows(spark, found, a.size, low(a.degree), low(a.diameter)).write.parquet(a.out)
+    low = lambda pair: round(pair[0]) if pair else 0
+    _write_hard(spark, a, a.size, low(a.degree), low(a.diameter), found)
+
+
+def heat_map(spark, a):
+    """The grid over the statistics files of a folder, and its ends."""
+    hard = cand.materialised(formats.read_hard_stats(spark, a.stats))
+    sizes = spark.createDataFrame([(n,) for n in a.sizes], "size int")
+    grid = cand.materialised(evaluate.heat_map(hard, sizes, a.most_degree, a.most_diameter))
+    grid.write.parquet(a.out)
+    evaluate.heat_map_ends(grid).write.json(f"{a.out}-ends")
 
 
 def prob_graph_with_props(spark, a):
@@ -167,6 +192,7 @@ VERBS = {
     "RandomGraphWithProp": (random_graph_with_prop, ["target"]),
     "ConstructHardToFindGraphs": (construct_hard_to_find, ["target"]),
     "PropRandomWalkEstimation": (prop_random_walk_estimation, ["target"]),
+    "HeatMap": (heat_map, ["stats"]),
     "ProbGraphWithProps": (prob_graph_with_props, ["target"]),
     "TestIsomorphism": (test_isomorphism, ["reports", "target"]),
     "Average": (average, ["reports"]),
@@ -187,7 +213,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--target-format", default="proteins")
         p.add_argument("--query-format", default="proteins")
         p.add_argument("--candidates", default="graphQL", choices=cand.METHODS)
-        p.add_argument("--order", default="graphQL", choices=ORDERS)
+        p.add_argument("--order", default="graphQL", choices=(*ORDERS, DYNAMIC))
         p.add_argument("--enumeration", default="quickSI", choices=matcher.ENUMERATIONS)
         p.add_argument("--mode", default=SUBSETS, choices=(COMPLETE, SUBSETS))
         p.add_argument("--induced", default=True, action=argparse.BooleanOptionalAction)
@@ -197,6 +223,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--z", type=float, default=1.96)
         p.add_argument("--seed", type=int, default=7)
         p.add_argument("--lanes", type=int, default=100)
+        p.add_argument("--most-steps", type=int, default=100_000)
         p.add_argument("--size", type=int, default=5)
         p.add_argument("--to", type=int, default=25)
         p.add_argument("--sizes", type=int, nargs="+", default=[5, 15, 25])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 COMPLETE, SUBSETS = "COMPLETE", "SUBSETS"
@@ -37,25 +38,42 @@ def pick(n: Column, *parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
 
 
-def quantile(sorted_values: Column, p: float) -> Column:
-    """The quantile at position p(n+1) of a sorted array, clamped to its ends."""
-    n = F.size(sorted_values)
-    position = p * (n + 1)
-    low = F.floor(position).cast("int")
-    below = F.element_at(sorted_values, F.greatest(low, F.lit(1)))
-    above = F.element_at(sorted_values, F.least(low + 1, n))
-    inside = below + (position - low) * (above - below)
-    return F.when(n == 0, None).when(position < 1, F.element_at(sorted_values, 1)).when(position >= n, F.element_at(sorted_values, -1)).otherwise(inside)
+def quantiles(rows: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, by name, the quantiles at positions p(n+1) of the sorted values of each group, clamped to its ends.
+
+    Equal values are counted first, so a group's window goes over its distinct values; nulls do not count.
+    """
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto = counts.withColumn("_upto", F.sum("_k").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_k").over(group))
+
+    def quantile(p: float) -> Column:
+        position = p * (F.col("_n") + 1)
+        low = F.floor(position)
+        at = lambda k: F.min(F.when(F.col("_upto") >= F.least(F.greatest(k, F.lit(1)), F.col("_n")), F.col("_v")))
+        below, above = at(low), at(low + 1)
+        return F.when(F.first(position) < 1, below).otherwise(below + F.first(position - low) * (above - below))
+
+    return upto.groupBy(*keys).agg(*[quantile(p).alias(name) for name, p in shares.items()])
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+    """df, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one if Spark runs in this process alone, and an error on a cluster."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftgraph-"))
+    return context.getCheckpointDir()
+
+
 def numbered(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     """df with each row's place, from 0, in the given order. Rows are sorted in ranges and numbered within them; only the ranges' sizes meet in one task."""
     placed = materialised(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))

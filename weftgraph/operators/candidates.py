@@ -62,16 +62,17 @@ def _matchable(masks: list[int]) -> int:
     return sum(place(i, set()) for i in range(len(masks)))
 
 
-def _hall(graph: LabeledGraph, pairs: DataFrame, near: dict[int, list[int]]) -> DataFrame:
-    """The pairs (u, v) for which the given neighbours of u can be matched to different neighbours of v through the pairs."""
+def _hall(graph: LabeledGraph, pairs: DataFrame, near: dict[int, list[int]], asked: DataFrame | None = None) -> DataFrame:
+    """The pairs (u, v), or those of them that are asked for, for which the given neighbours of u can be matched to different neighbours of v through the pairs."""
     spark = pairs.sparkSession
+    asked = pairs if asked is None else asked
     free = [u for u in near if not near[u]]
     bits = [(u, w, 1 << i) for u in near for i, w in enumerate(near[u])]
-    kept = pairs.filter(~F.col("u").isin([u for u in near if near[u]])) if free or len(near) else pairs
+    kept = asked.filter(~F.col("u").isin([u for u in near if near[u]])) if free or len(near) else asked
     if not bits:
-        return pairs
+        return asked
     table = F.broadcast(spark.createDataFrame(bits, "u int, w int, bit long"))  # the pattern's edges
-    seen = pairs.join(table, "u").join(graph.adj, F.col("v") == F.col("src")).select("u", "v", "w", "bit", F.col("dst").alias("x"))
+    seen = asked.join(table, "u").join(graph.adj, F.col("v") == F.col("src")).select("u", "v", "w", "bit", F.col("dst").alias("x"))
     seen = seen.join(pairs.select(F.col("u").alias("w"), F.col("v").alias("x")), ["w", "x"]).groupBy("u", "v", "x").agg(F.bit_or("bit").alias("mask"))
     shapes = seen.groupBy("u", "v", "mask").agg(F.count("*").alias("n"))
     few = {u: ws for u, ws in near.items() if ws and len(ws) <= SUBSETS_UP_TO}
@@ -95,16 +96,22 @@ def _hall(graph: LabeledGraph, pairs: DataFrame, near: dict[int, list[int]]) ->
 
 
 def prune_globally(graph: LabeledGraph, pattern: Pattern, pairs: DataFrame) -> DataFrame:
-    """Drops pairs whose neighbours cannot be matched through pairs, until nothing changes. The greatest fixpoint is unique."""
+    """Drops pairs whose neighbours cannot be matched through pairs, until nothing changes. The greatest fixpoint is unique.
+
+    After the first round only pairs next to a dropped one are looked at again.
+    """
     near = {u: pattern.neighbours(u) for u in pattern.vertices}
-    pairs = materialised(pairs)
-    n = pairs.count()
-    while True:
-        pairs = materialised(_hall(graph, pairs, near))
-        left = pairs.count()
-        if left == n:
-            return pairs
-        n = left
+    pairs = asked = materialised(pairs)
+    links = [(u, w) for u in near for w in near[u]]
+    while links:
+        gone = materialised(asked.join(_hall(graph, pairs, near, asked), ["u", "v"], "left_anti"))
+        if gone.isEmpty():
+            break
+        pairs = materialised(pairs.join(gone, ["u", "v"], "left_anti"))
+        table = F.broadcast(pairs.sparkSession.createDataFrame(links, "u int, w int"))  # the pattern's edges
+        beside = gone.join(table, "u").join(graph.adj, F.col("v") == F.col("src")).select(F.col("w").alias("u"), F.col("dst").alias("v"))
+        asked = pairs.join(beside, ["u", "v"], "left_semi")
+    return pairs
 
 
 def candidates(graph: LabeledGraph, pattern: Pattern, method: str = "graphQL", mode: str = COMPLETE, globally: bool = True) -> DataFrame:

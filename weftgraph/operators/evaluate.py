@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import matcher
@@ -38,7 +38,7 @@ def compare_algorithms(runs: DataFrame) -> DataFrame:
 
 
 #: Enumerations and orders that a comparison goes through.
-VARIANTS = (("quickSI", "graphQL"), ("DAF", "graphQL"), ("VEQs", "graphQL"), ("groundTruth", "graphQL"), ("quickSI", "quickSI"), ("quickSI", "groundTruth"))
+VARIANTS = (("quickSI", "graphQL"), ("DAF", "graphQL"), ("VEQs", "graphQL"), ("groundTruth", "graphQL"), ("quickSI", "quickSI"), ("quickSI", "groundTruth"), ("groundTruth", "dynamic"))
 
 
 def run_comparison(graph: LabeledGraph, patterns: list[Pattern], induced: bool = True, variants=VARIANTS) -> DataFrame:
@@ -79,8 +79,8 @@ def series(comparison: DataFrame) -> DataFrame:
 def heat_map(hard: DataFrame, sizes: DataFrame, most_degree: int = 6, most_diameter: int = 10) -> DataFrame:
     """size, de, di, n_graphs, mean_matchings over the whole grid.
 
-    hard: size, de, di, status, estimate, n_isomorphic. n_graphs counts each hard graph and those of its shape; the mean weighs alike;
-    cells with graphs that are not hard only have null, cells without any have -1.
+    hard: size, de, di, status (also 'none', for cells that were tried in vain), estimate, n_isomorphic. n_graphs counts each hard graph and those of its shape; the mean weighs alike;
+    cells without hard ones have null, cells that were not tried have -1.
     """
     weight = F.col("n_isomorphic") + 1
     is_hard = F.col("status") == "hard"
@@ -106,7 +106,3 @@ def probability_grid(lines: DataFrame) -> DataFrame:
 
 def probability_table(grid: DataFrame) -> DataFrame:
     return grid.groupBy("size").pivot("degree").agg(F.first("p")).orderBy("size")
-
-
-def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)

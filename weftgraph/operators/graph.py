@@ -51,6 +51,10 @@ class LabeledGraph:
         """id, label, cnt: the multiset of a vertex's own and its neighbours' labels."""
         return self.neighbour_labels().groupBy("id", "label").agg(F.count("*").alias("cnt"))
 
+    def profile_maps(self) -> DataFrame:
+        """id, profile: the same as a map of labels to numbers, a row for each vertex."""
+        return self.profile().groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "cnt"))).alias("profile"))
+
     def profile_arrays(self) -> DataFrame:
         """id, items: the same as a sorted array."""
         return self.neighbour_labels().groupBy("id").agg(F.sort_array(F.collect_list("label")).alias("items"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,32 +29,72 @@ def prune(grown: DataFrame, level: DataFrame) -> DataFrame:
     return grown.join(bad, "items", "left_anti")
 
 
-def _supported(profile: DataFrame, itemsets: DataFrame) -> DataFrame:
-    """items, support of each itemset: the number of profiles (id, label, cnt) that hold it as a multiset."""
-    needs = itemsets.select("items", F.explode("items").alias("label")).groupBy("items", "label").agg(F.count("*").alias("need"))
-    width = needs.groupBy("items").agg(F.count("*").alias("width"))
-    met = needs.join(profile, "label").filter("cnt >= need").groupBy("items", "id").agg(F.count("*").alias("met"))
-    return met.join(width, "items").filter("met = width").select("items", "id")
+#: Levels of so many itemsets at most are grown on the driver, larger ones by joins; the result is the same.
+FEW = 20_000
+
+
+def _grown(level: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """As generate and prune, for sorted tuples."""
+    known, heads = set(level), {}
+    for items in level:
+        heads.setdefault(items[:-1], []).append(items[-1])
+    out = [(*head, a, b) for head, lasts in heads.items() for a in lasts for b in lasts if a <= b]
+    return [x for x in out if all(x[:i] + x[i + 1 :] in known for i in range(len(x)))]
+
+
+def _needs(itemsets: DataFrame) -> DataFrame:
+    """items, label (the first), needs (label to number) of each itemset."""
+    labels = F.array_distinct("items")
+    counts = F.transform(labels, lambda x: F.size(F.filter("items", lambda y: x == y)).cast("long"))
+    return itemsets.select("items", F.element_at("items", 1).alias("label"), F.map_from_arrays(labels, counts).alias("needs"))
+
+
+def _holding(profiles: DataFrame, itemsets: DataFrame) -> DataFrame:
+    """items and the columns of profiles (profile: label to number) for each itemset that a profile holds as a multiset.
+
+    A profile meets the itemsets that begin with one of its labels; as many itemsets as FEW are sent to all executors.
+    """
+    needs = _needs(itemsets)
+    needs = F.broadcast(needs) if itemsets.count() <= FEW else needs
+    met = profiles.select("*", F.explode(F.map_keys("profile")).alias("label")).join(needs, "label")
+    return met.filter(F.forall(F.map_entries("needs"), lambda x: F.coalesce(F.col("profile")[x["key"]], F.lit(0)) >= x["value"])).drop("label", "needs")
 
 
 def frequent_profiles(graph: LabeledGraph, min_support: float, longest: int | None = None) -> DataFrame:
-    """items, support: multisets of labels in more than min_support profiles (a share of the vertices if at most 1), level by level."""
+    """items, support: multisets of labels in more than min_support profiles (a share of the vertices if at most 1), level by level.
+
+    Equal profiles are counted once, with their number.
+    """
     if min_support <= 1:
         min_support = min_support * graph.vertices.count()
-    profile = materialised(graph.profile())
-    level = profile.select(F.array("label").alias("items"), "id").groupBy("items").agg(F.count("*").alias("support")).filter(F.col("support") > min_support)
-    level = materialised(level)
+    spark = graph.vertices.sparkSession
+    profiles = graph.profile_maps().select(F.sort_array(F.map_entries("profile")).alias("entries")).groupBy("entries").agg(F.count("*").alias("many"))
+    profiles = materialised(profiles.select(F.map_from_entries("entries").alias("profile"), "many"))
+    enough = F.col("support") > min_support
+    level = profiles.select(F.explode(F.map_keys("profile")).alias("label"), "many").groupBy("label").agg(F.sum("many").alias("support")).filter(enough)
+    level = materialised(level.select(F.array("label").alias("items"), "support"))
     found, k = level, 1
-    while not level.isEmpty() and (longest is None or k < longest):
-        grown = materialised(prune(generate(level), level))
-        level = materialised(_supported(profile, grown).groupBy("items").agg(F.count("*").alias("support")).filter(F.col("support") > min_support))
+    while (n := level.count()) and (longest is None or k < longest):
+        if n <= FEW:
+            grown = _grown(sorted(tuple(r["items"]) for r in level.collect()))
+            if not grown:
+                break
+            grown = spark.createDataFrame([(list(x),) for x in grown], "items array<string>")
+        else:
+            grown = materialised(prune(generate(level), level))
+        level = materialised(_holding(profiles, grown).groupBy("items").agg(F.sum("many").alias("support")).filter(enough))
         found, k = found.unionByName(level), k + 1
     return found
 
 
 def supporters(graph: LabeledGraph, itemsets: DataFrame) -> DataFrame:
     """items, id: the vertices whose profile holds the itemset."""
-    return _supported(graph.profile(), itemsets.select("items"))
+    return _holding(graph.profile_maps(), itemsets.select("items")).select("items", "id")
+
+
+def supporter_ids(graph: LabeledGraph, itemsets: DataFrame) -> DataFrame:
+    """items, ids: the sorted ids of the vertices whose profile holds the itemset, for reports of bounded size."""
+    return supporters(graph, itemsets).groupBy("items").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
 def star_roots(graph: LabeledGraph, itemsets: DataFrame, min_support: float) -> DataFrame:
@@ -71,23 +112,33 @@ def star(root: str, items: list[str]) -> Pattern:
     return Pattern.of([root, *leaves], [(0, i) for i in range(1, len(leaves) + 1)])
 
 
+def _roots_around(graph: LabeledGraph, roots_1: DataFrame, roots_2: DataFrame) -> DataFrame:
+    """x, n_1, n_2, n_both, first, second: how many roots of each set, and of both, are next to a vertex, and whether it is one of them itself. For all vertices next to a root, and roots."""
+    one, two = (r.select("id").distinct().withColumn(c, F.lit(1)) for r, c in ((roots_1, "a"), (roots_2, "b")))
+    roots = one.join(two, "id", "full").select("id", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    near = graph.adj.join(roots, F.col("src") == F.col("id")).select(F.col("dst").alias("x"), "a", "b", F.lit(0).alias("own_a"), F.lit(0).alias("own_b"))
+    own = roots.select(F.col("id").alias("x"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.col("a").alias("own_a"), F.col("b").alias("own_b"))
+    total = lambda c: F.sum(c).cast("long")
+    return near.unionByName(own).groupBy("x").agg(total("a").alias("n_1"), total("b").alias("n_2"), total(F.col("a") * F.col("b")).alias("n_both"), F.max("own_a").alias("first"), F.max("own_b").alias("second"))
+
+
 def merge_counts(graph: LabeledGraph, roots_1: DataFrame, roots_2: DataFrame) -> DataFrame:
-    """label, n: common neighbours, by label, of pairs of different roots (columns id)."""
-    a = roots_1.select(F.col("id").alias("r1")).join(graph.adj, F.col("r1") == F.col("src")).select("r1", F.col("dst").alias("x"))
-    b = roots_2.select(F.col("id").alias("r2")).join(graph.adj, F.col("r2") == F.col("src")).select("r2", F.col("dst").alias("x"))
-    return a.join(b, "x").filter("r1 <> r2").join(graph.vertices, F.col("x") == F.col("id")).groupBy("label").agg(F.count("*").alias("n"))
+    """label, n: common neighbours, by label, of pairs of different roots (columns id). Roots are counted at each neighbour, pairs are not listed."""
+    pairs = F.col("n_1") * F.col("n_2") - F.col("n_both")
+    around = _roots_around(graph, roots_1, roots_2).select("x", pairs.alias("pairs")).filter("pairs > 0")
+    return around.join(graph.vertices, F.col("x") == F.col("id")).groupBy("label").agg(F.sum("pairs").alias("n"))
 
 
 def edge_counts(graph: LabeledGraph, roots_1: DataFrame, roots_2: DataFrame, labels_1: list[str], labels_2: list[str]) -> DataFrame:
-    """label_1, label_2, n: edges between a neighbour of one root and one of another, by the neighbours' labels."""
+    """label_1, label_2, n: edges between a neighbour of one root and one of another, neither of them the other's root, by the neighbours' labels.
 
-    def near(roots: DataFrame, r: str, x: str, label: str, wanted: list[str]) -> DataFrame:
-        at = roots.select(F.col("id").alias(r)).join(graph.adj, F.col(r) == F.col("src")).select(r, F.col("dst").alias(x))
-        return at.join(graph.vertices.filter(F.col("label").isin(wanted)).select(F.col("id").alias(x), F.col("label").alias(label)), x)
-
-    a, b = near(roots_1, "r1", "x", "label_1", labels_1), near(roots_2, "r2", "y", "label_2", labels_2)
-    met = a.join(graph.adj.select(F.col("src").alias("x"), F.col("dst").alias("y")), "x").join(b, "y")
-    return met.filter("x <> r2 and y <> r1").groupBy("label_1", "label_2").agg(F.count("*").alias("n"))
+    Roots are counted at each end of an edge, pairs are not listed.
+    """
+    around = _roots_around(graph, roots_1, roots_2).join(graph.vertices, F.col("x") == F.col("id"))
+    a = around.filter(F.col("label").isin(labels_1)).select(F.col("x").alias("src"), F.col("label").alias("label_1"), "n_1", "second")
+    b = around.filter(F.col("label").isin(labels_2)).select(F.col("x").alias("dst"), F.col("label").alias("label_2"), "n_2", "first")
+    met = graph.adj.join(a, "src").join(b, "dst").withColumn("n", (F.col("n_1") - F.col("first")) * (F.col("n_2") - F.col("second")))
+    return met.filter("n > 0").groupBy("label_1", "label_2").agg(F.sum("n").alias("n"))
 
 
 def union_by_merge(first: Pattern, second: Pattern, counts: dict[str, int], threshold: float) -> Pattern | None:
@@ -125,37 +176,48 @@ def union_by_edge(first: Pattern, second: Pattern, counts: dict[tuple[str, str],
     return both.with_edges(edges) if edges else None
 
 
-def combine_stars(graph: LabeledGraph, itemsets: DataFrame, min_support: float, size: int = 2, connection: str = "edge", threshold: float = 100) -> Pattern | None:
-    """A pattern from frequent profiles of ``size`` items: the most frequent star, joined to the next most frequent that can be.
+#: What came of combining stars.
+NO_STAR, ONE_STAR, NOT_CONNECTED, COMBINED = "no star", "one star only", "not connected", "combined"
+
 
-    connection: merge, edge or none (the star alone).
+@dataclass(frozen=True)
+class Combined:
+    """status, the pattern (None unless stars were combined, or the first was asked for alone) and the stars it is made of, the most frequent first."""
+
+    status: str
+    pattern: Pattern | None
+    stars: list[Pattern]
+
+
+def combine_stars(graph: LabeledGraph, itemsets: DataFrame, min_support: float, size: int = 2, connection: str = "edge", threshold: float = 100) -> Combined:
+    """The two most frequent stars among the frequent profiles of ``size`` items, ties by items, made one pattern.
+
+    connection: merge, edge or none (the first star alone, whether there is a second or not).
     """
     if connection not in ("merge", "edge", "none"):
         raise ValueError(f"unknown connection: {connection}")
-    sized = itemsets.filter(F.size("items") == size)
-    roots = star_roots(graph, sized, min_support).orderBy(F.desc("n"), "items").limit(16).collect()  # the most frequent few are tried
-    if not roots:
-        return None
-    best = star(roots[0]["root"], roots[0]["items"])
+    sized = materialised(itemsets.filter(F.size("items") == size).select("items"))
+    rows = star_roots(graph, sized, min_support).orderBy(F.desc("n"), "items").limit(2).collect()  # two are what is asked for
+    stars = [star(r["root"], r["items"]) for r in rows]
+    if not stars:
+        return Combined(NO_STAR, None, stars)
     if connection == "none":
-        return best
+        return Combined(COMBINED, stars[0], stars[:1])
+    if len(stars) == 1:
+        return Combined(ONE_STAR, None, stars)
 
     def ids(row) -> DataFrame:
         wanted = sized.filter(F.col("items") == F.array(*map(F.lit, row["items"])))
         return supporters(graph, wanted).join(graph.vertices.filter(F.col("label") == row["root"]), "id").select("id")
 
-    for row in roots[1:]:
-        other = star(row["root"], row["items"])
-        if connection == "merge":
-            counts = {r["label"]: r["n"] for r in merge_counts(graph, ids(roots[0]), ids(row)).collect()}
-            joined = union_by_merge(best, other, counts, threshold)
-        else:
-            labels = [sorted({p.labels[u] for u in p.leaves()}) for p in (best, other)]
-            counts = {(r["label_1"], r["label_2"]): r["n"] for r in edge_counts(graph, ids(roots[0]), ids(row), *labels).collect()}
-            joined = union_by_edge(best, other, counts, threshold)
-        if joined:
-            return joined
-    return best
+    if connection == "merge":
+        counts = {r["label"]: r["n"] for r in merge_counts(graph, *map(ids, rows)).collect()}
+        joined = union_by_merge(*stars, counts, threshold)
+    else:
+        labels = [sorted({p.labels[u] for u in p.leaves()}) for p in stars]
+        counts = {(r["label_1"], r["label_2"]): r["n"] for r in edge_counts(graph, *map(ids, rows), *labels).collect()}
+        joined = union_by_edge(*stars, counts, threshold)
+    return Combined(COMBINED if joined else NOT_CONNECTED, joined, stars)
 
 
 def minimum_support(share: float, n: int) -> float:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import SUBSETS, quantile
+from weftgraph.functions.columns import SUBSETS, quantiles, shared_folder
 from weftgraph.operators import candidates as cand
 from weftgraph.operators import estimate as est
 from weftgraph.operators import evaluate, generate, matcher, mining
@@ -103,11 +104,39 @@ def distances_from_nation(spark, sf_dir):
     return g.distances(spark.createDataFrame([(3,)], "id long")).select("id", "dist")
 
 
-@query()
+_REACH = "reach AS (SELECT id, id AS other FROM vertices UNION SELECT r.id, a.dst FROM reach r JOIN adj a ON a.src = r.other)"
+
+
+@query(sql.query("SELECT component, count(*) AS n FROM (SELECT id, min(other) AS component FROM reach GROUP BY id) GROUP BY component", _REACH, recursive=True))
 def component_sizes(spark, sf_dir):
     return trade_graph(spark, sf_dir).components().groupBy("component").agg(F.count("*").alias("n"))
 
 
+# The graph of all line items
+
+
+@query(sql.query("SELECT label, count(*) AS n, max(deg) AS max_deg, CAST(sum(deg) AS BIGINT) AS sum_deg FROM deg GROUP BY label", every_item=True))
+def whole_degree_by_label(spark, sf_dir):
+    d = trade_graph(spark, sf_dir, every_item=True).degrees()
+    return d.groupBy("label").agg(F.count("*").alias("n"), F.max("deg").alias("max_deg"), F.sum("deg").alias("sum_deg"))
+
+
+@query(sql.query("SELECT id, label, cnt FROM prof", every_item=True))
+def whole_profile_counts(spark, sf_dir):
+    return trade_graph(spark, sf_dir, every_item=True).profile()
+
+
+@query(sql.query("SELECT id, label FROM deg WHERE deg = 1", every_item=True))
+def whole_leaf_vertices(spark, sf_dir):
+    g = trade_graph(spark, sf_dir, every_item=True)
+    return g.vertices.join(g.leaves(), "id", "left_semi")
+
+
+@query(sql.query(sql.candidate_rows(TRIANGLE), *sql.candidate_tables(TRIANGLE, True), every_item=True))
+def whole_cand_profile(spark, sf_dir):
+    return cand.label_degree_profile(trade_graph(spark, sf_dir, every_item=True), TRIANGLE)
+
+
 # Candidates
 
 
@@ -150,13 +179,28 @@ def edge_weights(spark, sf_dir):
     return found.groupBy("u_parent", "u_child").agg(F.count("*").alias("n"))
 
 
-@query()
+_REFINED, _PASSES = sql.refined_tables(KITE, _KITE_EDGES, [0, 1, 2, 3], 8)
+
+
+def _refined_sql() -> str:
+    """The candidates after the first pass that drops nothing."""
+    size = lambda p: "(" + " + ".join(f"(SELECT count(*) FROM {sql.refined(p, u)})" for u in range(4)) + ")"
+    last = f"least({', '.join(f'CASE WHEN {size(p)} = {size(q)} THEN {k} END' for k, (p, q) in enumerate(zip(_PASSES, _PASSES[1:])))})"
+    rows = " UNION ALL ".join(f"SELECT {u} AS u, v, {k} AS k FROM {sql.refined(p, u)}" for k, p in enumerate(_PASSES[:-1]) for u in range(4))
+    return sql.query(f"SELECT u, v FROM ({rows}) WHERE k = (SELECT {last})", *sql.candidate_tables(KITE, False), *_REFINED)
+
+
+@query(_refined_sql())
 def cand_refined(spark, sf_dir):
     g = trade_graph(spark, sf_dir).cached()
     return cand.refine(g, KITE, cand.label_degree(g, KITE), [0, 1, 2, 3])[0]
 
 
-@query()
+_TRIANGLE_EDGES = directed(TRIANGLE, [0, 1, 2])
+_NEAR = "near AS (" + " UNION ".join(f"SELECT {a} AS u, src AS v, {b} AS w, dst AS x FROM adj WHERE src IN (SELECT v FROM c{a}) AND dst IN (SELECT v FROM c{b})" for e in _TRIANGLE_EDGES for a, b in (e, e[::-1])) + ")"
+
+
+@query(sql.query("SELECT a.u, a.v, b.v AS w FROM near a JOIN near b ON a.u = b.u AND a.w = b.w AND a.x = b.x AND a.v <> b.v GROUP BY a.u, a.v, b.v HAVING count(*) = (SELECT count(*) FROM near n WHERE n.u = a.u AND n.v = a.v)", *sql.candidate_tables(TRIANGLE, True), _NEAR))
 def cs_equivalent(spark, sf_dir):
     g = trade_graph(spark, sf_dir)
     return cand.equivalent(cand.edge_candidates(g, cand.label_degree_profile(g, TRIANGLE), directed(TRIANGLE, [0, 1, 2])))
@@ -166,9 +210,9 @@ def cs_equivalent(spark, sf_dir):
 
 
 def _matched(spark, sf_dir, pattern, induced, profile=True, mode="COMPLETE", order=None):
-    g = trade_graph(spark, sf_dir)
+    g = trade_graph(spark, sf_dir).cached()
     pairs = cand.label_degree_profile(g, pattern, mode) if profile else cand.label_degree(g, pattern, mode)
-    return matcher.embeddings(g, pattern, pairs, order or pattern.vertices, induced)
+    return matcher.embeddings(g, pattern, cand.materialised(pairs), order or pattern.vertices, induced)
 
 
 @query(sql.query(sql.matches(TRIANGLE, False), *sql.candidate_tables(TRIANGLE, True)))
@@ -202,6 +246,13 @@ def match_kite(spark, sf_dir):
     return _matched(spark, sf_dir, KITE, True)
 
 
+@query(sql.query(sql.matches(KITE, True), *sql.candidate_tables(KITE, True)))
+def match_dynamic(spark, sf_dir):
+    """The same as match_kite, each partial match in an order of its own."""
+    g = trade_graph(spark, sf_dir).cached()
+    return matcher.dynamic_levels(g, KITE, cand.materialised(cand.label_degree_profile(g, KITE)), True)[0]
+
+
 @query(sql.query(sql.matches(HOME, False), *sql.candidate_tables(HOME, True, True)))
 def match_tokens(spark, sf_dir):
     """Labels as multisets of tokens."""
@@ -247,6 +298,25 @@ def backtracking_cost(spark, sf_dir):
     return matcher.search_profile(plan, True).select("level", "vertex", "n_partial", "n_candidates", "n_calls")
 
 
+def _levels_sql() -> str:
+    parts = []
+    for i, u in enumerate(STAR.vertices):
+        before = f"(SELECT count(*) FROM ({sql.matches(STAR, True, upto=STAR.vertices[:i])}))" if i else "CAST(1 AS BIGINT)"
+        free, after = sql.matches(STAR, True, upto=STAR.vertices[: i + 1], loose=u), sql.matches(STAR, True, upto=STAR.vertices[: i + 1])
+        reached = f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(f'm{v}' for v in STAR.vertices[:i])} FROM ({free})))" if i else f"(SELECT least(count(*), 1) FROM ({free}))"
+        parts.append(f"SELECT {i} AS level, {u} AS vertex, {before} AS n_partial, {before} - {reached} AS n_stuck, (SELECT count(*) FROM ({free})) - (SELECT count(*) FROM ({after})) AS n_conflicts")
+    return sql.query(" UNION ALL ".join(parts), *sql.candidate_tables(STAR, False))
+
+
+@query(_levels_sql())
+def search_levels(spark, sf_dir):
+    """Partial matches, those without an extension, and extensions lost to injectivity, where two vertices have the same candidates."""
+    g = trade_graph(spark, sf_dir).cached()
+    pairs = cand.materialised(cand.label_degree(g, STAR))
+    plan = matcher.Plan(g, STAR, pairs, STAR.vertices, cand.sizes(pairs, STAR))
+    return matcher.search_profile(plan, True).select("level", "vertex", "n_partial", "n_stuck", "n_conflicts")
+
+
 @query(sql.query(f"SELECT row_number() OVER (ORDER BY mapping) AS idx, mapping FROM (SELECT {sql.mapping(STAR)} AS mapping FROM ({sql.matches(STAR, True)}))", *sql.candidate_tables(STAR, False)))
 def match_report(spark, sf_dir):
     return matcher.report(star_induced(spark, sf_dir), STAR).select(F.col("idx").cast("long").alias("idx"), "mapping")
@@ -270,9 +340,10 @@ def order_cost(spark, sf_dir):
 _WALKS = 500
 
 
-def _walk_sql(last: str) -> str:
-    order = TRIANGLE.vertices
-    s = skeleton(TRIANGLE, order)
+def _walk_sql(last: str, pattern: Pattern = TRIANGLE) -> str:
+    """last: SQL over s<n>, the walks after the last of the pattern's vertices."""
+    order = pattern.vertices
+    s = skeleton(pattern, order)
     root = f"r0 AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rank FROM c0), w AS (SELECT range AS walk FROM range({_WALKS})), n0 AS (SELECT count(*) AS n FROM c0), "
     root += f"s0 AS (SELECT walk, v AS m0, CAST(n AS DOUBLE) AS weight FROM w, n0 JOIN r0 ON rank = {sql.lot(chr(39) + '7' + chr(39), 'walk', chr(39) + '0' + chr(39))} % n)"
     tables = [root]
@@ -282,15 +353,16 @@ def _walk_sql(last: str) -> str:
         keep = ", ".join(f"s.m{v}" for v in order[:i])
         tables.append(f"o{i} AS (SELECT s.walk, a.dst AS m{u}, count(*) OVER (PARTITION BY s.walk) AS n, row_number() OVER (PARTITION BY s.walk ORDER BY a.dst) - 1 AS rank FROM s{i - 1} s JOIN adj a ON a.src = s.m{step.parent} JOIN c{u} c ON c.v = a.dst WHERE {injective})")
         pick = sql.lot("'7'", "walk", f"'{i}'")
-        test = " ".join(f"* (CASE WHEN EXISTS (SELECT 1 FROM adj WHERE src = s.m{v} AND dst = o.m{u}) THEN 1 ELSE 0 END)" for v in step.extra)
+        edge = lambda v, there, not_there: f" * (CASE WHEN EXISTS (SELECT 1 FROM adj WHERE src = s.m{v} AND dst = o.m{u}) THEN {there} ELSE {not_there} END)"  # noqa: E731, B023
+        test = "".join([*[edge(v, 1, 0) for v in step.extra], *[edge(v, 0, 1) for v in step.absent]])
         tables.append(f"s{i} AS (SELECT s.walk, {keep}, o.m{u}, s.weight * coalesce(o.n, 0) {test} AS weight FROM s{i - 1} s LEFT JOIN (SELECT * FROM o{i} WHERE rank = {pick} % n) o ON s.walk = o.walk)")
-    return sql.query(last, *sql.candidate_tables(TRIANGLE, True), *tables)
+    return sql.query(last, *sql.candidate_tables(pattern, True), *tables)
 
 
-def _walks(spark, sf_dir):
+def _walks(spark, sf_dir, pattern=TRIANGLE):
     g = trade_graph(spark, sf_dir).cached()
-    pairs = cand.materialised(cand.label_degree_profile(g, TRIANGLE))
-    return g, pairs, est.walks(g, TRIANGLE, pairs, TRIANGLE.vertices, 0, _WALKS)
+    pairs = cand.materialised(cand.label_degree_profile(g, pattern))
+    return g, pairs, est.walks(g, pattern, pairs, pattern.vertices, 0, _WALKS)
 
 
 @query(_walk_sql("SELECT walk, CAST(weight AS DOUBLE) AS weight FROM s2"))
@@ -298,6 +370,12 @@ def walk_weights(spark, sf_dir):
     return _walks(spark, sf_dir)[2]
 
 
+@query(_walk_sql("SELECT walk, CAST(weight AS DOUBLE) AS weight FROM s2", PATH))
+def walk_weights_path(spark, sf_dir):
+    """Induced walks along a path, whose ends must not be linked."""
+    return _walks(spark, sf_dir, PATH)[2]
+
+
 _SUMMARY = "SELECT count(*) AS n, round(avg(weight), 6) AS mean, round(1.96 * stddev_samp(weight) / sqrt(count(*)), 6) AS half_width, CAST(floor(avg(weight) + 0.5) AS BIGINT) AS estimate FROM s2"
 
 
@@ -316,23 +394,25 @@ def estimate_error(spark, sf_dir):
 # Mining
 
 _SHARE = 0.02
-_MINED = """lim AS (SELECT 0.02 * count(*) AS m FROM vertices),
-k1 AS (SELECT label AS a, count(*) AS support FROM prof, lim GROUP BY label, m HAVING count(*) > m),
-k2 AS (SELECT x.label AS a, y.label AS b, count(*) AS support FROM prof x JOIN prof y ON x.id = y.id AND (x.label < y.label OR (x.label = y.label AND x.cnt >= 2)), lim GROUP BY x.label, y.label, m HAVING count(*) > m),
-k3 AS (SELECT x.label AS a, y.label AS b, z.label AS c, count(*) AS support FROM prof x JOIN prof y ON x.id = y.id AND x.label <= y.label JOIN prof z ON x.id = z.id AND y.label <= z.label, lim
-    WHERE x.cnt >= 1 + (CASE WHEN x.label = y.label THEN 1 ELSE 0 END) + (CASE WHEN x.label = z.label THEN 1 ELSE 0 END) AND y.cnt >= 1 + (CASE WHEN y.label = z.label THEN 1 ELSE 0 END)
-    GROUP BY x.label, y.label, z.label, m HAVING count(*) > m)"""
+_LONGEST = 9
 
 
-@query(sql.query("SELECT a AS items, support FROM k1 UNION ALL SELECT a || '|' || b, support FROM k2 UNION ALL SELECT a || '|' || b || '|' || c, support FROM k3", _MINED))
-def frequent_profiles(spark, sf_dir):
-    """Multisets of up to three labels in more than a fiftieth of the profiles; frequent_profiles_whole has those of any length."""
-    found = mining.frequent_profiles(trade_graph(spark, sf_dir).cached(), _SHARE, 3)
-    return found.select(F.array_join("items", "|").alias("items"), "support")
+def _mined_sql() -> str:
+    """Tables f<k> (items, support) of frequent multisets of k labels, and s<k> (id, items) of the profiles that hold those that begin with a frequent one."""
+    tables = ["lim AS (SELECT 0.02 * count(*) AS m FROM vertices)", "s1 AS (SELECT id, [label] AS items FROM prof)"]
+    for k in range(1, _LONGEST + 1):
+        if k > 1:
+            tables.append(f"s{k} AS MATERIALIZED (SELECT s.id, list_append(s.items, p.label) AS items FROM s{k - 1} s JOIN f{k - 1} f ON f.items = s.items JOIN prof p ON p.id = s.id AND p.label >= s.items[-1] AND p.cnt > len(list_filter(s.items, lambda x: x = p.label)))")
+        tables.append(f"f{k} AS MATERIALIZED (SELECT items, count(*) AS support FROM s{k}, lim GROUP BY items, m HAVING count(*) > m)")
+    return ", ".join([*tables, "k2 AS (SELECT items[1] AS a, items[2] AS b, support FROM f2)"])
 
 
-@query()
-def frequent_profiles_whole(spark, sf_dir):
+_MINED = _mined_sql()
+_FREQUENT = " UNION ALL ".join(f"SELECT array_to_string(items, '|') AS items, support FROM f{k}" for k in range(1, _LONGEST + 1))
+
+
+@query(sql.query(_FREQUENT, _MINED))
+def frequent_profiles(spark, sf_dir):
     """Multisets of labels of any length in more than a fiftieth of the profiles."""
     found = mining.frequent_profiles(trade_graph(spark, sf_dir).cached(), _SHARE)
     return found.select(F.array_join("items", "|").alias("items"), "support")
@@ -368,13 +448,43 @@ def edge_counts(spark, sf_dir):
     return mining.edge_counts(g, _roots(g, "BUILDING", 3), _roots(g, "MACHINERY", 3), ["SUPPLIER", "ECONOMY"], ["SUPPLIER", "PROMO"])
 
 
-@query()
+def _combined_sql() -> str:
+    """Both stars have two ends that may be linked: leaves, and the root where there is one leaf only."""
+    held = lambda k: f"(SELECT id FROM s2 WHERE items = (SELECT items FROM top WHERE place = {k}) AND id IN (SELECT id FROM vertices WHERE label = (SELECT root FROM top WHERE place = {k})))"
+    inside = "(a = root OR b = root)"
+    tables = [
+        _MINED,
+        f"""roots AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY items ORDER BY n DESC, root) AS r FROM (
+            SELECT f.items, v.label AS root, count(*) AS n FROM f2 f JOIN s2 s ON s.items = f.items JOIN vertices v ON v.id = s.id GROUP BY ALL)) WHERE r = 1 AND n >= 20)""",
+        f"""top AS MATERIALIZED (SELECT *, CASE WHEN {inside} THEN [root, CASE WHEN a = root THEN b ELSE a END] ELSE [a, b] END AS ends, CASE WHEN {inside} THEN 0 ELSE 1 END AS base, CASE WHEN {inside} THEN 2 ELSE 3 END AS size
+            FROM (SELECT items, items[1] AS a, items[2] AS b, root, row_number() OVER (ORDER BY n DESC, items) AS place FROM roots) WHERE place <= 2)""",
+        f"one AS MATERIALIZED {held(1)}", f"two AS MATERIALIZED {held(2)}",
+        "x AS (SELECT * FROM top WHERE place = 1)", "y AS (SELECT * FROM top WHERE place = 2)",
+        """linked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, p, q) AS place FROM (SELECT u.label AS p, v.label AS q, count(*) AS n FROM one JOIN adj a ON a.src = one.id JOIN vertices u ON u.id = a.dst AND list_contains((SELECT ends FROM x), u.label)
+            JOIN adj e ON e.src = a.dst JOIN vertices v ON v.id = e.dst AND list_contains((SELECT ends FROM y), v.label) JOIN adj b ON b.dst = e.dst JOIN two ON two.id = b.src WHERE a.dst <> two.id AND e.dst <> one.id GROUP BY ALL))""",
+        "e1 AS (SELECT list_position((SELECT ends FROM x), p) AS i, list_position((SELECT ends FROM y), q) AS j FROM linked WHERE place = 1)",
+        "e2 AS (SELECT 3 - i AS i, 3 - j AS j FROM e1 WHERE EXISTS (SELECT 1 FROM linked WHERE place > 1 AND p = (SELECT ends[3 - e1.i] FROM x) AND q = (SELECT ends[3 - e1.j] FROM y)))",
+        """vs AS (SELECT 0 AS u, root AS label FROM x UNION ALL SELECT base + unnest([i for i in range(1 - base, 2)]), unnest(ends[2 - base:]) FROM x
+            UNION ALL SELECT (SELECT size FROM x), root FROM y UNION ALL SELECT (SELECT size FROM x) + base + unnest([i for i in range(1 - base, 2)]), unnest(ends[2 - base:]) FROM y)""",
+        """es AS (SELECT 0 AS p, unnest(range(1, size)) AS q FROM x UNION ALL SELECT (SELECT size FROM x), (SELECT size FROM x) + unnest(range(1, size)) FROM y
+            UNION ALL SELECT (SELECT base FROM x) + i - 1, (SELECT x.size + y.base FROM x, y) + j - 1 FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2))""",
+        "n AS (SELECT (SELECT count(*) FROM top) AS stars, (SELECT count(*) FROM e1) AS edges)",
+    ]
+    status = f"CASE WHEN stars = 0 THEN '{mining.NO_STAR}' WHEN stars = 1 THEN '{mining.ONE_STAR}' WHEN edges = 0 THEN '{mining.NOT_CONNECTED}' ELSE '{mining.COMBINED}' END"
+    rows = "SELECT 'status' AS kind, CAST(NULL AS INTEGER) AS a, CAST(NULL AS INTEGER) AS b, " + status + " AS label FROM n"
+    rows += " UNION ALL SELECT 'vertex', CAST(u AS INTEGER), NULL, label FROM vs WHERE (SELECT edges FROM n) > 0 UNION ALL SELECT 'edge', CAST(p AS INTEGER), CAST(q AS INTEGER), NULL FROM es WHERE (SELECT edges FROM n) > 0"
+    return sql.query(rows, *tables)
+
+
+@query(_combined_sql())
 def combined_stars(spark, sf_dir):
-    """Vertices and edges of a pattern made from frequent stars."""
+    """What came of combining the two most frequent stars, and the pattern's vertices and edges."""
     g = trade_graph(spark, sf_dir).cached()
-    p = mining.combine_stars(g, mining.frequent_profiles(g, _SHARE, 2), 20, 2, "edge", 1)
-    rows = [(u, None, label) for u, label in sorted(p.labels.items())] + [(a, b, None) for a, b in sorted(p.edges)]
-    return spark.createDataFrame(rows, "a int, b int, label string")
+    made = mining.combine_stars(g, mining.frequent_profiles(g, _SHARE, 2), 20, 2, "edge", 1)
+    rows = [("status", None, None, made.status)]
+    if made.pattern:
+        rows += [("vertex", u, None, label) for u, label in sorted(made.pattern.labels.items())] + [("edge", a, b, None) for a, b in sorted(made.pattern.edges)]
+    return spark.createDataFrame(rows, "kind string, a int, b int, label string")
 
 
 # Samples
@@ -415,7 +525,14 @@ def share_found(spark, sf_dir):
     return generate.share_found(trade_graph(spark, sf_dir).cached(), _SIZE, _LANES, 1.0, 2.5)
 
 
-@query()
+_STEPPED = f"""start AS (SELECT lot % {_LANES} AS lane, min_by(id, (lot, id)) AS id FROM (SELECT id, {_START} AS lot FROM vertices) GROUP BY lot % {_LANES}),
+nbr AS MATERIALIZED (SELECT src, list_sort(list(dst)) AS l FROM adj GROUP BY src),
+w AS (SELECT lane, 0 AS step, id AS here, [id] AS seen FROM start
+    UNION ALL SELECT lane, step + 1, nxt, CASE WHEN list_contains(seen, nxt) THEN seen ELSE list_append(seen, nxt) END
+    FROM (SELECT w.*, l[1 + {sql.lot("'7'", "lane", "step + 1")} % len(l)] AS nxt FROM w JOIN nbr ON src = here WHERE len(seen) < 4 AND step < 100000))"""
+
+
+@query(sql.query("SELECT lane, CAST(min(step) AS INTEGER) AS step, here AS id FROM w WHERE lane IN (SELECT lane FROM w WHERE len(seen) = 4) GROUP BY lane, here", _STEPPED, recursive=True))
 def walk_samples(spark, sf_dir):
     return generate.random_walks(trade_graph(spark, sf_dir).cached(), _LANES, 4)[0]
 
@@ -438,8 +555,8 @@ def _quantile_sql(p: float) -> str:
 
 @query(sql.query(f"SELECT label, round(CAST({_quantile_sql(0.25)} AS DOUBLE), 9) AS q1, round(CAST({_quantile_sql(0.75)} AS DOUBLE), 9) AS q3 FROM nums", _FENCE))
 def degree_quartiles(spark, sf_dir):
-    d = trade_graph(spark, sf_dir).degrees().groupBy("label").agg(F.sort_array(F.collect_list(F.col("deg").cast("double"))).alias("v"))
-    return d.select("label", F.round(quantile(F.col("v"), 0.25), 9).alias("q1"), F.round(quantile(F.col("v"), 0.75), 9).alias("q3"))
+    d = quantiles(trade_graph(spark, sf_dir).degrees(), ["label"], "deg", {"q1": 0.25, "q3": 0.75})
+    return d.select("label", F.round("q1", 9).alias("q1"), F.round("q3", 9).alias("q3"))
 
 
 @query(sql.query(f"""SELECT o.lane, o.estimate, f.fence, CASE WHEN estimate > fence THEN 'hard' WHEN most <= fence AND estimate = most THEN 'possibly hard' ELSE 'usual' END AS status
@@ -466,8 +583,10 @@ _PATHS = f"a AS (SELECT {sql.mapping(PATH)} AS mapping FROM ({sql.matches(PATH,
 @query(sql.query("SELECT 'path' AS query, mapping, 'unexpected' AS side FROM a WHERE mapping NOT IN (SELECT mapping FROM b)", *sql.candidate_tables(PATH, False), _PATHS))
 def golden_differences(spark, sf_dir):
     """Mappings that are found without, but not with the demand that absent edges be absent."""
-    named = lambda df: matcher.report(df, PATH).select(F.lit("path").alias("query"), "mapping")
-    return evaluate.differences(named(_matched(spark, sf_dir, PATH, False, False)), named(_matched(spark, sf_dir, PATH, True, False)))
+    g = trade_graph(spark, sf_dir).cached()
+    pairs = cand.materialised(cand.label_degree(g, PATH))
+    named = lambda induced: matcher.mappings(matcher.embeddings(g, PATH, pairs, PATH.vertices, induced), PATH).select(F.lit("path").alias("query"), "mapping")
+    return evaluate.differences(named(False), named(True))
 
 
 def _runs(spark, sf_dir):
@@ -493,14 +612,12 @@ def comparison_series(spark, sf_dir):
     return evaluate.series(evaluate.compare_algorithms(_runs(spark, sf_dir))).select("algorithm", "size", F.round("matchings", 6).alias("matchings"), F.round("log_backtracking", 9).alias("log_backtracking"))
 
 
-_HARD = "SELECT CAST(p_size % 3 * 10 + 5 AS INTEGER) AS size, CAST(p_partkey % 7 AS INTEGER) AS de, CAST(p_partkey % 12 AS INTEGER) AS di, CASE WHEN p_size > 20 THEN 'hard' ELSE 'possibly hard' END AS status, p_retailprice AS estimate, CAST(p_partkey % 4 AS INTEGER) AS n_isomorphic FROM part WHERE p_size % 5 <> 0"
+_HARD = "SELECT CAST(p_size % 3 * 10 + 5 AS INTEGER) AS size, CAST(p_partkey % 7 AS INTEGER) AS de, CAST(p_partkey % 12 AS INTEGER) AS di, CASE WHEN p_size > 20 THEN 'hard' ELSE 'possibly hard' END AS status, p_retailprice AS estimate, CAST(p_partkey % 4 AS INTEGER) AS n_isomorphic FROM part"
 
 
-def _hard(spark, sf_dir, whole=False):
-    """Parts as hard patterns: the four fifths whose size is no multiple of 5, or all."""
-    p = table(spark, sf_dir, "part")
-    p = p if whole else p.filter("p_size % 5 <> 0")
-    return p.select((F.col("p_size") % 3 * 10 + 5).alias("size"), (F.col("p_partkey") % 7).cast("int").alias("de"), (F.col("p_partkey") % 12).cast("int").alias("di"), F.when(F.col("p_size") > 20, "hard").otherwise("possibly hard").alias("status"), F.col("p_retailprice").alias("estimate"), (F.col("p_partkey") % 4).cast("int").alias("n_isomorphic"))
+def _hard(spark, sf_dir):
+    """Parts as hard patterns."""
+    return table(spark, sf_dir, "part").select((F.col("p_size") % 3 * 10 + 5).alias("size"), (F.col("p_partkey") % 7).cast("int").alias("de"), (F.col("p_partkey") % 12).cast("int").alias("di"), F.when(F.col("p_size") > 20, "hard").otherwise("possibly hard").alias("status"), F.col("p_retailprice").alias("estimate"), (F.col("p_partkey") % 4).cast("int").alias("n_isomorphic"))
 
 
 _GRID = f"""WITH h AS ({_HARD}), cells AS (SELECT size, de, di, CAST(sum(CASE WHEN status = 'hard' THEN n_isomorphic + 1 END) AS BIGINT) AS n_graphs,
@@ -509,35 +626,18 @@ grid AS (SELECT s.size, CAST(d.range AS INTEGER) AS de, CAST(i.range AS INTEGER)
 found AS (SELECT g.size, g.de, g.di, CASE WHEN c.size IS NULL THEN -1 ELSE n_graphs END AS n_graphs, CASE WHEN c.size IS NULL THEN -1.0 ELSE m END AS mean_matchings FROM grid g LEFT JOIN cells c ON g.size = c.size AND g.de = c.de AND g.di = c.di)"""
 
 
-_WHOLE_GRID = _GRID.replace(" WHERE p_size % 5 <> 0", "")
-
-
 @query(f"{_GRID} SELECT size, de, di, CAST(n_graphs AS BIGINT) AS n_graphs, round(CAST(mean_matchings AS DOUBLE), 6) AS mean_matchings FROM found")
 def heatmap_grid(spark, sf_dir):
-    """Leaves out parts whose size is a multiple of 5; heatmap_grid_whole has all."""
     h = _hard(spark, sf_dir)
     return evaluate.heat_map(h, h.select("size")).withColumn("mean_matchings", F.round("mean_matchings", 6))
 
 
 @query(f"{_GRID}, m AS (SELECT mean_matchings AS x, CASE WHEN mean_matchings >= 0 THEN mean_matchings END AS m FROM found) SELECT round(CAST(min(least(m, 1400.0)) AS DOUBLE), 6) AS low, round(CAST(max(least(m, 1400.0)) AS DOUBLE), 6) AS high, round(CAST(max(m) AS DOUBLE), 6) AS true_high, count(*) FILTER (WHERE m > 1400) AS n_capped, count(*) FILTER (WHERE x < 0) AS n_missing FROM m")
 def heatmap_ends(spark, sf_dir):
-    """Leaves out parts whose size is a multiple of 5; heatmap_ends_whole has all."""
     h = _hard(spark, sf_dir)
     return evaluate.heat_map_ends(evaluate.heat_map(h, h.select("size")), 1400.0).withColumns({c: F.round(c, 6) for c in ("low", "high", "true_high")})
 
 
-@query(f"{_WHOLE_GRID} SELECT size, de, di, CAST(n_graphs AS BIGINT) AS n_graphs, round(CAST(mean_matchings AS DOUBLE), 6) AS mean_matchings FROM found")
-def heatmap_grid_whole(spark, sf_dir):
-    h = _hard(spark, sf_dir, whole=True)
-    return evaluate.heat_map(h, h.select("size")).withColumn("mean_matchings", F.round("mean_matchings", 6))
-
-
-@query(f"{_WHOLE_GRID}, m AS (SELECT mean_matchings AS x, CASE WHEN mean_matchings >= 0 THEN mean_matchings END AS m FROM found) SELECT round(CAST(min(least(m, 1400.0)) AS DOUBLE), 6) AS low, round(CAST(max(least(m, 1400.0)) AS DOUBLE), 6) AS high, round(CAST(max(m) AS DOUBLE), 6) AS true_high, count(*) FILTER (WHERE m > 1400) AS n_capped, count(*) FILTER (WHERE x < 0) AS n_missing FROM m")
-def heatmap_ends_whole(spark, sf_dir):
-    h = _hard(spark, sf_dir, whole=True)
-    return evaluate.heat_map_ends(evaluate.heat_map(h, h.select("size")), 1400.0).withColumns({c: F.round(c, 6) for c in ("low", "high", "true_high")})
-
-
 @query("SELECT CAST(s_suppkey AS INTEGER) AS size, s_nationkey AS degree, round(abs(s_acctbal) / 20000, 4) AS p FROM supplier")
 def probability_grid(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
@@ -571,15 +671,42 @@ def report_fields(spark, sf_dir):
     return formats.short_names(formats.parse_reports(c.select(text.alias("value")))).select("query", "target", "induced", "n_backtracking", "n_matches", F.size("mappings").cast("long").alias("n_mappings"))
 
 
-@query(sql.query("SELECT a AS items, support FROM k1 UNION ALL SELECT a || '|' || b, support FROM k2", _MINED))
+@query(sql.query(_FREQUENT, _MINED))
 def itemset_lines(spark, sf_dir):
-    """Frequent profiles of up to two labels written as lines and read again; itemset_lines_whole has those of any length."""
-    found = mining.frequent_profiles(trade_graph(spark, sf_dir).cached(), _SHARE, 2)
+    """Frequent profiles written as lines and read again."""
+    found = mining.frequent_profiles(trade_graph(spark, sf_dir).cached(), _SHARE)
     return formats.parse_itemset_lines(formats.itemset_lines(found)).select(F.array_join("items", "|").alias("items"), "support")
 
 
-@query()
-def itemset_lines_whole(spark, sf_dir):
-    """Frequent profiles of any length written as lines and read again."""
-    found = mining.frequent_profiles(trade_graph(spark, sf_dir).cached(), _SHARE)
-    return formats.parse_itemset_lines(formats.itemset_lines(found)).select(F.array_join("items", "|").alias("items"), "support")
+@query(sql.query("SELECT array_to_string(f.items, '|') AS items, f.support, string_agg(CAST(s.id AS VARCHAR), ',' ORDER BY s.id) AS ids FROM f2 f JOIN s2 s ON s.items = f.items GROUP BY ALL", _MINED))
+def itemset_ids(spark, sf_dir):
+    """Frequent pairs of labels with their vertices, written as a report and read again."""
+    g = trade_graph(spark, sf_dir).cached()
+    found = cand.materialised(mining.frequent_profiles(g, _SHARE, 2).filter(F.size("items") == 2))
+    back = formats.parse_itemsets(formats.itemset_lines(found.join(mining.supporter_ids(g, found), "items")))
+    return back.select(F.array_join("items", "|").alias("items"), "support", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(sql.query("SELECT id AS a, CAST(NULL AS BIGINT) AS b, label FROM vertices UNION ALL SELECT src, dst, NULL FROM edges"))
+def graph_read_back(spark, sf_dir):
+    """The graph written to the shared folder in the positional format, and read again."""
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    formats.write_proteins(trade_graph(spark, sf_dir), path)
+    g = formats.read_graph(spark, path, "proteins")
+    return g.vertices.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "label").unionByName(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(None).cast("string").alias("label")))
+
+
+_STATS = """SELECT CAST(p_size % 3 * 10 + 5 AS INTEGER) AS size, CAST(p_partkey % 7 AS INTEGER) AS de, CAST(p_partkey % 12 AS INTEGER) AS di, CAST(p_partkey AS INTEGER) AS idx,
+    CASE WHEN p_size > 20 THEN 'hard' WHEN p_size > 10 THEN 'possibly hard' ELSE 'none' END AS status, CASE WHEN p_size > 10 THEN p_retailprice END AS estimate, CASE WHEN p_size > 10 THEN CAST(p_partkey % 4 AS INTEGER) END AS n_isomorphic FROM part"""
+
+
+@query(_STATS)
+def hard_stats(spark, sf_dir):
+    """Parts as statistics files of hard patterns, read from their texts."""
+    p = table(spark, sf_dir, "part")
+    text = lambda c: F.col(c).cast("string")
+    path = F.concat(F.lit("out/size_"), (F.col("p_size") % 3 * 10 + 5).cast("string"), F.lit("_de_"), (F.col("p_partkey") % 7).cast("string"), F.lit("_di_"), (F.col("p_partkey") % 12).cast("string"), F.lit("_stats_"), text("p_partkey"), F.lit(".txt"))
+    others = F.when(F.col("p_partkey") % 4 == 0, "null").otherwise((F.col("p_partkey") % 4).cast("string"))
+    body = F.concat(F.lit("\n\nEstimated Number Induce Matchings: "), text("p_retailprice"), F.lit("\nNumber of Isomorphic Graphs Found: "), others, F.lit("\nOutlier minimum value: 1.0\n"))
+    value = F.when(F.col("p_size") > 20, F.concat(F.lit("Hard-to-find"), body)).when(F.col("p_size") > 10, F.concat(F.lit("Possibly Hard-to-find"), body)).otherwise("No graphs of family\n")
+    return formats.parse_hard_stats(p.select(path.alias("path"), value.alias("value")))

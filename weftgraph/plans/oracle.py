@@ -34,8 +34,9 @@ trade AS MATERIALIZED (
 )"""
 
 
-def query(body: str, *more: str, recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([GRAPH, *more])}\n{body}"
+def query(body: str, *more: str, recursive: bool = False, every_item: bool = False) -> str:
+    graph = GRAPH.replace(" WHERE l_quantity >= 48 AND l_returnflag = 'R'", "") if every_item else GRAPH
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([graph, *more])}\n{body}"
 
 
 def _label(column: str, label: str, tokens: bool) -> str:
@@ -61,6 +62,32 @@ def candidate_rows(pattern: Pattern, prefix: str = "c") -> str:
     return " UNION ALL ".join(f"SELECT {u} AS u, v FROM {prefix}{u}" for u in pattern.vertices)
 
 
+def _hall(v: str, near: list[int], table) -> str:
+    """Whether the vertices near a pattern vertex can be matched to different neighbours of v; table(w): SQL for the candidates of w."""
+    tests = []
+    for size in range(1, len(near) + 1):
+        for subset in combinations(near, size):
+            union = " UNION ".join(f"SELECT v FROM {table(w)}" for w in subset)
+            tests.append(f"{v} IN (SELECT src FROM adj WHERE dst IN ({union}) GROUP BY src HAVING count(DISTINCT dst) >= {size})")
+    return " AND ".join(tests) or "true"
+
+
+def refined(prefix: str, u: int) -> str:
+    return f"{prefix}{u}"
+
+
+def refined_tables(pattern: Pattern, edges: list[tuple[int, int]], order: list[int], passes: int, prefix: str = "c") -> tuple[list[str], list[str]]:
+    """Tables of candidates after each of so many alternating passes over the directed pattern, children first, and the tables' prefixes."""
+    out, now, names = [], {u: f"{prefix}{u}" for u in order}, [prefix]
+    for k in range(passes):
+        for u in reversed(order) if k % 2 == 0 else order:
+            near = [b for a, b in edges if a == u] if k % 2 == 0 else [a for a, b in edges if b == u]
+            out.append(f"{prefix}_p{k}_{u} AS MATERIALIZED (SELECT x.v FROM {now[u]} x WHERE {_hall('x.v', near, lambda w: now[w])})")
+            now[u] = f"{prefix}_p{k}_{u}"
+        names.append(f"{prefix}_p{k}_")
+    return out, names
+
+
 def hall_tables(pattern: Pattern, rounds: int, prefix: str = "c") -> tuple[list[str], str]:
     """Tables of candidates after so many rounds of neighbourhood matching, and their prefix."""
     out, before = [], prefix
@@ -78,8 +105,8 @@ def hall_tables(pattern: Pattern, rounds: int, prefix: str = "c") -> tuple[list[
     return out, before
 
 
-def matches(pattern: Pattern, induced: bool, prefix: str = "c", upto: list[int] | None = None) -> str:
-    """SELECT of m<u> columns: a product of candidates with edges, non-edges and injectivity as conditions."""
+def matches(pattern: Pattern, induced: bool, prefix: str = "c", upto: list[int] | None = None, loose: int | None = None) -> str:
+    """SELECT of m<u> columns: a product of candidates with edges, non-edges and injectivity (not demanded of the vertex ``loose``) as conditions."""
     us = upto or pattern.vertices
     joins, done = [], []
     for u in us:
@@ -95,7 +122,8 @@ def matches(pattern: Pattern, induced: bool, prefix: str = "c", upto: list[int]
     where = []
     for i, u in enumerate(us):
         for v in us[:i]:
-            where.append(f"t{u}.v <> t{v}.v")
+            if u != loose:
+                where.append(f"t{u}.v <> t{v}.v")
             if pattern.adjacent(u, v):
                 where.append(f"EXISTS (SELECT 1 FROM edges WHERE src = least(t{u}.v, t{v}.v) AND dst = greatest(t{u}.v, t{v}.v))")
             elif induced:

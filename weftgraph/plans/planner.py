@@ -9,7 +9,8 @@ from dataclasses import dataclass
 
 from weftgraph.plans.pattern import Pattern
 
-ORDERS = ("groundTruth", "graphQL", "quickSI", "DAF", "dynamic")
+ORDERS = ("groundTruth", "graphQL", "quickSI", "DAF")
+DYNAMIC = "dynamic"
 
 
 def ground_truth_order(pattern: Pattern, sizes: dict[int, int]) -> list[int]:
@@ -115,10 +116,10 @@ def skeleton(pattern: Pattern, order: list[int]) -> list[Step]:
 
 
 def processing_order(pattern: Pattern, sizes: dict[int, int], method: str = "graphQL", gamma: float = 0.5, weights: dict | None = None) -> list[int]:
-    """The order by a method's name; the dynamic one chooses by each partial match and has no order of its own, so it takes the greedy one."""
+    """The order by a method's name. The dynamic one is not among them: it chooses anew for each partial match (matcher.dynamic_levels)."""
     if method == "groundTruth":
         return ground_truth_order(pattern, sizes)
-    if method in ("graphQL", "dynamic"):
+    if method == "graphQL":
         return graphql_order(pattern, sizes, gamma)[0]
     if method == "quickSI":
         if weights is None:

@@ -12,8 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trade_graph(spark: SparkSession, sf_dir: str) -> LabeledGraph:
-    """Ids are key * 4 + kind (0 customer, 1 supplier, 2 part, 3 nation). Large returned line items link customer, supplier and part; nations link to who is in them."""
+def trade_graph(spark: SparkSession, sf_dir: str, every_item: bool = False) -> LabeledGraph:
+    """Ids are key * 4 + kind (0 customer, 1 supplier, 2 part, 3 nation). Large returned line items, or all of them, link customer, supplier and part; nations link to who is in them."""
     c, s, p, n = (table(spark, sf_dir, t) for t in ("customer", "supplier", "part", "nation"))
     key = lambda column, kind: F.col(column).cast("long") * 4 + kind
     vertices = (
@@ -22,7 +22,10 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> LabeledGraph:
         .unionAll(p.select(key("p_partkey", 2), F.col("p_type")))
         .unionAll(n.select(key("n_nationkey", 3), F.concat(F.lit("NATION,R"), F.col("n_regionkey").cast("string"))))
     )
-    items = table(spark, sf_dir, "lineitem").filter((F.col("l_quantity") >= 48) & (F.col("l_returnflag") == "R")).select("l_orderkey", "l_suppkey", "l_partkey")
+    items = table(spark, sf_dir, "lineitem")
+    if not every_item:
+        items = items.filter((F.col("l_quantity") >= 48) & (F.col("l_returnflag") == "R"))
+    items = items.select("l_orderkey", "l_suppkey", "l_partkey")
     trade = items.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     cust, supp, part = key("o_custkey", 0), key("l_suppkey", 1), key("l_partkey", 2)
     pair = lambda a, b: F.struct(a.alias("src"), b.alias("dst"))
