@@ -48,7 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
+    """Applies the stages to documents; each result is written to the shared folder and read again, and goes when the next one is written."""
     folder = f"{C.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = C.documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
@@ -56,4 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                C.remove(spark, f"{folder}/{k - 1}")
     return docs

@@ -86,11 +86,11 @@ class Kernel:
         return np.linalg.solve(left, nm.T @ (share[:, None] * y))
 
 
-def fit(rows: list[tuple[str, bytes]], ridge: float = 1e-3) -> tuple[list[str], np.ndarray]:
-    """(languages, matrix of bins by languages) from (language, packed presences) of training texts."""
+def fit(rows: list[tuple[str, bytes]], ridge: float = 1e-3, kernel: Kernel | None = None) -> tuple[list[str], np.ndarray]:
+    """(languages, matrix of bins by languages) from (language, packed presences) of training texts, or their kernel."""
     if not rows:
         return [], np.zeros((BINS, 0), np.float32)
-    kernel = Kernel(rows)
+    kernel = kernel or Kernel(rows)
     every = np.arange(len(rows))
     marks = kernel.landmarks(every)
     w, matrix = kernel.solved(every, marks, ridge).astype(np.float32), np.zeros((BINS, len(kernel.languages)), np.float32)
@@ -109,11 +109,11 @@ def firmness(values: np.ndarray) -> np.ndarray:
     return 2 * ranked[:, -1] - (ranked[:, -2] if ranked.shape[1] > 1 else -1.0)
 
 
-def least_firmness(rows: list[tuple[str, bytes]], ridge: float = 1e-3) -> float:
+def least_firmness(rows: list[tuple[str, bytes]], ridge: float = 1e-3, kernel: Kernel | None = None) -> float:
     """The firmness that all but LOST of the training texts reach, each by a model of the FOLDS - 1 parts it is not in; no bound from fewer than two texts."""
     if len(rows) < 2:
         return -np.inf
-    kernel = Kernel(rows)
+    kernel = kernel or Kernel(rows)
     part, values = np.arange(len(rows)) % FOLDS, np.zeros((len(rows), len(kernel.languages)))
     for k in range(min(FOLDS, len(rows))):
         own, rest = np.flatnonzero(part == k), np.flatnonzero(part != k)
@@ -215,8 +215,11 @@ def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = Non
     stay or go together; an empty table gives an empty one.
     """
     rows = taught(docs) if model is None or firm is None else []
-    model = model or fit(rows)
-    bound = least_firmness(rows) if firm is None else firm
+    kernel = Kernel(rows) if rows else None
+    model = model or fit(rows, kernel=kernel)
+    bound = least_firmness(rows, kernel=kernel) if firm is None else firm
+    del rows, kernel
+    C.let_go()  # on the driver
     at = docs.columns.index("text")
 
     def make():

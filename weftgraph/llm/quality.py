@@ -72,25 +72,27 @@ def fit(rows: list[tuple[int, bytes]], rounds: int = 250, ridge: float = 3e-3) -
     if not rows:
         return weights, cuts
     rows = sorted(rows)
-    bins = [np.frombuffer(r[1], "<i4") for r in rows]
+    bins, n_rows = [np.frombuffer(r[1], "<i4") for r in rows], len(rows)
     grade = np.array([r[0] for r in rows])
     every = np.concatenate(bins)
-    doc = np.repeat(np.arange(len(rows)), [len(b) for b in bins])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) for b in bins])
+    del bins
     seen = np.bincount(every, minlength=BINS)
     of_grade = np.stack([np.bincount(every[grade[doc] == k], minlength=BINS) for k in range(GRADES)])
     due = seen * of_grade.sum(1, keepdims=True) / max(len(every), 1)
     uneven = np.abs(of_grade - due) / np.sqrt(due + 1)
-    used = np.flatnonzero((seen >= 2) & (uneven.max(0) >= min(UNEVEN, 0.05 * len(rows))))
+    used = np.flatnonzero((seen >= 2) & (uneven.max(0) >= min(UNEVEN, 0.05 * n_rows)))
     place = np.full(BINS, -1)
     place[used] = np.arange(len(used))
     at = place[every]
-    doc, at = doc[at >= 0], at[at >= 0]
+    doc, at = doc[at >= 0].astype(np.int64), at[at >= 0]
+    del every, seen, of_grade, due, uneven
     share = 1 / (np.bincount(grade, minlength=GRADES)[grade] * len(set(grade.tolist())))
     w, low, gap = np.zeros(len(used)), -1.0, np.log(2.0)
     moments = [np.zeros(len(used) + 2), np.zeros(len(used) + 2)]
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
     for step in range(1, rounds + 1):
-        f = np.bincount(doc, w[at], len(rows))
+        f = np.bincount(doc, w[at], n_rows)
         cuts = np.array([low, low + np.exp(gap)])
         upper = np.where(grade < 2, sigmoid(cuts[np.minimum(grade, 1)] - f), 1.0)
         lower = np.where(grade > 0, sigmoid(cuts[np.maximum(grade - 1, 0)] - f), 0.0)
@@ -129,7 +131,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     taken = F.broadcast(rated.filter(wanted))  # about GRADES * PER_GRADE ids
     rows = C.pick(docs, "doc_id", "text").filter(F.col("text").isNotNull()).join(taken, "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text")).select("grade", "text")
-    return fit([(r["grade"], bytes(r["bins"])) for r in rows.mapInArrow(run, "grade int, bins binary").collect()])
+    model = fit([(r["grade"], bytes(r["bins"])) for r in rows.mapInArrow(run, "grade int, bins binary").collect()])
+    C.let_go()  # on the driver
+    return model
 
 
 class Weights(dict):

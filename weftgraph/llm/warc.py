@@ -57,10 +57,15 @@ def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame
     within = Window.partitionBy("url_key", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     found = known.select("record_id", "kind", "url_key", "at", "slice", "headers", F.max(response).over(within).alias("own"))
     wanted = found.filter("kind = 'revisit'").join(carried, ["url_key", "slice"], "left").withColumn("response_id", F.coalesce("own.record_id", "carried.record_id"))
+    wanted = C.checkpointed(wanted.select("record_id", "url_key", "response_id", "headers"))
+    # a response may have any number of revisits; those without one take no part in the join
+    times = wanted.filter("response_id is not null").groupBy("response_id").agg(F.count("*").alias("times"))
     stored = known.filter("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored")).dropDuplicates(["response_id"])
-    both = wanted.join(stored, "response_id", "left").select("record_id", "url_key", "response_id", "headers", "stored")
-    lost = rows.filter((F.col("kind") == "revisit") & (F.col("url_key").isNull() | F.col("at").isNull()))
-    both = both.unionByName(lost.select("record_id", "url_key", F.lit(None).cast("long").alias("response_id"), "headers", F.lit(None).cast("map<string,string>").alias("stored")))
+    stored = C.checkpointed(stored.join(times, "response_id"))
+    both = C.looked_up(wanted.filter("response_id is not null"), stored, ["response_id"], "times").select("record_id", "url_key", "response_id", "headers", "stored")
+    lost = rows.filter((F.col("kind") == "revisit") & (F.col("url_key").isNull() | F.col("at").isNull())).select("record_id", "url_key", F.lit(None).cast("long").alias("response_id"), "headers")
+    lost = lost.unionByName(wanted.filter("response_id is null")).withColumn("stored", F.lit(None).cast("map<string,string>"))
+    both = both.unionByName(lost)
     tag, old_tag = F.col("headers")["etag"], F.col("stored")["etag"]
     time, old_time = F.col("headers")["last-modified"], F.col("stored")["last-modified"]
     by_tag, by_time = tag.isNotNull() & old_tag.isNotNull(), time.isNotNull() & old_time.isNotNull()
