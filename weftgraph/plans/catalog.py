@@ -448,8 +448,8 @@ def edge_counts(spark, sf_dir):
     return mining.edge_counts(g, _roots(g, "BUILDING", 3), _roots(g, "MACHINERY", 3), ["SUPPLIER", "ECONOMY"], ["SUPPLIER", "PROMO"])
 
 
-def _combined_sql() -> str:
-    """Both stars have two ends that may be linked: leaves, and the root where there is one leaf only."""
+def _combined_sql(merge: bool = False) -> str:
+    """Both stars have two ends that may be linked or made one: leaves, and the root where there is one leaf only."""
     held = lambda k: f"(SELECT id FROM s2 WHERE items = (SELECT items FROM top WHERE place = {k}) AND id IN (SELECT id FROM vertices WHERE label = (SELECT root FROM top WHERE place = {k})))"
     inside = "(a = root OR b = root)"
     tables = [
@@ -470,23 +470,43 @@ def _combined_sql() -> str:
             UNION ALL SELECT (SELECT base FROM x) + i - 1, (SELECT x.size + y.base FROM x, y) + j - 1 FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2))""",
         "n AS (SELECT (SELECT count(*) FROM top) AS stars, (SELECT count(*) FROM e1) AS edges)",
     ]
+    if merge:
+        end = lambda t: f"(SELECT i, label, row_number() OVER (PARTITION BY label ORDER BY i) AS k FROM (SELECT unnest(range(1, 3)) AS i, unnest(ends) AS label FROM {t}))"
+        tables[-1:] = [
+            "shared AS (SELECT v.label, count(*) AS n FROM one JOIN adj a ON a.src = one.id JOIN adj b ON b.dst = a.dst JOIN two ON two.id = b.src AND one.id <> two.id JOIN vertices v ON v.id = a.dst GROUP BY v.label)",
+            f"merged AS MATERIALIZED (SELECT (SELECT x.size + y.base FROM x, y) + b.i - 1 AS old, (SELECT base FROM x) + a.i - 1 AS now FROM {end('x')} a JOIN {end('y')} b USING (label, k) WHERE label IN (SELECT label FROM shared WHERE n > 1))",
+            "n AS (SELECT (SELECT count(*) FROM top) AS stars, (SELECT count(*) FROM merged) AS edges)",
+            "vs_ AS (SELECT * FROM vs WHERE u NOT IN (SELECT old FROM merged))",
+            "es_ AS (SELECT DISTINCT least(p, q) AS p, greatest(p, q) AS q FROM (SELECT coalesce(f.now, p) AS p, coalesce(t.now, q) AS q FROM (SELECT 0 AS p, unnest(range(1, size)) AS q FROM x UNION ALL SELECT (SELECT size FROM x), (SELECT size FROM x) + unnest(range(1, size)) FROM y) LEFT JOIN merged f ON f.old = p LEFT JOIN merged t ON t.old = q))",
+        ]
     status = f"CASE WHEN stars = 0 THEN '{mining.NO_STAR}' WHEN stars = 1 THEN '{mining.ONE_STAR}' WHEN edges = 0 THEN '{mining.NOT_CONNECTED}' ELSE '{mining.COMBINED}' END"
     rows = "SELECT 'status' AS kind, CAST(NULL AS INTEGER) AS a, CAST(NULL AS INTEGER) AS b, " + status + " AS label FROM n"
-    rows += " UNION ALL SELECT 'vertex', CAST(u AS INTEGER), NULL, label FROM vs WHERE (SELECT edges FROM n) > 0 UNION ALL SELECT 'edge', CAST(p AS INTEGER), CAST(q AS INTEGER), NULL FROM es WHERE (SELECT edges FROM n) > 0"
+    rows += " UNION ALL SELECT 'vertex', CAST(u AS INTEGER), NULL, label FROM {vs} WHERE (SELECT edges FROM n) > 0 UNION ALL SELECT 'edge', CAST(p AS INTEGER), CAST(q AS INTEGER), NULL FROM {es} WHERE (SELECT edges FROM n) > 0"
+    rows = rows.replace("{vs}", "vs_" if merge else "vs").replace("{es}", "es_" if merge else "es")
     return sql.query(rows, *tables)
 
 
-@query(_combined_sql())
-def combined_stars(spark, sf_dir):
-    """What came of combining the two most frequent stars, and the pattern's vertices and edges."""
+def _combined(spark, sf_dir, connection):
     g = trade_graph(spark, sf_dir).cached()
-    made = mining.combine_stars(g, mining.frequent_profiles(g, _SHARE, 2), 20, 2, "edge", 1)
+    made = mining.combine_stars(g, mining.frequent_profiles(g, _SHARE, 2), 20, 2, connection, 1)
     rows = [("status", None, None, made.status)]
     if made.pattern:
         rows += [("vertex", u, None, label) for u, label in sorted(made.pattern.labels.items())] + [("edge", a, b, None) for a, b in sorted(made.pattern.edges)]
     return spark.createDataFrame(rows, "kind string, a int, b int, label string")
 
 
+@query(_combined_sql())
+def combined_stars(spark, sf_dir):
+    """What came of linking the two most frequent stars, and the pattern's vertices and edges."""
+    return _combined(spark, sf_dir, "edge")
+
+
+@query(_combined_sql(merge=True))
+def merged_stars(spark, sf_dir):
+    """What came of merging leaves of the two most frequent stars, and the pattern's vertices and edges."""
+    return _combined(spark, sf_dir, "merge")
+
+
 # Samples
 
 _LANES, _SIZE = 20, 3
