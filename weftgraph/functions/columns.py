@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections import Counter
 from functools import reduce
 
@@ -63,6 +64,14 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """df, written to the shared folder as a table in as many sorted buckets as shuffle partitions, so that joins and groups by the column do not shuffle it."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"weftgraph_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset, a temporary one if Spark runs in this process alone, and an error on a cluster."""
     context = spark.sparkContext

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import materialised, tokens
+from weftgraph.functions.columns import bucketed, materialised, tokens
 from weftgraph.plans.pattern import Pattern
 
 
@@ -17,6 +17,7 @@ class LabeledGraph:
 
     vertices: DataFrame
     edges: DataFrame
+    near: DataFrame | None = None  # both directions, where they are written
 
     @classmethod
     def of(cls, vertices: DataFrame, edges: DataFrame) -> LabeledGraph:
@@ -29,12 +30,15 @@ class LabeledGraph:
         return cls(spark.createDataFrame(sorted(pattern.labels.items()), "id long, label string"), spark.createDataFrame(sorted(pattern.edges), "src long, dst long"))
 
     def cached(self) -> LabeledGraph:
-        """Both tables written to the shared folder, for plans of several actions."""
-        return LabeledGraph(materialised(self.vertices), materialised(self.edges))
+        """Both tables written to the shared folder, for plans of several actions; the edges in both directions, in buckets by src."""
+        near = bucketed(self.adj, "src")
+        return LabeledGraph(materialised(self.vertices), near.filter("src < dst"), near)
 
     @property
     def adj(self) -> DataFrame:
         """src, dst in both directions."""
+        if self.near is not None:
+            return self.near
         return self.edges.unionByName(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
     def degrees(self) -> DataFrame:

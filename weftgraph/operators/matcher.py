@@ -20,32 +20,32 @@ from weftgraph.plans.planner import DYNAMIC, Step, graphql_order, processing_ord
 ENUMERATIONS = ("groundTruth", "graphQL", "quickSI", "DAF", "VEQs")
 
 
-def _linked(part: DataFrame, adj: DataFrame, a: str, b: str, how: str) -> DataFrame:
-    edge = adj.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
-    return part.join(edge, (F.col(a) == F.col("_s")) & (F.col(b) == F.col("_d")), how)
+def _linked(part: DataFrame, near: DataFrame, v: int, name: str, how: str) -> DataFrame:
+    edge = near.select(F.col("_from").alias("_v"), F.col(name).alias("_x"))
+    return part.join(edge, (F.col(f"m{v}") == F.col("_v")) & (F.col(name) == F.col("_x")), how)
 
 
 def extend(part: DataFrame | None, graph: LabeledGraph, pairs: DataFrame, step: Step, induced: bool, injective: bool = True) -> DataFrame:
-    """The partial matches with one more vertex."""
+    """The partial matches with one more vertex. Of adjacency only the edges of the vertex's candidates take part, met in its buckets."""
     name = f"m{step.vertex}"
     own = pairs.filter(F.col("u") == step.vertex).select(F.col("v").alias(name))
     if part is None:
         return own
     before = part.columns
+    near = own.join(graph.adj, F.col(name) == F.col("src")).select(F.col("dst").alias("_from"), name)
     if step.parent is None:
         part = part.crossJoin(own)  # another component of the pattern
     else:
-        near = graph.adj.select(F.col("src").alias("_from"), F.col("dst").alias(name)).join(own, name, "left_semi")
         part = part.join(near, F.col(f"m{step.parent}") == F.col("_from")).drop("_from")
     if injective:
         for c in before:
             if c != f"m{step.parent}":  # no vertex is its own neighbour
                 part = part.filter(F.col(c) != F.col(name))
     for v in step.extra:
-        part = _linked(part, graph.adj, f"m{v}", name, "left_semi")
+        part = _linked(part, near, v, name, "left_semi")
     if induced:
         for v in step.absent:
-            part = _linked(part, graph.adj, f"m{v}", name, "left_anti")
+            part = _linked(part, near, v, name, "left_anti")
     return part
 
 
