@@ -4,6 +4,7 @@ import random
 import pytest
 
 from weftgraph.functions.columns import COMPLETE, SUBSETS
+from weftgraph.operators import backtrack
 from weftgraph.operators import candidates as cand
 from weftgraph.operators import estimate as est
 from weftgraph.operators import matcher
@@ -143,6 +144,43 @@ def test_dynamic_order_against_depth_first_search(spark, induced):
         assert {tuple(r) for r in plan.matches(induced).collect()} == found
 
 
+@pytest.mark.parametrize("induced", [False, True])
+def test_failing_sets_lose_no_match(spark, induced):
+    """Without cuts, the counters are those of a plain search; with them, fewer calls find as many matches."""
+    rng = random.Random(11)
+    fewer = 0
+    for k in range(3):
+        target = _random(rng, 11, "AB", 0.4)
+        pattern = Pattern.of(["A", "B", "A", "B", "A"], [(0, 1), (1, 2), (2, 3), (0, 4)] + [(1, 4)] * (k % 2))
+        g = LabeledGraph.from_pattern(spark, target).cached()
+        pairs = cand.materialised(cand.label_degree(g, pattern))
+        plan = matcher.Plan(g, pattern, pairs, pattern.vertices, cand.sizes(pairs, pattern))
+        own = {u: {r["v"] for r in pairs.filter(f"u = {u}").collect()} for u in pattern.vertices}
+        plain = dict.fromkeys(backtrack.COUNTERS, 0)
+
+        def search(m):
+            u = len(m)
+            if u == len(pattern.vertices):
+                plain["n_full"] += 1
+                return
+            left = [x for x in own[u] if all(target.adjacent(x, m[w]) for w in pattern.neighbours(u) if w < u)]
+            plain["n_empty"] += not left and u > 0
+            for x in left:
+                plain["n_calls"] += 1
+                if x in m:
+                    plain["n_conflicts"] += 1
+                elif not (induced and any(target.adjacent(x, m[w]) for w in range(u) if not pattern.adjacent(u, w))):
+                    search([*m, x])
+
+        search([])
+        whole = backtrack.failing_set_counters(plan, induced, cut=False).first().asDict()
+        assert whole == plain
+        found = backtrack.failing_set_counters(plan, induced).first().asDict()
+        assert found["n_full"] == plain["n_full"] and found["n_calls"] <= plain["n_calls"]
+        fewer += found["n_calls"] < plain["n_calls"]
+    assert fewer
+
+
 def test_report_is_ordered(spark):
     g = LabeledGraph.from_pattern(spark, K3)
     rows = matcher.report(matcher.embeddings(g, K3, cand.label_degree(g, K3), [0, 1, 2], True), K3).orderBy("idx").collect()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import COMPLETE, SUBSETS
 from weftgraph.operators import candidates as cand
+from weftgraph.operators import backtrack
 from weftgraph.operators import estimate as est
 from weftgraph.operators import evaluate, generate, matcher, mining
 from weftgraph.operators.graph import LabeledGraph
@@ -40,6 +41,8 @@ def known_graphs(spark, a):
     stats = spark.createDataFrame([(a.query, a.target, a.candidates, a.order, a.enumeration, int(calls), plan.pruned_locally, plan.pruned_globally, plan.refined, float(plan.order_cost))], "query string, target string, candidates string, processing_order string, enumeration string, n_backtracking long, pruned_locally long, pruned_globally long, refined long, order_cost double")
     stats.write.parquet(f"{a.out}-stats")
     profile.write.parquet(f"{a.out}-levels")
+    if a.enumeration == "DAF":
+        backtrack.failing_set_counters(plan, a.induced).write.parquet(f"{a.out}-failing-sets")
 
 
 def _estimated(spark, a, query: str):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import SUBSETS, quantiles, shared_folder
+from weftgraph.operators import backtrack
 from weftgraph.operators import candidates as cand
 from weftgraph.operators import estimate as est
 from weftgraph.operators import evaluate, generate, matcher, mining
@@ -298,6 +299,14 @@ def backtracking_cost(spark, sf_dir):
     return matcher.search_profile(plan, True).select("level", "vertex", "n_partial", "n_candidates", "n_calls")
 
 
+@query(sql.query(f"SELECT (SELECT count(*) FROM ({sql.matches(STAR, True)})) AS n_full", *sql.candidate_tables(STAR, False)))
+def failing_set_matches(spark, sf_dir):
+    """The matches that a depth-first search with failing sets counts."""
+    g = trade_graph(spark, sf_dir).cached()
+    pairs = cand.materialised(cand.label_degree(g, STAR))
+    return backtrack.failing_set_counters(matcher.Plan(g, STAR, pairs, STAR.vertices, {}), True).select("n_full")
+
+
 def _levels_sql() -> str:
     parts = []
     for i, u in enumerate(STAR.vertices):
