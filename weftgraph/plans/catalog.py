@@ -16,7 +16,7 @@ from weftgraph.operators import evaluate, generate, matcher, mining
 from weftgraph.operators.graph import LabeledGraph
 from weftgraph.plans import oracle as sql
 from weftgraph.plans.pattern import Pattern
-from weftgraph.plans.planner import directed, graphql_order, skeleton
+from weftgraph.plans.planner import ancestors, breadth_first_order, directed, graphql_order, skeleton
 from weftgraph.sources import formats
 from weftgraph.sources.datasets import table, trade_graph
 
@@ -108,6 +108,19 @@ def distances_from_nation(spark, sf_dir):
 _REACH = "reach AS (SELECT id, id AS other FROM vertices UNION SELECT r.id, a.dst FROM reach r JOIN adj a ON a.src = r.other)"
 
 
+_AROUND = """near AS MATERIALIZED (SELECT 3::BIGINT AS id UNION SELECT dst FROM adj WHERE src = 3), inside AS MATERIALIZED (SELECT * FROM adj WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)),
+walk AS (SELECT id AS root, id, 0 AS dist FROM near UNION SELECT root, dst, dist + 1 FROM walk JOIN inside ON src = id WHERE dist < 4)"""
+
+
+@query(sql.query("SELECT max(dist) AS diameter, max(n) = (SELECT count(*) FROM near) AS connected FROM (SELECT root, id, min(dist) AS dist, count(*) OVER (PARTITION BY root) AS n FROM walk GROUP BY root, id)", _AROUND, recursive=True))
+def nation_diameter(spark, sf_dir):
+    """The longest shortest path between a nation and those who are in it, by edges among them."""
+    g = trade_graph(spark, sf_dir).cached()
+    ids = g.adj.filter("src = 3").select(F.col("dst").alias("id")).unionByName(spark.createDataFrame([(3,)], "id long"))
+    part = g.induced(ids)
+    return spark.createDataFrame([(part.diameter(), part.connected())], "diameter int, connected boolean")
+
+
 @query(sql.query("SELECT component, count(*) AS n FROM (SELECT id, min(other) AS component FROM reach GROUP BY id) GROUP BY component", _REACH, recursive=True))
 def component_sizes(spark, sf_dir):
     return trade_graph(spark, sf_dir).components().groupBy("component").agg(F.count("*").alias("n"))
@@ -331,7 +344,40 @@ def match_report(spark, sf_dir):
     return matcher.report(star_induced(spark, sf_dir), STAR).select(F.col("idx").cast("long").alias("idx"), "mapping")
 
 
-@query()
+def _orders_sql() -> str:
+    """A greedy order is, of all permutations, the first by what each of its steps chooses by; layers and breadth-first walks from each vertex of the kite are written out."""
+    us, edges = KITE.vertices, sorted(KITE.edges)
+    degree = lambda c: f"(CASE {c} " + " ".join(f"WHEN {u} THEN {KITE.degree(u)}" for u in us) + " END)"
+    size = lambda c: f"(SELECT n FROM sizes WHERE u = {c})"
+    linked = lambda a, b: f"(({a}, {b}) IN ({', '.join(str(e) for e in [*edges, *[(b, a) for a, b in edges]])}))"
+    perms = "perms AS (SELECT a.u AS p1, b.u AS p2, c.u AS p3, d.u AS p4 FROM sizes a, sizes b, sizes c, sizes d WHERE a.u <> b.u AND a.u <> c.u AND a.u <> d.u AND b.u <> c.u AND b.u <> d.u AND c.u <> d.u)"
+    links = lambda k: "(" + " + ".join(f"CAST({linked(f'p{j}', f'p{k}')} AS INTEGER)" for j in range(1, k)) + ")"
+    steps = ["1.0::DOUBLE * " + size("p1")]
+    for k in range(2, 5):
+        steps.append(f"c{k - 1} * {size(f'p{k}')} * pow(0.5, {links(k)})")
+    costed = "perms"
+    for k, step in enumerate(steps, 1):
+        costed = f"(SELECT *, {step} AS c{k} FROM {costed})"
+    name = "p1 || ',' || p2 || ',' || p3 || ',' || p4"
+    tables = [
+        "sizes AS MATERIALIZED (SELECT u, (CASE u " + " ".join(f"WHEN {u} THEN (SELECT count(*) FROM c{u})" for u in us) + f" END) AS n FROM (VALUES {', '.join(f'({u})' for u in us)}) t (u))",
+        "weights AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, (SELECT count(*) FROM adj WHERE src IN (SELECT v FROM c{a}) AND dst IN (SELECT v FROM c{b})) AS w" for a, b in edges) + ")",
+        "ends AS (SELECT a, b, w FROM weights UNION ALL SELECT b, a, w FROM weights)",
+        perms,
+        f"greedy AS (SELECT {name} AS vertices, c1 + c2 + c3 + c4 AS cost FROM {costed} ORDER BY c1, p1, c2, p2, c3, p3, c4, p4 LIMIT 1)",
+        # the lightest edge first, its ends by size; then the vertex of the lightest edge into the tree
+        f"""light AS (SELECT {name} AS vertices FROM perms JOIN ends e ON e.a = p1 AND e.b = p2 AND ({size('p1')}, -{degree('p1')}, p1) < ({size('p2')}, -{degree('p2')}, p2)
+            ORDER BY e.w, -({degree('p1')} + {degree('p2')}), least(p1, p2), greatest(p1, p2),
+            (SELECT min(w) FROM ends WHERE b = p3 AND a IN (p1, p2)) NULLS LAST, -{links(3)}, -{degree('p3')}, p3, (SELECT min(w) FROM ends WHERE b = p4 AND a IN (p1, p2, p3)) LIMIT 1)""",
+        "walks (root, vertices) AS (VALUES (0, '0,1,2,3'), (1, '1,0,2,3'), (2, '2,0,1,3'), (3, '3,0,1,2'))",
+        "layers (root, u, layer) AS (VALUES (0, 0, 0), (0, 1, 1), (0, 2, 1), (0, 3, 1), (1, 1, 0), (1, 0, 1), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 0, 1), (2, 1, 1), (2, 3, 2), (3, 3, 0), (3, 0, 1), (3, 1, 2), (3, 2, 2))",
+        f"rows AS (SELECT 'graphQL' AS method, vertices FROM greedy UNION ALL SELECT 'quickSI', vertices FROM light UNION ALL SELECT 'groundTruth', vertices FROM walks WHERE root = (SELECT u FROM sizes ORDER BY n, u LIMIT 1)"
+        f" UNION ALL SELECT 'DAF', string_agg(CAST(l.u AS VARCHAR), ',' ORDER BY l.layer, s.n, -{degree('l.u')}, l.u) FROM layers l JOIN sizes s ON s.u = l.u WHERE l.root = (SELECT u FROM sizes ORDER BY n / {degree('u')}, u LIMIT 1))",
+    ]
+    return sql.query("SELECT method, vertices, cost FROM rows, (SELECT cost FROM greedy)", *sql.candidate_tables(KITE, True), *tables)
+
+
+@query(_orders_sql())
 def order_cost(spark, sf_dir):
     """Orders of all methods with the estimated cost."""
     g = trade_graph(spark, sf_dir).cached()
@@ -344,6 +390,39 @@ def order_cost(spark, sf_dir):
     return spark.createDataFrame(rows, "method string, vertices string, cost double")
 
 
+_TAIL = Pattern.of(["A", "B", "C", "D", "E", "F"], [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (1, 4)])
+_TAIL_ORDER = [3, 5, 0, 4, 2, 1]
+_TAIL_SQL = f"""WITH RECURSIVE e AS (SELECT * FROM (VALUES {', '.join(map(str, sorted(_TAIL.edges)))}) t (a, b) UNION SELECT b, a FROM (VALUES {', '.join(map(str, sorted(_TAIL.edges)))}) t (a, b)),
+given (u, place) AS (VALUES {', '.join(str((u, i)) for i, u in enumerate(_TAIL_ORDER))}),
+walk AS (SELECT u AS root, u, 0 AS layer FROM given UNION SELECT root, e.b, layer + 1 FROM walk JOIN e ON e.a = u WHERE layer < 6),
+layers AS (SELECT root, u, min(layer) AS layer FROM walk GROUP BY root, u),
+firsts AS (SELECT DISTINCT arg_min(l.root, g.place) OVER (PARTITION BY l.u) AS root, l.u FROM layers l JOIN given g ON g.u = l.root),
+placed AS (SELECT f.u, row_number() OVER (ORDER BY r.place, l.layer, g.place) - 1 AS place FROM firsts f JOIN layers l ON l.root = f.root AND l.u = f.u JOIN given r ON r.u = f.root JOIN given g ON g.u = f.u),
+dag AS (SELECT x.u AS a, y.u AS b FROM e JOIN placed x ON x.u = e.a JOIN placed y ON y.u = e.b WHERE x.place < y.place),
+above AS (SELECT b AS u, a FROM dag UNION SELECT v.u, d.a FROM above v JOIN dag d ON d.b = v.a),
+tree AS (SELECT g.u, (SELECT h.u FROM given h JOIN e ON e.a = h.u AND e.b = g.u WHERE h.place < g.place ORDER BY h.place DESC LIMIT 1) AS parent,
+    (SELECT count(*) FROM given h JOIN e ON e.a = h.u AND e.b = g.u WHERE h.place < g.place) AS links, (SELECT count(*) FROM e WHERE a = g.u) AS degree, g.place FROM given g)
+SELECT t.u AS vertex, CAST(p.place AS INTEGER) AS breadth_first, CAST((SELECT count(*) FROM above a WHERE a.u = t.u) AS INTEGER) AS n_ancestors, CAST((SELECT count(*) FROM dag d WHERE d.a = t.u) AS INTEGER) AS n_children,
+    t.parent, CAST(greatest(t.links - 1, 0) AS INTEGER) AS n_extra, CAST(t.place - t.links AS INTEGER) AS n_absent, CAST(t.degree AS INTEGER) AS degree FROM tree t JOIN placed p ON p.u = t.u"""
+
+
+@query(_TAIL_SQL)
+def pattern_plan(spark, sf_dir):
+    """For a pattern of two components and an order: its breadth-first form, the directed pattern with ancestors, and the steps of the join."""
+    edges, place = directed(_TAIL, _TAIL_ORDER), breadth_first_order(_TAIL, _TAIL_ORDER)
+    rows = [(s.vertex, place.index(s.vertex), len(ancestors(edges, s.vertex)), sum(a == s.vertex for a, _ in edges), s.parent, len(s.extra), len(s.absent), s.degree) for s in skeleton(_TAIL, _TAIL_ORDER)]
+    return spark.createDataFrame(rows, "vertex int, breadth_first int, n_ancestors int, n_children int, parent int, n_extra int, n_absent int, degree int")
+
+
+_VARIANTS = (("quickSI", "graphQL"), ("DAF", "DAF"), ("groundTruth", "dynamic"))
+
+
+@query(sql.query(f"SELECT algorithm, size, n_matches FROM (VALUES {', '.join(repr(f'B_{e}_PO_{o}_C_graphQL').join('()') for e, o in _VARIANTS)}) t (algorithm), (SELECT 3 AS size, count(*) AS n_matches FROM ({sql.matches(PATH, True)}))", *sql.candidate_tables(PATH, False)))
+def comparison_runs(spark, sf_dir):
+    """A pattern's matches by several variants."""
+    return evaluate.run_comparison(trade_graph(spark, sf_dir).cached(), [PATH], True, _VARIANTS).select("algorithm", "size", "n_matches")
+
+
 # Estimates
 
 _WALKS = 500
@@ -393,6 +472,19 @@ def walk_estimate(spark, sf_dir):
     return est.summary(_walks(spark, sf_dir)[2]).select("n", F.round("mean", 6).alias("mean"), F.round("half_width", 6).alias("half_width"), "estimate")
 
 
+_BATCHES = ", ".join(f"({k})" for k in range(100, _WALKS + 1, 100))
+
+
+@query(_walk_sql(f"""SELECT n, round(mean, 6) AS mean, round(half_width, 6) AS half_width FROM (SELECT k AS n, avg(weight) AS mean, 1.96 * stddev_samp(weight) / sqrt(count(*)) AS half_width
+    FROM (VALUES {_BATCHES}) t (k) JOIN s2 ON walk < k GROUP BY k) WHERE half_width < 40 OR n = {_WALKS} ORDER BY n LIMIT 1"""))
+def estimate_until_sure(spark, sf_dir):
+    """Walks in batches of 100 until the estimate is within 40, or 500 are made."""
+    g = trade_graph(spark, sf_dir).cached()
+    pairs = cand.materialised(cand.label_degree_profile(g, TRIANGLE))
+    found = est.estimate(g, TRIANGLE, pairs, TRIANGLE.vertices, 40.0, _WALKS, batch=100)
+    return found.select(F.col("n").cast("int").alias("n"), F.round("mean", 6).alias("mean"), F.round("half_width", 6).alias("half_width"))
+
+
 @query(_walk_sql(f"SELECT a.actual, e.estimate, round(CASE WHEN actual <> 0 THEN abs(actual - estimate) / CAST(actual AS DOUBLE) WHEN estimate = 0 THEN 0.0 ELSE 1.0 END, 9) AS error FROM (SELECT count(*) AS actual FROM ({sql.matches(TRIANGLE, True)})) a, ({_SUMMARY}) e"))
 def estimate_error(spark, sf_dir):
     g, pairs, walks = _walks(spark, sf_dir)
@@ -641,6 +733,13 @@ def comparison_series(spark, sf_dir):
     return evaluate.series(evaluate.compare_algorithms(_runs(spark, sf_dir))).select("algorithm", "size", F.round("matchings", 6).alias("matchings"), F.round("log_backtracking", 9).alias("log_backtracking"))
 
 
+@query("SELECT size, " + ", ".join(f"round(avg(CASE WHEN algorithm LIKE '{k}%' THEN n_backtracking END), 6) AS a{k}" for k in range(1, 6)) + f" FROM ({_RUNS}) GROUP BY size")
+def comparison_table(spark, sf_dir):
+    """A row for each size, a column for each algorithm."""
+    table_ = evaluate.size_table(evaluate.compare_algorithms(_runs(spark, sf_dir)))
+    return table_.select("size", *[F.round(F.col(f"`{c}`"), 6).alias(f"a{c[0]}") for c in table_.columns if c != "size"])
+
+
 _HARD = "SELECT CAST(p_size % 3 * 10 + 5 AS INTEGER) AS size, CAST(p_partkey % 7 AS INTEGER) AS de, CAST(p_partkey % 12 AS INTEGER) AS di, CASE WHEN p_size > 20 THEN 'hard' ELSE 'possibly hard' END AS status, p_retailprice AS estimate, CAST(p_partkey % 4 AS INTEGER) AS n_isomorphic FROM part"
 
 
@@ -674,6 +773,15 @@ def probability_grid(spark, sf_dir):
     return evaluate.probability_grid(lines.unionByName(spark.createDataFrame([("Probabilities",)], "value string")))
 
 
+@query("SELECT CAST(s_suppkey % 9 AS INTEGER) AS size, " + ", ".join(f"max(CASE WHEN s_nationkey = {k} THEN round(abs(s_acctbal) / 20000, 4) END) AS d{k}" for k in range(25)) + " FROM (SELECT * FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey % 9, s_nationkey ORDER BY abs(s_acctbal) DESC) = 1) GROUP BY s_suppkey % 9")
+def probability_pivot(spark, sf_dir):
+    """A row for each size, a column for each degree; of a cell's suppliers the one with the largest account."""
+    s = table(spark, sf_dir, "supplier")
+    cells = s.groupBy((F.col("s_suppkey") % 9).cast("int").alias("size"), F.col("s_nationkey").alias("degree")).agg(F.max(F.round(F.abs("s_acctbal") / 20000, 4)).alias("p"))
+    found = evaluate.probability_table(cells)
+    return found.select("size", *[(F.col(f"`{k}`") if str(k) in found.columns else F.lit(None).cast("double")).alias(f"d{k}") for k in range(25)])
+
+
 @query("SELECT p_name, 'quickSI' AS enumeration, p_type AS candidate_order, 'graphQL' AS candidates, p_size AS size FROM part")
 def run_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -725,6 +833,16 @@ def graph_read_back(spark, sf_dir):
     return g.vertices.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "label").unionByName(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(None).cast("string").alias("label")))
 
 
+@query(sql.query("SELECT id AS a, CAST(NULL AS BIGINT) AS b, label FROM vertices UNION ALL SELECT src, dst, NULL FROM edges"))
+def igraph_read_back(spark, sf_dir):
+    """The graph written as lines of vertices, with a word for each token, and edges, each from the other end, and read again."""
+    path, g = f"{shared_folder(spark)}/igraph-{uuid.uuid4().hex}", trade_graph(spark, sf_dir)
+    lines = g.vertices.select(F.concat_ws(" ", F.lit("v"), "id", F.translate("label", ",", " ")).alias("value"))
+    lines.unionByName(g.edges.select(F.concat_ws(" ", F.lit("e"), "dst", "src", F.lit("x")).alias("value"))).write.text(path)
+    g = formats.read_graph(spark, path, "igraph")
+    return g.vertices.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "label").unionByName(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(None).cast("string").alias("label")))
+
+
 _STATS = """SELECT CAST(p_size % 3 * 10 + 5 AS INTEGER) AS size, CAST(p_partkey % 7 AS INTEGER) AS de, CAST(p_partkey % 12 AS INTEGER) AS di, CAST(p_partkey AS INTEGER) AS idx,
     CASE WHEN p_size > 20 THEN 'hard' WHEN p_size > 10 THEN 'possibly hard' ELSE 'none' END AS status, CASE WHEN p_size > 10 THEN p_retailprice END AS estimate, CASE WHEN p_size > 10 THEN CAST(p_partkey % 4 AS INTEGER) END AS n_isomorphic FROM part"""
 
