@@ -160,3 +160,18 @@ def test_plan_is_best_fit_decreasing():
                 assert offset == end
                 end += length
             assert end <= capacity
+
+
+def test_clusters_need_a_shared_folder():
+    class Session:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master, folder = "spark://head:7077", None
+            getCheckpointDir = classmethod(lambda cls: cls.folder)  # noqa: N815
+            setCheckpointDir = classmethod(lambda cls, folder: setattr(cls, "folder", folder))  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        C.shared_folder(Session)
+    Session.conf = {"spark.checkpoint.dir": "/shared/x"}
+    assert C.shared_folder(Session) == "/shared/x"
