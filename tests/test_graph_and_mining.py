@@ -5,6 +5,7 @@ from itertools import combinations_with_replacement
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.functions import columns
 from weftgraph.functions.columns import quantiles
 from weftgraph.operators import candidates as cand
 from weftgraph.operators import estimate as est
@@ -250,3 +251,18 @@ def test_command_line(spark, tmp_path):
     assert row["n"] == 2
     cli.main(["Estimate", str(tmp_path / "q"), str(tmp_path / "t"), str(tmp_path / "e")])
     assert spark.read.json(str(tmp_path / "e")).first()["n"] == 100
+
+
+def test_clusters_need_a_shared_folder():
+    class Session:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master, folder = "spark://head:7077", None
+            getCheckpointDir = classmethod(lambda cls: cls.folder)  # noqa: N815
+            setCheckpointDir = classmethod(lambda cls, folder: setattr(cls, "folder", folder))  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        columns.shared_folder(Session)
+    Session.conf = {"spark.checkpoint.dir": "/shared/x"}
+    assert columns.shared_folder(Session) == "/shared/x"
