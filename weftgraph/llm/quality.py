@@ -74,19 +74,20 @@ def fit(rows: list[tuple[int, bytes]], rounds: int = 250, ridge: float = 3e-3) -
     rows = sorted(rows)
     bins, n_rows = [np.frombuffer(r[1], "<i4") for r in rows], len(rows)
     grade = np.array([r[0] for r in rows])
-    every = np.concatenate(bins)
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) for b in bins])
+    every, length = np.concatenate(bins), [len(b) for b in bins]
     del bins
-    seen = np.bincount(every, minlength=BINS)
-    of_grade = np.stack([np.bincount(every[grade[doc] == k], minlength=BINS) for k in range(GRADES)])
+    ends = np.concatenate(([0], np.cumsum(length)))[np.searchsorted(grade, np.arange(GRADES + 1))]  # rows are in the order of grades
+    of_grade = np.stack([np.bincount(every[a:b], minlength=BINS) for a, b in zip(ends, ends[1:])])
+    seen = of_grade.sum(0)
     due = seen * of_grade.sum(1, keepdims=True) / max(len(every), 1)
     uneven = np.abs(of_grade - due) / np.sqrt(due + 1)
     used = np.flatnonzero((seen >= 2) & (uneven.max(0) >= min(UNEVEN, 0.05 * n_rows)))
-    place = np.full(BINS, -1)
+    place = np.full(BINS, -1, np.int32)
     place[used] = np.arange(len(used))
     at = place[every]
-    doc, at = doc[at >= 0].astype(np.int64), at[at >= 0]
     del every, seen, of_grade, due, uneven
+    kept = at >= 0
+    doc, at = np.repeat(np.arange(n_rows, dtype=np.int32), length)[kept].astype(np.int64), at[kept].astype(np.int64)
     share = 1 / (np.bincount(grade, minlength=GRADES)[grade] * len(set(grade.tolist())))
     w, low, gap = np.zeros(len(used)), -1.0, np.log(2.0)
     moments = [np.zeros(len(used) + 2), np.zeros(len(used) + 2)]
