@@ -49,13 +49,13 @@ def _needs(itemsets: DataFrame) -> DataFrame:
     return itemsets.select("items", F.element_at("items", 1).alias("label"), F.map_from_arrays(labels, counts).alias("needs"))
 
 
-def _holding(profiles: DataFrame, itemsets: DataFrame) -> DataFrame:
+def _holding(profiles: DataFrame, itemsets: DataFrame, few: bool) -> DataFrame:
     """items and the columns of profiles (profile: label to number) for each itemset that a profile holds as a multiset.
 
-    A profile meets the itemsets that begin with one of its labels; as many itemsets as FEW are sent to all executors.
+    A profile meets the itemsets that begin with one of its labels; a few itemsets are sent to all executors.
     """
     needs = _needs(itemsets)
-    needs = F.broadcast(needs) if itemsets.count() <= FEW else needs
+    needs = F.broadcast(needs) if few else needs
     met = profiles.select("*", F.explode(F.map_keys("profile")).alias("label")).join(needs, "label")
     return met.filter(F.forall(F.map_entries("needs"), lambda x: F.coalesce(F.col("profile")[x["key"]], F.lit(0)) >= x["value"])).drop("label", "needs")
 
@@ -71,25 +71,37 @@ def frequent_profiles(graph: LabeledGraph, min_support: float, longest: int | No
     profiles = graph.profile_maps().select(F.sort_array(F.map_entries("profile")).alias("entries")).groupBy("entries").agg(F.count("*").alias("many"))
     profiles = materialised(profiles.select(F.map_from_entries("entries").alias("profile"), "many"))
     enough = F.col("support") > min_support
-    level = profiles.select(F.explode(F.map_keys("profile")).alias("label"), "many").groupBy("label").agg(F.sum("many").alias("support")).filter(enough)
-    level = materialised(level.select(F.array("label").alias("items"), "support"))
-    found, k = level, 1
-    while (n := level.count()) and (longest is None or k < longest):
-        if n <= FEW:
-            grown = _grown(sorted(tuple(r["items"]) for r in level.collect()))
+    level = profiles.select(F.explode(F.map_keys("profile")).alias("label"), "many").groupBy("label").agg(F.sum("many").alias("support"))
+    level = level.select(F.array("label").alias("items"), "support").filter(enough)
+    schema, found, known, k = "items array<string>, support long", None, [], 1
+    while True:
+        # a level that the driver can hold comes as rows, one job each; a larger one is written
+        rows = level.limit(FEW + 1).collect()
+        if small := len(rows) <= FEW:
+            known += [(r["items"], r["support"]) for r in rows]
+        else:
+            level = materialised(level)
+            found = level if found is None else found.unionByName(level)
+        if not rows or k == longest:
+            break
+        if small:
+            grown = _grown(sorted(tuple(r["items"]) for r in rows))
             if not grown:
                 break
-            grown = spark.createDataFrame([(list(x),) for x in grown], "items array<string>")
+            itemsets, few = spark.createDataFrame([(list(x),) for x in grown], "items array<string>"), len(grown) <= FEW
         else:
-            grown = materialised(prune(generate(level), level))
-        level = materialised(_holding(profiles, grown).groupBy("items").agg(F.sum("many").alias("support")).filter(enough))
-        found, k = found.unionByName(level), k + 1
-    return found
+            itemsets = materialised(prune(generate(level), level))
+            few = itemsets.count() <= FEW
+        level = _holding(profiles, itemsets, few).groupBy("items").agg(F.sum("many").alias("support")).filter(enough)
+        k += 1
+    held = spark.createDataFrame(known, schema)
+    return held if found is None else held.unionByName(found)
 
 
 def supporters(graph: LabeledGraph, itemsets: DataFrame) -> DataFrame:
     """items, id: the vertices whose profile holds the itemset."""
-    return _holding(graph.profile_maps(), itemsets.select("items")).select("items", "id")
+    itemsets = materialised(itemsets.select("items"))
+    return _holding(graph.profile_maps(), itemsets, itemsets.count() <= FEW).select("items", "id")
 
 
 def supporter_ids(graph: LabeledGraph, itemsets: DataFrame) -> DataFrame:
