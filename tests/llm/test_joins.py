@@ -108,6 +108,31 @@ def test_open_pairs_are_all_that_pass(spark, monkeypatch):
         assert any(min(members[x, a][0] - members[x, a][1], members[x, b][0] - members[x, b][1]) < -(-75 * (members[x, a][0] + members[x, b][0]) // 175) for x in shared)
 
 
+def test_open_pairs_stop_at_parity_maps(spark, monkeypatch):
+    """Of a hundred texts that share a passage but are not alike, hardly a pair goes on to the check; none that links is lost."""
+    rng, shingler, checked = random.Random(5), ngram_join.Shingler(), []
+    passage = [f"p{i}" for i in range(80)]
+    texts = [" ".join(passage + [f"v{rng.randrange(10**9)}" for _ in range(60)]) for _ in range(100)]
+    texts += [" ".join(t.split()[:-k]) for t, k in zip(texts, range(1, 11))]
+    found = [shingler(t) for t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            apart = int(np.bitwise_count((ngram_join.parities(found[a]) ^ ngram_join.parities(found[b])).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(found[a], found[b]))
+    plain = ngram_join._checked
+
+    def counting(docs, per, pairs, *rest):
+        checked.append(pairs.count())
+        return plain(docs, per, pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_checked", counting)
+    # the passage's shingles are the common ones; hold the order by rarity off, so that they stand in the prefixes
+    monkeypatch.setattr(ngram_join, "levels", lambda counted: bytes(ngram_join.COUNTERS))
+    rows = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i if i < 100 else i - 100 for i in range(110)}
+    assert sum(checked) < 1000  # of 5995 pairs
+
+
 def test_jaccard_edge_rows(spark):
     long = " ".join(f"x{i}" for i in range(30000))
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, None), (None, None), (9, long), (8, long + " y")]

@@ -10,7 +10,8 @@
 4. A short list gives all such pairs. A long one gives chains in three orders; once their
    links are known, it gives only pairs of classes that are not yet connected, of sizes that can be alike, a few
    hundred members against a few hundred in a task. So thousands of near copies are not multiplied out and yet no connection is
-   missed. A very long list is dealt to several tasks, with leaders of all its parts in one more.
+   missed. Those pairs must also pass a bound by parity maps (``parities``). A very long list is dealt to several tasks, with
+   leaders of all its parts in one more.
 5. What the counted common shingles and the suffixes can add up to is the suffix filter. Each
    pair that is left is checked once on the whole sets.
 """
@@ -38,6 +39,8 @@ SHORT = 12
 HOT = 1_000_000
 #: Members of a list that are matched with as many others at once, where pairs that are not connected yet are looked for.
 CHUNK = 256
+#: Bits of a set's parity map; a multiple of 64.
+BITS = 1024
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -84,6 +87,12 @@ class Shingler:
         return renamed.get(ids, ids[0])
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """BITS bits, each the parity of the number of shingles that fall on it. Two sets' maps differ in no more bits than the sets have shingles not in common."""
+    odd = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def needed(na, nb, percent: int):
     """The least size of an intersection with the asked share of the union."""
     return -(-percent * (na + nb) // (100 + percent))
@@ -95,18 +104,19 @@ def _passes(na, nb, ia, ib, percent: int):
 
 
 def classes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, node, second (both hashes of the set) of each document; and, with a part, the counts of shingles by counter."""
+    """doc_id, n, node, second (both hashes of the set), bits (its parity map) of each document; and, with a part, the counts of shingles by counter."""
 
     def run(batches):
         shingles, counts = C.held(("shingles", size), lambda: Shingler(size)), np.zeros(COUNTERS, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("second", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("second", pa.int64()), ("bits", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             ids, texts = C.rows_of(batch, "doc_id", "text")
-            sizes, nodes, waiting, held = [], [], [], 0
+            sizes, nodes, maps, waiting, held = [], [], [], [], 0
             for text in texts:
                 found = shingles(text)
                 sizes.append(len(found))
                 nodes.append(shingles.ids(found))
+                maps.append(parities(found))
                 waiting.append(found % np.uint64(COUNTERS))
                 held += len(found)
                 if held > 2_000_000:
@@ -115,13 +125,13 @@ def classes(docs: DataFrame, size: int) -> DataFrame:
             if held:
                 np.add.at(counts, np.concatenate(waiting).astype(np.int64), 1)
             none = [None] * len(ids)
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": sizes, "node": [x[0] for x in nodes], "second": [x[1] for x in nodes], "part": none, "counts": none}, schema)
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": sizes, "node": [x[0] for x in nodes], "second": [x[1] for x in nodes], "bits": maps, "part": none, "counts": none}, schema)
         if counts.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PARTS)]
             none = [None] * PARTS
-            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "node": none, "second": none, "part": range(PARTS), "counts": parts}, schema)
+            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "node": none, "second": none, "bits": none, "part": range(PARTS), "counts": parts}, schema)
 
-    return docs.mapInArrow(run, T.StructType.fromDDL("doc_id long, n long, node long, second long, part int, counts binary"))
+    return docs.mapInArrow(run, T.StructType.fromDDL("doc_id long, n long, node long, second long, bits array<long>, part int, counts binary"))
 
 
 def per_node(of: DataFrame) -> DataFrame:
@@ -391,14 +401,15 @@ def grouped(docs: DataFrame, size: int, percent: int, hot: int = HOT) -> tuple[D
     docs = C.pick(docs, "doc_id", "text")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = C.checkpointed(classes(docs, size))
-    of = first.filter("part is null").select("doc_id", "n", "node", "second")
+    of = first.filter("part is null").select("doc_id", "n", "node", "second", "bits")
     per = per_node(of)
     renamed = namesakes(of, per)
     if renamed:
         names = docs.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "node long, second long, name long")
         of = of.join(F.broadcast(names), ["node", "second"], "left").withColumn("node", F.coalesce("name", "node")).drop("name")
         per = per_node(of)
-    of = of.drop("second")
+    bits = of.filter("node is not null").select("node", "bits").dropDuplicates(["node"])
+    of = of.drop("second", "bits")
     level = levels(first.filter("part is not null").select("part", "counts"))
     found = C.checkpointed(lists(prefixes(docs, level, size, percent, 8 * partitions, hot, renamed), percent, partitions))
     members = found.filter("list is not null").select("list", F.col("a").alias("node"), F.col("n_a").alias("n"), "place")
@@ -406,7 +417,7 @@ def grouped(docs: DataFrame, size: int, percent: int, hot: int = HOT) -> tuple[D
     links = _checked(docs, per, pairs, size, percent, renamed)
     joined = C.checkpointed(connected(links))
     if not members.isEmpty():
-        more = C.checkpointed(open_pairs(members, joined, percent).join(pairs, ["a", "b"], "left_anti"))
+        more = C.checkpointed(open_pairs(members, joined, percent, bits).join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             joined = C.checkpointed(connected(links.unionByName(_checked(docs, per, more, size, percent, renamed))))
     named = per.select("node", "least", "rows").join(joined, "node", "left")
@@ -418,9 +429,11 @@ def grouped(docs: DataFrame, size: int, percent: int, hot: int = HOT) -> tuple[D
     return full.unionByName(of.filter("node is null").select("doc_id", "n", "node", none.alias("component"), F.col("doc_id").alias("component_id"))), renamed
 
 
-def open_pairs(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+def open_pairs(members: DataFrame, joined: DataFrame, percent: int, bits: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a, b) of members of a list that pass the filters and are not connected yet, each from the first list that both are in.
 
+    bits: node, bits (parity map) of all nodes; without it, that bound is left out. Maps that differ in h bits leave at most (n_a + n_b - h) / 2 shingles in common, so members of a
+    group of near copies that few others are like do not meet the whole group in the check. Maps of sets far larger than BITS stop little.
     Later lists cannot let a pair through that the first one stops, as places only grow. Members are dealt by classes of size, so that
     sets that can be alike are in one class or in two that touch, and the classes to parts of about CHUNK members; two parts meet in a task of their own.
     """
@@ -434,6 +447,8 @@ def open_pairs(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame
     lists_of = left.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("place", "list"))).alias("lists"))  # of one document's prefix
     earlier = F.transform(F.filter("lists", lambda x: x["place"] < F.col("place")), lambda x: x["list"])
     left = left.join(lists_of, "node").withColumn("earlier", earlier).drop("lists")
+    if bits is not None:
+        left = left.join(bits, "node")
     large = left.groupBy("list", "grade").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).filter("parts > 1")
     large = C.checkpointed(large)
     few = large.count() <= C.FEW
@@ -445,7 +460,7 @@ def open_pairs(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame
         return rows.join(F.broadcast(table) if few else table, ["list", grade], "left").withColumn(name, F.coalesce(name, one))
 
     own = parts_of(left, "parts", "grade").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    carried = ["node", "n", "place", "component", "earlier"]
+    carried = ["node", "n", "place", "component", "earlier", *(["bits"] if bits is not None else [])]
     renamed = lambda s: [F.col(c).alias(f"{c}_{s}") for c in carried]
     # a part meets those of its own class and of the next one: the first side goes to each of them, the second comes from each
     x = own.select("list", "grade", "part", "parts", *carried, F.explode(F.array(zero, one)).alias("step")).withColumn("other", F.col("grade") + F.col("step"))
@@ -459,7 +474,11 @@ def open_pairs(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame
     once = (F.col("step") == 1) | (F.col("part") < F.col("with")) | (F.col("node_x") < F.col("node_y"))
     close = once & (F.col("component_x") != F.col("component_y")) & (100 * low >= percent * high) & (rest >= _need(both, percent))
     first = F.size(F.array_intersect("earlier_x", "earlier_y")) == 0
-    met = x.join(y, ["list", "grade", "part", "step", "with"]).filter(close & first)
+    near = F.lit(True)
+    if bits is not None:
+        apart = sum(F.bit_count(F.col("bits_x")[k].bitwiseXOR(F.col("bits_y")[k])) for k in range(BITS // 64))
+        near = both - apart >= 2 * _need(both, percent)
+    met = x.join(y, ["list", "grade", "part", "step", "with"]).filter(close & first & near)
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
