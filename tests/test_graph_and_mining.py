@@ -10,6 +10,7 @@ from weftgraph.functions.columns import quantiles
 from weftgraph.operators import candidates as cand
 from weftgraph.operators import estimate as est
 from weftgraph.operators import evaluate, generate, mining
+from weftgraph.operators import graph as graphs
 from weftgraph.operators.graph import LabeledGraph
 from weftgraph.plans.pattern import Pattern
 from weftgraph.plans.planner import graphql_order
@@ -38,6 +39,21 @@ def test_degrees_profiles_components(spark):
     assert line.diameter() == 5 and [r["id"] for r in line.leaves().orderBy("id").collect()] == [0, 5]
 
 
+@pytest.mark.parametrize("pairs", [4_000_000, 12])
+def test_diameter_searches_from_few_vertices(spark, monkeypatch, pairs):
+    monkeypatch.setattr(graphs, "PAIRS", pairs)
+    roots, plain = [], LabeledGraph.distances
+    monkeypatch.setattr(LabeledGraph, "distances", lambda self, ids, *near: roots.append(ids.count()) or plain(self, ids, *near))
+    shapes = {"hub": ([(0, i) for i in range(1, 40)] + [(1, 2), (2, 3)], 2), "path": ([(i, i + 1) for i in range(7)], 7), "ring": ([(i, (i + 1) % 9) for i in range(9)], 4), "whole": ([(a, b) for b in range(6) for a in range(b)], 1), "tailed": ([(0, 1), (0, 2), (0, 3), (3, 4), (4, 5), (2, 5), (5, 6)], 4), "two": ([(0, 1)], 1)}
+    for name, (edges, expected) in shapes.items():
+        if pairs > 12 or name in ("hub", "ring", "tailed"):
+            roots.clear()
+            g = graph(spark, [(i, "A") for i in sorted({x for e in edges for x in e})], edges)
+            assert g.diameter() == expected, name
+            assert name != "hub" or sum(roots) == 1
+    assert graph(spark, [(4, "A")], [(4, 4)]).diameter() == 0 and graph(spark, [], [(4, 4)]).diameter() is None
+
+
 def test_frequent_profiles_against_enumeration(spark):
     g = LabeledGraph.from_pattern(spark, P)
     profiles = [P.profile(u) for u in P.vertices]

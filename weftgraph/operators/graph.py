@@ -11,6 +11,10 @@ from weftgraph.functions.columns import bucketed, materialised, tokens
 from weftgraph.plans.pattern import Pattern
 
 
+#: Pairs of a root and a vertex that breadth-first searches for the diameter hold at once.
+PAIRS = 4_000_000
+
+
 @dataclass(frozen=True)
 class LabeledGraph:
     """vertices (id long, label string), edges (src long, dst long) with src < dst, each once."""
@@ -98,10 +102,10 @@ class LabeledGraph:
     def leaves(self) -> DataFrame:
         return self.adj.groupBy("src").agg(F.count("*").alias("deg")).filter("deg = 1").select(F.col("src").alias("id"))
 
-    def stats(self) -> DataFrame:
-        """One row: vertices, edges, labels, largest and average degree, density, distinct profile subsets at most."""
+    def stats(self, subsets: DataFrame | None = None) -> DataFrame:
+        """One row: vertices, edges, labels, largest and average degree, density, largest number and sum of distinct profile subsets (or of ``subsets``, a table like theirs)."""
         d = self.degrees().agg(F.count("*").alias("n_vertices"), F.countDistinct("label").alias("n_labels"), F.coalesce(F.max("deg"), F.lit(0)).alias("max_degree"), F.sum("deg").alias("total"))
-        s = self.profile_subsets().agg(F.max("n_subsets").alias("max_subsets"), F.sum("n_subsets").alias("sum_subsets"))
+        s = (self.profile_subsets() if subsets is None else subsets).agg(F.max("n_subsets").alias("max_subsets"), F.sum("n_subsets").alias("sum_subsets"))
         n, e = F.col("n_vertices"), (F.col("total") / 2).cast("long")
         return d.join(s).select("n_vertices", e.alias("n_edges"), "n_labels", "max_degree", (F.col("total") / n).alias("avg_degree"), F.when(n > 1, 2.0 * e / (n * (n - 1))).alias("density"), "max_subsets", "sum_subsets")
 
@@ -122,9 +126,9 @@ class LabeledGraph:
     def connected(self) -> bool:
         return self.components().select("component").distinct().limit(2).count() <= 1
 
-    def distances(self, roots: DataFrame) -> DataFrame:
-        """root, id, dist: breadth first from each root (column id) over frontiers."""
-        near = materialised(self.adj)
+    def distances(self, roots: DataFrame, near: DataFrame | None = None) -> DataFrame:
+        """root, id, dist: breadth first from each root (column id) over frontiers. near: the edges in both directions, where they are at hand."""
+        near = materialised(self.adj) if near is None else near
         found = frontier = materialised(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("dist")).distinct())
         while True:
             step = frontier.join(near, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id"), (F.col("dist") + 1).alias("dist")).distinct()
@@ -134,7 +138,38 @@ class LabeledGraph:
             found = materialised(found.unionByName(frontier))
 
     def diameter(self) -> int | None:
-        """The longest shortest path; None if not connected. For graphs whose pairs of vertices can be held."""
-        if not self.connected():
+        """The longest shortest path; None if not connected.
+
+        Two vertices at most i from a first one are at most 2 i apart. So searches go from the vertices farthest from one of the highest degree inwards,
+        until what is left cannot be farther apart than what was found; some in parts, where their pairs are more than PAIRS.
+        """
+        near = materialised(self.adj)
+        degrees = materialised(self.degrees())
+        n, fewest = degrees.agg(F.count("*"), F.min("deg")).first()
+        if not n:
+            return None
+        if fewest == n - 1:
+            return min(n - 1, 1)
+        centre = degrees.orderBy(F.desc("deg"), "id").limit(1).select("id")
+        around = materialised(degrees.join(self.distances(centre, near).select("id", "dist"), "id", "left"))
+        if not around.filter("dist is null").isEmpty():
             return None
-        return self.distances(self.vertices).agg(F.max("dist")).first()[0]
+        top = around.agg(F.max("dist")).first()[0]
+        best = max(top, 2)  # as two vertices without an edge are
+
+        def farthest(roots: DataFrame) -> int:
+            return self.distances(roots.select("id"), near).agg(F.max("dist")).first()[0] or 0
+
+        while 2 * top > best:
+            left = around.filter((2 * F.col("dist") > best) & (F.col("dist") <= top))
+            if left.count() * n <= PAIRS:
+                return max(best, farthest(left))
+            level = around.filter(F.col("dist") == top)
+            best = max(best, farthest(level.orderBy("deg", "id").limit(max(1, min(16, PAIRS // n)))))
+            lots = level.count() * n // PAIRS + 1
+            for k in range(lots):
+                if 2 * top <= best:
+                    break
+                best = max(best, farthest(level.filter(F.pmod(F.xxhash64("id"), F.lit(lots)) == k)))
+            top -= 1
+        return best
