@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from decimal import Decimal
 from itertools import combinations_with_replacement
 
 import pytest
@@ -39,6 +40,17 @@ def test_degrees_profiles_components(spark):
     assert line.diameter() == 5 and [r["id"] for r in line.leaves().orderBy("id").collect()] == [0, 5]
 
 
+@pytest.mark.parametrize("n, kind", [(62, "bigint"), (63, "bigint"), (64, "decimal(38,0)"), (126, "decimal(38,0)"), (127, "string"), (15000, "string")])
+def test_numbers_of_subsets_of_any_length(spark, n, kind):
+    """A hub of n vertices with n - 1 labels, one of them twice; two such hubs."""
+    g = graph(spark, [(i, f"L{max(i, 1)}") for i in range(n)], [(0, i) for i in range(1, n)])
+    subsets = g.profile_subsets()
+    expected = {0: 3 << n - 2, 1: 3} | {i: 4 for i in range(2, n)}
+    assert {r["id"]: int(Decimal(r["n_subsets"])) for r in subsets.collect()} == expected and dict(subsets.dtypes)["n_subsets"] == kind
+    row = g.union(g, n).stats().first()
+    assert [int(Decimal(row[c])) for c in ("max_subsets", "sum_subsets")] == [max(expected.values()), 2 * sum(expected.values())]
+
+
 @pytest.mark.parametrize("pairs", [4_000_000, 12])
 def test_diameter_searches_from_few_vertices(spark, monkeypatch, pairs):
     monkeypatch.setattr(graphs, "PAIRS", pairs)

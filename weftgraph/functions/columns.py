@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections import Counter
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,6 +59,31 @@ def quantiles(rows: DataFrame, keys: list[str], column: str, shares: dict[str, f
     return upto.groupBy(*keys).agg(*[quantile(p).alias(name) for name, p in shares.items()])
 
 
+def whole_type(n: int | None) -> str:
+    """What holds whole numbers up to n: long, decimal(38,0) or, beyond that, strings of digits."""
+    return "bigint" if n is None or n < 1 << 63 else "decimal(38,0)" if n < 10**38 else "string"
+
+
+def digits(n: int) -> str:
+    """As str(), which stops at 4300 digits."""
+    return str(Decimal(n))
+
+
+def whole(n: int | None) -> Column:
+    return F.lit(None if n is None else digits(n)).cast(whole_type(n))
+
+
+def largest_and_sum(rows: DataFrame, column: str) -> tuple[int | None, int | None]:
+    """Of a column of whole numbers from 0 on, of any length and any type that whole_type names. Added in parts of 18 digits, whose sums alone reach the driver."""
+    text = rows.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("_text"))
+    most = text.agg(F.max(F.struct(F.length("_text").alias("n"), F.col("_text").alias("text")))["text"]).first()[0]
+    if most is None:
+        return None, None
+    parts = F.transform(F.regexp_extract_all(F.reverse("_text"), F.lit("[0-9]{1,18}"), 0), lambda part: F.reverse(part).cast("decimal(38,0)"))
+    sums = text.select(F.posexplode(parts).alias("at", "part")).groupBy("at").agg(F.sum("part").alias("total")).collect()
+    return int(Decimal(most)), sum(int(r["total"]) * 10 ** (18 * r["at"]) for r in sums)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df, written to the shared folder."""
     shared_folder(df.sparkSession)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import prod
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import bucketed, materialised, tokens
+from weftgraph.functions.columns import bucketed, digits, largest_and_sum, materialised, tokens, whole, whole_type
 from weftgraph.plans.pattern import Pattern
 
 
@@ -72,8 +73,16 @@ class LabeledGraph:
         return self.neighbour_labels().select("id", F.explode(tokens("label")).alias("token")).groupBy("id", "token").agg(F.count("*").alias("cnt"))
 
     def profile_subsets(self) -> DataFrame:
-        """id, n_subsets: the number of distinct sub-multisets of the profile, the empty one included."""
-        return self.profile().groupBy("id").agg(F.aggregate(F.collect_list("cnt"), F.lit(1).cast("long"), lambda a, c: a * (c + 1)).alias("n_subsets"))
+        """id, n_subsets: the number of distinct sub-multisets of the profile, the empty one included. Exact: all long or, where one needs it, all decimal(38,0), beyond that all strings of digits."""
+        times = lambda a, c: F.try_multiply(a, (c + 1).cast("decimal(20,0)"))  # noqa: E731  null beyond 38 digits
+        counts = self.profile().groupBy("id").agg(F.collect_list("cnt").alias("counts"))
+        found = materialised(counts.select("id", F.aggregate("counts", F.lit(1).cast("decimal(38,0)"), times).alias("n_subsets"), "counts"))
+        most, beyond = found.agg(F.max("n_subsets"), F.count_if(F.isnull("n_subsets"))).first()
+        held = found.filter("n_subsets is not null").select("id", F.col("n_subsets").cast("string" if beyond else whole_type(most)).alias("n_subsets"))
+        if not beyond:
+            return held
+        long = F.udf(lambda counts: digits(prod(c + 1 for c in counts)), "string")
+        return held.unionByName(found.filter("n_subsets is null").select("id", long("counts").alias("n_subsets")))
 
     def induced(self, ids: DataFrame) -> LabeledGraph:
         """The subgraph of the given ids (column id) with all edges between them."""
@@ -105,9 +114,9 @@ class LabeledGraph:
     def stats(self, subsets: DataFrame | None = None) -> DataFrame:
         """One row: vertices, edges, labels, largest and average degree, density, largest number and sum of distinct profile subsets (or of ``subsets``, a table like theirs)."""
         d = self.degrees().agg(F.count("*").alias("n_vertices"), F.countDistinct("label").alias("n_labels"), F.coalesce(F.max("deg"), F.lit(0)).alias("max_degree"), F.sum("deg").alias("total"))
-        s = (self.profile_subsets() if subsets is None else subsets).agg(F.max("n_subsets").alias("max_subsets"), F.sum("n_subsets").alias("sum_subsets"))
+        most, total = largest_and_sum(self.profile_subsets() if subsets is None else subsets, "n_subsets")
         n, e = F.col("n_vertices"), (F.col("total") / 2).cast("long")
-        return d.join(s).select("n_vertices", e.alias("n_edges"), "n_labels", "max_degree", (F.col("total") / n).alias("avg_degree"), F.when(n > 1, 2.0 * e / (n * (n - 1))).alias("density"), "max_subsets", "sum_subsets")
+        return d.select("n_vertices", e.alias("n_edges"), "n_labels", "max_degree", (F.col("total") / n).alias("avg_degree"), F.when(n > 1, 2.0 * e / (n * (n - 1))).alias("density"), whole(most).alias("max_subsets"), whole(total).alias("sum_subsets"))
 
     def components(self) -> DataFrame:
         """id, component: the smallest id that edges lead to. Labels spread and jump by pointers until nothing changes."""
